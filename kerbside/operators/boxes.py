@@ -71,14 +71,18 @@ def encode(df: DataFrame) -> DataFrame:
     )
 
 
+def decoded() -> dict[str, Column]:
+    """Box columns from the code columns c0..c9, the inverse of :func:`encode`."""
+    return {
+        "x": F.col("c0"), "y": F.col("c1"), "z": F.col("c4"),
+        "w": F.exp("c2"), "l": F.exp("c3"), "h": F.exp("c5"),
+        "yaw": F.atan2("c6", "c7"), "vx": F.col("c8"), "vy": F.col("c9"),
+    }
+
+
 def decode(df: DataFrame) -> DataFrame:
-    """Inverse of :func:`encode`."""
-    return df.select(
-        *[c for c in ("token", "actor_id", "det_pos") if c in df.columns],
-        F.col("c0").alias("x"), F.col("c1").alias("y"), F.col("c4").alias("z"),
-        F.exp("c2").alias("w"), F.exp("c3").alias("l"), F.exp("c5").alias("h"),
-        F.atan2("c6", "c7").alias("yaw"), F.col("c8").alias("vx"), F.col("c9").alias("vy"),
-    )
+    keys = [c for c in ("token", "actor_id", "det_pos") if c in df.columns]
+    return df.select(*keys, *[c.alias(n) for n, c in decoded().items()])
 
 
 def valid_objects(df: DataFrame) -> DataFrame:
@@ -203,7 +207,7 @@ MOTION_GROUP = {
 def category_token(name: Column) -> Column:
     """Stable token of a category; an unknown category is stored as car."""
     known = F.when(name.isin(CLASS_NAMES), name).otherwise("car")
-    return F.md5(F.concat(F.lit("category:"), known))
+    return F.concat(F.lit("cat_"), F.substring(F.md5(known), 1, 28))
 
 
 def label_index(name: Column) -> Column:

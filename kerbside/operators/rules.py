@@ -86,12 +86,15 @@ def bearing(right: Column, forward: Column, near: float = 0.7) -> Column:
 
 def drop_repeated_obstacles(refs: Column) -> Column:
     """An obstacle cited twice (same class and place at 1 decimal) keeps its first role."""
-    def key(e: Column) -> Column:
-        return F.concat_ws("|", e["name"], fixed(e["r"], 1), fixed(e["f"], 1))
+    def near(c: Column) -> Column:
+        return fixed(c, 1).cast("double")
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["name"] == b["name"]) & (near(a["r"]) == near(b["r"])) & (near(a["f"]) == near(b["f"]))
 
     def fresh(e: Column, i: Column) -> Column:
         earlier = F.slice(refs, F.lit(1), i.cast("int"))
-        repeat = F.exists(earlier, lambda x: (x["kind"] == "obstacle") & (key(x) == key(e)))
+        repeat = F.exists(earlier, lambda x: (x["kind"] == "obstacle") & same(x, e))
         return (e["kind"] != "obstacle") | ~repeat
 
     return F.filter(refs, fresh)

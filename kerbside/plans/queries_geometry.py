@@ -35,11 +35,11 @@ register("rig", f"""SELECT camera, mx AS tx, -my AS ty, mz AS tz,
 
 
 @query("b3_camera_calibration", f"""
-SELECT token, camera, {s6("c*tx - s*0 + 0")} AS unused_check, {s6("gx + tx*cos(gyaw) - ty*sin(gyaw)")} AS cam_x,
+SELECT token, camera, {s6("gx + tx*cos(gyaw) - ty*sin(gyaw)")} AS cam_x,
   {s6("gy + tx*sin(gyaw) + ty*cos(gyaw)")} AS cam_y, tz AS cam_z, {s6("s")} AS r00, {s6("c")} AS r02,
   {s6("-c")} AS r10, {s6("s")} AS r12,
-  {s6(str(rig.FOCAL))} AS focal, {s6("0.5*abs(cos(-radians(myaw)/2) + sin(radians(myaw)/2))")} AS qw
-FROM frames CROSS JOIN rig""".replace(f'{s6("c*tx - s*0 + 0")} AS unused_check, ', ""))
+  {s6(str(rig.FOCAL))} AS focal, {s6("0.5*abs(cos(-radians(myaw)/2) + sin(-radians(myaw)/2))")} AS qw
+FROM frames CROSS JOIN rig""")
 def b3(v):
     cams = F.broadcast(rig.rotation_quat(rig.extrinsics(rig.mounts(v.spark))))
     at = geom.rotate(F.col("tx"), F.col("ty"), F.col("gyaw"))
@@ -165,14 +165,16 @@ def b14(v):
                      *[r6(at(i)).alias(f"c{i}") for i in (16, 17)])
 
 
+register("frame_deg", "SELECT *, degrees(gyaw) - 360*floor(degrees(gyaw)/360) AS deg FROM frames")
+
+
 @query("b15_queue_deltas", f"""
-WITH q AS (SELECT *, degrees(gyaw) - 360*floor(degrees(gyaw)/360) AS deg FROM frames)
 SELECT f.token, k AS slot, g.frame_idx AS "at",
   {s6("CASE WHEN k = 0 THEN 0 ELSE g.gx - p.gx END")} AS d_gx, {s6("CASE WHEN k = 0 THEN 0 ELSE g.gy - p.gy END")} AS d_gy,
   {s6("CASE WHEN k = 0 THEN 0 ELSE g.deg - p.deg END")} AS d_deg
-FROM q f CROSS JOIN range(0, 4) t(k)
-JOIN q g ON g.scene_token = f.scene_token AND g.frame_idx = f.frame_idx - 3 + k
-LEFT JOIN q p ON p.scene_token = f.scene_token AND p.frame_idx = f.frame_idx - 4 + k
+FROM frame_deg f CROSS JOIN range(0, 4) t(k)
+JOIN frame_deg g ON g.scene_token = f.scene_token AND g.frame_idx = f.frame_idx - 3 + k
+LEFT JOIN frame_deg p ON p.scene_token = f.scene_token AND p.frame_idx = f.frame_idx - 4 + k
 WHERE f.frame_idx >= 3""")
 def b15(v):
     d = windows.queue_deltas(v.frames)
@@ -208,15 +210,10 @@ SELECT token, actor_id, {s6("ln(w)")} AS log_w, {s6("ln(l)")} AS log_l, {s6("ln(
   yaw AS yaw_back FROM gt_boxes""")
 def b17(v):
     code = boxes.encode(v.gt_boxes)
-    back = boxes.decode(code.select("*"))
-    # decode is checked on the same rows: both sides come from one scan of the code
-    joined = code.select("*", *[boxes_c.alias(n) for n, boxes_c in {
-        "w_back": F.exp("c2"), "l_back": F.exp("c3"), "h_back": F.exp("c5"),
-        "yaw_back": F.atan2("c6", "c7")}.items()])
-    del back
-    return joined.select("token", "actor_id", r6("c2").alias("log_w"), r6("c3").alias("log_l"),
-                         r6("c5").alias("log_h"), r6("c6").alias("sin_yaw"), r6("c7").alias("cos_yaw"),
-                         *[r6(n).alias(n) for n in ("w_back", "l_back", "h_back", "yaw_back")])
+    return code.select(
+        "token", "actor_id", r6("c2").alias("log_w"), r6("c3").alias("log_l"), r6("c5").alias("log_h"),
+        r6("c6").alias("sin_yaw"), r6("c7").alias("cos_yaw"),
+        *[r6(c).alias(f"{n}_back") for n, c in boxes.decoded().items() if n in ("w", "l", "h", "yaw")])
 
 
 @query("b18_box_corners", f"""
@@ -272,7 +269,7 @@ def b21(v):
 
 
 @query("b22_category_mapping", """
-SELECT token, actor_id, md5('category:' || category) AS category_token,
+SELECT token, actor_id, 'cat_' || substr(md5(category), 1, 28) AS category_token,
   CASE category WHEN 'car' THEN 0 WHEN 'truck' THEN 1 ELSE 8 END AS label,
   CASE category WHEN 'pedestrian' THEN 'pedestrian' ELSE 'car' END AS motion FROM gt_boxes""")
 def b22(v):
