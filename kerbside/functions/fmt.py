@@ -1,8 +1,8 @@
 """Exact fixed-point text for doubles.
 
 ``format_string('%.2f')`` rounds the shortest decimal form half up, so 2.675 prints
-2.68 and 0.125 prints 0.13.  Training text needs correct rounding of the binary value
-with ties to even (2.67, 0.12), and this builds it from plain double arithmetic.
+2.68 and 0.125 prints 0.13.  ``format_number`` with a pattern rounds the binary value
+half even (2.67, 0.12), which is what training text needs.
 """
 
 from __future__ import annotations
@@ -10,33 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
-
 
 def fixed(x: Column, digits: int) -> Column:
     """``x`` with exactly ``digits`` decimals, correctly rounded; null stays null."""
-    scale = float(10 ** digits)
-    mag = F.abs(x.cast("double"))
-    product = mag * scale
-    # residue of the product, exact because both halves times scale fit a double
-    big = mag * _SPLIT
-    high = big - (big - mag)
-    low = mag - high
-    residue = (high * scale - product) + low * scale
-    whole = F.floor(product)
-    above = product - whole.cast("double") - 0.5
-    up = (
-        (above > 0)
-        | ((above == 0) & (residue > 0))
-        | ((above == 0) & (residue == 0) & (whole % 2 == 1))
-    )
-    units = (whole + F.when(up, 1).otherwise(0)).cast("long")
-    base = F.lit(10 ** digits).cast("long")
-    sign = F.when(x < 0, "-").otherwise("")
-    text = F.concat(
-        sign,
-        F.floor(units / base).cast("long").cast("string"),
-        F.lit("."),
-        F.lpad((units % base).cast("string"), digits, "0"),
-    )
-    return F.when(x.isNotNull(), text)
+    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * digits))

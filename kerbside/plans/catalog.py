@@ -1,5 +1,13 @@
 """All registered queries and oracles; importing the modules fills the registry."""
 
-from kerbside.plans import queries_geometry, queries_windows  # noqa: F401,I001
-from kerbside.plans import queries_rules  # noqa: F401
-from kerbside.plans.registry import ORACLES, QUERIES  # noqa: F401
+from kerbside.plans import (  # noqa: F401
+    queries_geometry,
+    queries_rules,
+    queries_text,
+    queries_windows,
+)
+from kerbside.plans.registry import QUERIES, composed
+
+ORACLES = composed()
+
+__all__ = ["ORACLES", "QUERIES"]

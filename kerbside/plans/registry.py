@@ -24,12 +24,17 @@ def query(name: str, oracle: str | None = None):
         run.__name__ = name
         QUERIES[name] = run
         if oracle is not None:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name] = oracle
         return fn
 
     return wrap
 
 
+def composed() -> dict[str, str]:
+    """Oracle texts with the views they name, once every module has registered its own."""
+    return {name: sql(text) for name, text in ORACLES.items()}
+
+
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

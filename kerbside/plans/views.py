@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geom
 from kerbside.operators import boxes, ego, objects, ordered, windows
+from kerbside.session import shared_folder
 
 ACTOR_SLOTS = 40
 
@@ -26,12 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Views:
-    """Lazy, uncached DataFrames over one data folder."""
+    """DataFrames over one data folder.
+
+    The stage tables of the pipeline (frames with slot, boxes, futures) are written
+    once per application as Parquet in the shared folder, clustered by scene, and
+    every query reads those: a lost executor costs a re-read, not a re-derivation.
+    ``stored=False`` derives everything inside the query instead.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = True):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.stored = stored
+
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        if not self.stored:
+            return df
+        app = self.spark.sparkContext.applicationId
+        key = (app, self.sf_dir, name)
+        if key not in _WRITTEN:
+            slug = self.sf_dir.strip("/").replace("/", "_")
+            path = f"{shared_folder(self.spark)}/views-{app}/{slug}/{name}"
+            df.write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.schema(df.schema).parquet(_WRITTEN[key])
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
@@ -54,35 +77,35 @@ class Views:
         sign = F.when(F.col("reverse"), -1.0).otherwise(1.0)
         heading = F.radians(F.col("yaw_deg"))
         scene = F.format_string("ep_%04d", "user_id")
-        return (
-            numbered
-            .withColumn("tri", tri)
-            .withColumn("scene_token", scene)
-            .withColumn("token", F.concat(scene, F.format_string("_f%04d", "frame_idx")))
-            .withColumn("ts_us", F.col("frame_idx") * 500000)
-            .withColumn("x_world", r6(100 + 0.8 * F.col("tri") * F.cos(yaw0)))
-            .withColumn("y_world", r6(50 + 0.8 * F.col("tri") * F.sin(yaw0)))
-            .withColumn("yaw_deg", r6(F.degrees(yaw0) + 3 * F.col("tri")))
-            .withColumn("reverse", F.floor(F.col("frame_idx") / 8) % 2 == 1)
-            .withColumn("speed_ms", speed)
-            .withColumn("steer", (((F.col("event_id") * 31) % 201) - 100) / 100)
-            .withColumn("yaw_rate", (((F.col("event_id") * 17) % 101) - 50) / 100)
-            .withColumn("vx_world", r6(sign * F.col("speed_ms") * F.cos(heading)))
-            .withColumn("vy_world", r6(sign * F.col("speed_ms") * F.sin(heading)))
-            .withColumn("split", F.when(F.col("user_id") % 6 == 0, "test").otherwise("train"))
-            .withColumn("slot_idx", F.col("user_id") % 7
-                        + F.when(F.col("user_id") % 6 == 0, 10).otherwise(0))
-            .withColumn("has_meta", F.col("user_id") % 11 != 3)
-            .drop("ts")
+        base = numbered.select(
+            "event_id", "user_id", "frame_idx",
+            tri.alias("tri"), scene.alias("scene_token"),
+            F.concat(scene, F.format_string("_f%04d", "frame_idx")).alias("token"),
+            (F.col("frame_idx") * 500000).alias("ts_us"),
+            (F.floor(F.col("frame_idx") / 8) % 2 == 1).alias("reverse"),
+            speed.alias("speed_ms"),
+            ((((F.col("event_id") * 31) % 201) - 100) / 100).alias("steer"),
+            ((((F.col("event_id") * 17) % 101) - 50) / 100).alias("yaw_rate"),
+            F.when(F.col("user_id") % 6 == 0, "test").otherwise("train").alias("split"),
+            (F.col("user_id") % 7 + F.when(F.col("user_id") % 6 == 0, 10).otherwise(0)).alias("slot_idx"),
+            (F.col("user_id") % 11 != 3).alias("has_meta"),
         )
+        placed = base.select(
+            "*",
+            r6(100 + 0.8 * F.col("tri") * F.cos(yaw0)).alias("x_world"),
+            r6(50 + 0.8 * F.col("tri") * F.sin(yaw0)).alias("y_world"),
+            r6(F.degrees(yaw0) + 3 * F.col("tri")).alias("yaw_deg"))
+        return placed.select(
+            "*",
+            r6(sign * F.col("speed_ms") * F.cos(heading)).alias("vx_world"),
+            r6(sign * F.col("speed_ms") * F.sin(heading)).alias("vy_world"))
 
     @cached_property
     def frames(self) -> DataFrame:
         """Frames with the dataset-world pose and measured ego state."""
         df = ego.with_dataset_pose(self.raw_frames)
-        for name in ("gx", "gy", "gyaw", "ego_fwd_v", "ego_right_v"):
-            df = df.withColumn(name, r6(F.col(name)))
-        return df
+        names = ("gx", "gy", "gyaw", "ego_fwd_v", "ego_right_v")
+        return self._stage("frames", df.withColumns({n: r6(F.col(n)) for n in names}))
 
     @cached_property
     def poses(self) -> DataFrame:
@@ -109,9 +132,8 @@ class Views:
     def slot_frames(self) -> DataFrame:
         """Frames with the target slot in local (right, forward, dheading) coordinates."""
         df = ego.slot_to_local(self.frames, self.scenes)
-        for name in ("slot_r", "slot_f", "slot_dh"):
-            df = df.withColumn(name, r6(F.col(name)))
-        return df
+        names = ("slot_r", "slot_f", "slot_dh")
+        return self._stage("slot_frames", df.withColumns({n: r6(F.col(n)) for n in names}))
 
     # -- actors and objects --------------------------------------------------
 
@@ -165,9 +187,8 @@ class Views:
     def all_boxes(self) -> DataFrame:
         """Ground-truth boxes in the ego frame, before the range filter."""
         df = boxes.actors_to_ego_boxes(self.actors)
-        for name in ("x", "y", "yaw", "vx", "vy"):
-            df = df.withColumn(name, r6(F.col(name)))
-        return df
+        names = ("x", "y", "yaw", "vx", "vy")
+        return self._stage("boxes", df.withColumns({n: r6(F.col(n)) for n in names}))
 
     @cached_property
     def gt_boxes(self) -> DataFrame:
@@ -209,4 +230,4 @@ class Views:
         df = windows.future_local(self.slot_frames, 6)
         rounded = F.transform("fut", lambda p: F.struct(
             F.round(p.r, 6).alias("r"), F.round(p.f, 6).alias("f"), F.round(p.h, 6).alias("h")))
-        return df.withColumn("fut", rounded)
+        return self._stage("futures", df.withColumn("fut", rounded))

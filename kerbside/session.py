@@ -32,14 +32,26 @@ def local_session(cpus: int | str = 8, app: str = "kerbside", **conf: str) -> Sp
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a scratch
-    folder is set only where the session has none (local tests).
+    A scratch folder is made only where the session names none (local tests).
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = tempfile.mkdtemp(prefix="kerbside-")
+    return _SCRATCH[app]
+
+
+_SCRATCH: dict[str, str] = {}
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kerbside-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
