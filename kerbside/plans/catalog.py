@@ -1,6 +1,7 @@
 """All registered queries and oracles; importing the modules fills the registry."""
 
 from kerbside.plans import (  # noqa: F401
+    queries_detection,
     queries_geometry,
     queries_rules,
     queries_text,

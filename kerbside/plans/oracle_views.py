@@ -192,4 +192,4 @@ def sql(body: str) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n].strip()})" for n in order)
-    return f"WITH {ctes}\n{body.strip()}"
+    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
