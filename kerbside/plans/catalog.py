@@ -3,7 +3,9 @@
 from kerbside.plans import (  # noqa: F401
     queries_detection,
     queries_geometry,
+    queries_grid,
     queries_rules,
+    queries_tables,
     queries_text,
     queries_windows,
 )

@@ -10,6 +10,7 @@ from kerbside.plans.oracle_views import hyp, r6 as s6, register, wrap
 from kerbside.plans.queries_geometry import ATTRIBUTE_SQL
 from kerbside.plans.queries_windows import annotations
 from kerbside.plans.registry import query, r6
+from kerbside.session import checkpointed
 
 THRESHOLDS = [0.5, 1.0, 2.0, 4.0]
 
@@ -124,8 +125,13 @@ FROM (SELECT cls, thr, k, k*0.01::DOUBLE AS x,
 """)
 
 
+def ranked(v):
+    """Ranked matches; read by several curves, so the lineage is cut once here."""
+    return checkpointed(det.ranked_hits(conf_match(v)))
+
+
 def curve(v):
-    return det.pr_curve(det.ranked_hits(conf_match(v)), truth(v))
+    return det.pr_curve(ranked(v), truth(v))
 
 
 @query("f10_pr_curve", f"SELECT cls, thr, k, {s6('prec')} AS prec, {s6('conf')} AS conf FROM curve")
@@ -151,8 +157,8 @@ LEFT JOIN cum_errors hi ON hi.cls = p.cls AND hi.thr = p.thr AND hi.c = above
 
 
 def error_curve(v):
-    ranked = det.ranked_hits(conf_match(v))
-    return det.tp_error_curve(ranked, det.pr_curve(ranked, truth(v)))
+    hits = ranked(v)
+    return det.tp_error_curve(hits, det.pr_curve(hits, truth(v)))
 
 
 @query("f11_tp_error_curve", f"""SELECT cls, thr, k, {", ".join(f"{s6(n)} AS {n}" for n in _ERRS)} FROM error_curve""")
@@ -177,9 +183,9 @@ SELECT {s6("map")} AS map, {", ".join(f"{s6(n)} AS {n}" for n in _ERRS)},
   {s6("(map*4 + " + " + ".join(f"1 - least(1, {n})" for n in _ERRS) + ")/8")} AS score
 FROM (SELECT avg(ap) AS map FROM ap_rows) CROSS JOIN (SELECT {", ".join(f"avg({n}) AS {n}" for n in _ERRS)} FROM tp_rows WHERE thr = 2)""")
 def f12_score(v):
-    ranked = det.ranked_hits(conf_match(v))
-    pr = det.pr_curve(ranked, truth(v))
-    tp = det.tp_scores(det.tp_error_curve(ranked, pr))
+    hits = ranked(v)
+    pr = checkpointed(det.pr_curve(hits, truth(v)))
+    tp = det.tp_scores(det.tp_error_curve(hits, pr))
     s = det.detection_score(det.average_precision(pr), tp)
     return s.select(*[r6(c).alias(c) for c in s.columns])
 

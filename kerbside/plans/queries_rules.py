@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import functions as F
 
 from kerbside.functions import geom, phrases as ph
@@ -15,13 +13,8 @@ from kerbside.plans.registry import query, r6
 TH = rules.DEFAULTS
 
 
-def rule_frames(v):
-    return windows.prev_reverse(v.futures)
-
-
 def facts(v, source: str = "gt"):
-    objs = v.objects if source == "gt" else ob.from_detections(v.detections)
-    return rules.extract_facts(rule_frames(v), objs, TH)
+    return v.facts(source)
 
 
 def _pick_query(name: str, pick: str):
@@ -66,7 +59,8 @@ def d15(v):
 
 @query("j1_extract_fact", f"SELECT token, decision, {orl.joined(orl.CANON)} AS factors FROM facts_gt")
 def j1(v):
-    return facts(v).select("token", "decision", traces.factor_strings(F.col("factors")).alias("factors"))
+    fresh = rules.extract_facts(windows.prev_reverse(v.futures), v.objects, TH)
+    return fresh.select("token", "decision", traces.factor_strings(F.col("factors")).alias("factors"))
 
 
 @query("j1_extract_fact_detected", f"SELECT token, decision, {orl.joined(orl.CANON)} AS factors FROM facts_det")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.functions import geom
-from kerbside.operators import boxes, ego, objects, ordered, windows
+from kerbside.operators import boxes, ego, objects, ordered, rules, windows
 from kerbside.session import shared_folder
 
 ACTOR_SLOTS = 40
@@ -222,6 +222,13 @@ class Views:
         out = real.unionByName(false)
         return out.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
 
+    # -- facts ----------------------------------------------------------------
+
+    def facts(self, source: str) -> DataFrame:
+        """Decision and factors per frame from ``gt`` or detected objects, a stage table."""
+        objs = self.objects if source == "gt" else objects.from_detections(self.detections)
+        return self._stage(f"facts_{source}", rules.extract_facts(windows.prev_reverse(self.futures), objs))
+
     # -- trajectories --------------------------------------------------------
 
     @cached_property
