@@ -4,7 +4,9 @@ from kerbside.plans import (  # noqa: F401
     queries_detection,
     queries_geometry,
     queries_grid,
+    queries_maps,
     queries_rules,
+    queries_streams,
     queries_tables,
     queries_text,
     queries_windows,
