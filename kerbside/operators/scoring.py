@@ -84,12 +84,16 @@ def faithfulness(student: DataFrame) -> DataFrame:
     ).withColumn("decision", F.coalesce("decision", F.lit("ALL")))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """Whitespace n-grams of a text as one string each."""
-    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    count = F.size(tokens) - (n - 1)
-    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+def ngrams(tokens: Column, n: int) -> Column:
+    """N-grams of a token array, built by zipping shifted copies: linear in its length.
+
+    ``tokens`` should be a stored column; an expression would be evaluated per copy.
+    """
+    keep = F.greatest(F.lit(0), F.size(tokens) - (n - 1))
+    grams = F.slice(tokens, F.lit(1), keep)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(tokens, F.lit(k + 1), keep), lambda g, t: F.concat(g, F.lit(" "), t))
+    return grams
 
 
 def distinct_n(texts: DataFrame, n: int, column: str = "text") -> DataFrame:
@@ -98,7 +102,8 @@ def distinct_n(texts: DataFrame, n: int, column: str = "text") -> DataFrame:
     The grams are counted per value first, so repeats collapse before the shuffle and
     a gram that fills a third of the rows becomes a few partial counts.
     """
-    grams = texts.select(F.explode(ngrams(F.col(column), n)).alias("g"))
+    tokens = texts.select(F.filter(F.split(column, r"\s+"), lambda t: t != "").alias("tokens"))
+    grams = tokens.select(F.explode(ngrams(F.col("tokens"), n)).alias("g"))
     per = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(
         F.lit(n).alias("n"), F.count(F.lit(1)).alias("distinct_grams"),

@@ -41,7 +41,7 @@ UNION ALL SELECT 'lanes', r_regionkey::BIGINT, i, a::DOUBLE, -62.3::DOUBLE + 5.0
 FROM region CROSS JOIN (VALUES (0, 86.0, 0.0), (1, 100.0, 1.1), (2, 114.0, 0.3)) o(i, a, b)
 """)
 register("map_edges", """
-SELECT layer, record, vertex AS seg, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS by,
+SELECT layer, record, vertex AS seg, x AS ax, y AS ay, coalesce(lead(x) OVER w, first_value(x) OVER w) AS bx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS yb,
   lead(x) OVER w IS NULL AS closing FROM map_vertices WINDOW w AS (PARTITION BY layer, record ORDER BY vertex)""")
 
 
@@ -71,7 +71,7 @@ def d24(v):
 
 register("on_point", """
 SELECT token, layer, min(record) AS record FROM (
-  SELECT f.token, e.layer, e.record, count(*) FILTER (WHERE (ay > gy) <> (by > gy) AND gx < (bx - ax)*(gy - ay)/nullif(by - ay, 0) + ax) % 2 AS odd
+  SELECT f.token, e.layer, e.record, count(*) FILTER (WHERE (ay > gy) <> (yb > gy) AND gx < (bx - ax)*(gy - ay)/nullif(yb - ay, 0) + ax) % 2 AS odd
   FROM frames f CROSS JOIN map_edges e WHERE e.layer <> 'lanes' GROUP BY ALL) WHERE odd = 1 GROUP BY token, layer""")
 
 
@@ -91,8 +91,8 @@ def d20(v):
 
 
 register("lane_points", f"""
-SELECT record AS lane, ax + (bx - ax)*(i*0.5::DOUBLE/len) AS x, ay + (by - ay)*(i*0.5::DOUBLE/len) AS y FROM (
-  SELECT *, unnest(range(0, floor(len/0.5)::BIGINT + 1)) AS i FROM (SELECT *, {hyp("bx - ax", "by - ay")} AS len FROM map_edges WHERE layer = 'lanes' AND NOT closing))""")
+SELECT record AS lane, ax + (bx - ax)*(i*0.5::DOUBLE/len) AS x, ay + (yb - ay)*(i*0.5::DOUBLE/len) AS y FROM (
+  SELECT *, unnest(range(0, floor(len/0.5)::BIGINT + 1)) AS i FROM (SELECT *, {hyp("bx - ax", "yb - ay")} AS len FROM map_edges WHERE layer = 'lanes' AND NOT closing))""")
 register("closest", f"""
 SELECT token, arg_min(lane, (dist, -lane)) AS lane, min(dist) AS dist FROM (
   SELECT token, lane, min({hyp("x - gx", "y - gy")}) AS dist FROM frames JOIN lane_points ON abs(x - gx) <= 6 AND abs(y - gy) <= 6 GROUP BY ALL)
@@ -137,15 +137,15 @@ def parts(v):
 
 _EGO_X = "({x} - gx)*cos(gyaw) + ({y} - gy)*sin(gyaw)"
 _EGO_Y = "-({x} - gx)*sin(gyaw) + ({y} - gy)*cos(gyaw)"
-_T = lambda p, q: (f"CASE WHEN {p} < 0 THEN {q}/{p} END", f"CASE WHEN {p} > 0 THEN {q}/{p} END")
+_T = lambda p, q: (f"CASE WHEN {p} < 0 THEN ({q})/({p}) END", f"CASE WHEN {p} > 0 THEN ({q})/({p}) END")
 _PQ = [("-(qx-px)", "px+10"), ("(qx-px)", "10-px"), ("-(qy-py)", "py+10"), ("(qy-py)", "10-py")]
 register("clipped", f"""
 SELECT *, sum(fresh) OVER (PARTITION BY token, layer, record ORDER BY seg ROWS UNBOUNDED PRECEDING) AS part FROM (
 SELECT *, CASE WHEN lag(seg) OVER w = seg - 1 AND lag(t1) OVER w = 1 AND t0 = 0 THEN 0 ELSE 1 END AS fresh, (t1 - t0)*{hyp("qx-px", "qy-py")} AS len FROM (
 SELECT *, greatest(0.0, {", ".join(_T(p, q)[0] for p, q in _PQ)}) AS t0, least(1.0, {", ".join(_T(p, q)[1] for p, q in _PQ)}) AS t1,
-  {" OR ".join(f"({p} = 0 AND {q} < 0)" for p, q in _PQ)} AS outside FROM (
+  {" OR ".join(f"({p} = 0 AND ({q}) < 0)" for p, q in _PQ)} AS outside FROM (
 SELECT token, layer, record, seg, {_EGO_X.format(x="ax", y="ay")} AS px, {_EGO_Y.format(x="ax", y="ay")} AS py,
-  {_EGO_X.format(x="bx", y="by")} AS qx, {_EGO_Y.format(x="bx", y="by")} AS qy
+  {_EGO_X.format(x="bx", y="yb")} AS qx, {_EGO_Y.format(x="bx", y="yb")} AS qy
 FROM frames CROSS JOIN map_edges WHERE layer <> 'lanes' OR NOT closing)) WHERE NOT outside AND t0 < t1
 WINDOW w AS (PARTITION BY token, layer, record ORDER BY seg))""")
 
@@ -179,7 +179,7 @@ def k5(v):
 
 register("mask", """
 SELECT DISTINCT token, layer, cx, cy FROM (
-  SELECT token, layer, record, cx, cy, count(*) FILTER (WHERE (ay > py) <> (by > py) AND px < (bx - ax)*(py - ay)/nullif(by - ay, 0) + ax) % 2 AS odd
+  SELECT token, layer, record, cx, cy, count(*) FILTER (WHERE (ay > py) <> (yb > py) AND px < (bx - ax)*(py - ay)/nullif(yb - ay, 0) + ax) % 2 AS odd
   FROM (SELECT token, cx, cy, gx + (cx - 5.5)*cos(gyaw) - (cy - 5.5)*sin(gyaw) AS px, gy + (cx - 5.5)*sin(gyaw) + (cy - 5.5)*cos(gyaw) AS py
         FROM frames CROSS JOIN range(0, 12) a(cx) CROSS JOIN range(0, 12) b(cy))
   JOIN (SELECT e.*, min_x, min_y, max_x, max_y FROM map_edges e JOIN (SELECT layer, record, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y
