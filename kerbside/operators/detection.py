@@ -376,13 +376,18 @@ def pair_iou(a: DataFrame, b: DataFrame) -> DataFrame:
         seq = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
         return F.flatten(F.transform(seq, edge))
 
-    clipped = near.withColumn("_poly", F.aggregate(F.array(*[F.lit(i) for i in (1, 2, 3, 4)]), F.col("ac"), clip))
-    n = F.size("_poly")
-    ring = F.when(n > 2, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    twice = F.aggregate(ring, F.lit(0.0), lambda s, j: s + F.get("_poly", j)["x"] * F.get("_poly", (j + 1) % n)["y"]
-                        - F.get("_poly", (j + 1) % n)["x"] * F.get("_poly", j)["y"])
+    def shoelace(poly: Column) -> Column:
+        n = F.size(poly)
+        ring = F.when(n > 2, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(ring, F.lit(0.0), lambda s, j: s + F.get(poly, j)["x"] * F.get(poly, (j + 1) % n)["y"]
+                           - F.get(poly, (j + 1) % n)["x"] * F.get(poly, j)["y"])
+
+    # the polygon stays inside one expression, so no later filter makes copies of the fold
+    sides = F.array(*[F.lit(i) for i in (1, 2, 3, 4)])
+    twice = _let(F.aggregate(sides, F.col("ac"), clip), shoelace)
     overlap = F.greatest(F.lit(0.0), F.least(F.col("az") + F.col("ah") / 2, F.col("bz") + F.col("bh") / 2)
                          - F.greatest(F.col("az") - F.col("ah") / 2, F.col("bz") - F.col("bh") / 2))
     inter = F.abs(twice) / 2 * overlap
     vol = F.col("aw") * F.col("al") * F.col("ah") + F.col("bw") * F.col("bl") * F.col("bh")
-    return clipped.select("token", "a_pos", "b_pos", inter.alias("inter"), (inter / (vol - inter)).alias("iou"))
+    sized = near.select("token", "a_pos", "b_pos", inter.alias("inter"), vol.alias("_vol"))
+    return sized.select("token", "a_pos", "b_pos", "inter", (F.col("inter") / (F.col("_vol") - F.col("inter"))).alias("iou"))

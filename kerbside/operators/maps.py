@@ -27,11 +27,29 @@ def _tile(c: Column) -> Column:
 
 
 def tiled(records: DataFrame, margin: float = 0.0) -> DataFrame:
-    """Each record once per tile its (widened) bounds touch."""
+    """Each record once per tile its (widened) bounds touch; sx, sy name its first tile."""
+    records = records.withColumns({"sx": _tile(F.col("min_x") - margin), "sy": _tile(F.col("min_y") - margin)})
     return records.withColumn("tx", F.explode(F.sequence(_tile(F.col("min_x") - margin), _tile(F.col("max_x") + margin)))).withColumn(
         "ty", F.explode(F.sequence(_tile(F.col("min_y") - margin), _tile(F.col("max_y") + margin))))
 
 
+def once(x0: Column, y0: Column) -> Column:
+    """True in exactly one of the tiles a pair shares, so no later dedup is needed."""
+    return (F.col("tx") == F.greatest(F.col("sx"), _tile(x0))) & (F.col("ty") == F.greatest(F.col("sy"), _tile(y0)))
+
+
+# a tiled map side up to this many rows (tens of MB at most) is sent to every executor
+BROADCAST_ROWS = 100_000
+
+
+def map_side(records: DataFrame) -> DataFrame:
+    """Tiled records, broadcast only when a count shows they are few; a larger map is
+    joined by tile with a shuffle, where AQE splits the busy tiles."""
+    side = tiled(records)
+    few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(side) if few else side
+
+
 def edges(ring: Column) -> Column:
     """Closed list of (a, b) edges."""
     shifted = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
@@ -52,7 +70,7 @@ def contains(ring: Column, px: Column, py: Column) -> Column:
 def layers_on_point(points: DataFrame, records: DataFrame) -> DataFrame:
     """First record of each polygon layer under each point (points: token, px, py)."""
     p = points.withColumns({"tx": _tile(F.col("px")), "ty": _tile(F.col("py"))})
-    near = p.join(tiled(records), ["tx", "ty"])
+    near = p.join(map_side(records), ["tx", "ty"])
     return near.filter(contains(F.col("ring"), F.col("px"), F.col("py"))).groupBy("token", "layer").agg(
         F.min("record").alias("record"))
 
@@ -76,8 +94,7 @@ def records_in_patch(patches: DataFrame, records: DataFrame) -> DataFrame:
         "ty", F.explode(F.sequence(_tile(F.col("y0")), _tile(F.col("y1")))))
     x0, y0, x1, y1 = (F.col(n) for n in ("x0", "y0", "x1", "y1"))
     boxes_meet = (F.col("min_x") <= x1) & (F.col("max_x") >= x0) & (F.col("min_y") <= y1) & (F.col("max_y") >= y0)
-    # a pair sharing several tiles is kept once, before the exact test
-    pairs = p.join(tiled(records), ["tx", "ty"]).filter(boxes_meet).dropDuplicates(["token", "layer", "record"])
+    pairs = p.join(map_side(records), ["tx", "ty"]).filter(once(x0, y0) & boxes_meet)
 
     def touches(e: Column) -> Column:
         t0, t1 = clip_span(e["a"], e["b"], x0, y0, x1, y1)
@@ -166,7 +183,7 @@ def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: fl
                           "min_y": F.least("ay", "by"), "max_y": F.greatest("ay", "by")})
     span = lambda c: F.sequence(_tile(c - reach), _tile(c + reach))
     p = poses.select("token", "gx", "gy", "gyaw").withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
-    pairs = p.join(tiled(s), ["tx", "ty"]).dropDuplicates(["token", "layer", "record", "seg"])
+    pairs = p.join(map_side(s), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach))
 
     def ego(x: str, y: str) -> Column:
         at = geom.to_ego_xy(F.col(x), F.col(y), F.col("gx"), F.col("gy"), F.col("gyaw"))
@@ -202,7 +219,7 @@ def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
     piece = F.element_at(F.filter("_cum", lambda c: c["start"] <= F.col("s")), -1)
     q = placed.withColumn("c", piece)
     t = F.least(F.lit(1.0), (F.col("s") - F.col("c.start")) / F.col("c.x.len"))
-    return q.select("token", "layer", "record", "part", "i",
+    return q.select("token", "layer", "record", "part", "length", "i",
                     (F.col("c.x.p.x") + (F.col("c.x.q.x") - F.col("c.x.p.x")) * t).alias("x"),
                     (F.col("c.x.p.y") + (F.col("c.x.q.y") - F.col("c.x.p.y")) * t).alias("y"))
 
@@ -243,7 +260,7 @@ def patch_mask(poses: DataFrame, records: DataFrame, cell: float, half: float) -
     g = geom.rotate(at(F.col("cx")), at(F.col("cy")), F.col("gyaw"))
     pts = cells.select("token", "cx", "cy", (F.col("gx") + g.x).alias("px"), (F.col("gy") + g.y).alias("py"))
     p = pts.withColumns({"tx": _tile(F.col("px")), "ty": _tile(F.col("py"))})
-    hit = p.join(tiled(records), ["tx", "ty"]).filter(contains(F.col("ring"), F.col("px"), F.col("py")))
+    hit = p.join(map_side(records), ["tx", "ty"]).filter(contains(F.col("ring"), F.col("px"), F.col("py")))
     return hit.select("token", "layer", "cx", "cy").distinct()
 
 

@@ -154,11 +154,9 @@ WINDOW w AS (PARTITION BY token, layer, record ORDER BY seg))""")
 SELECT token, layer, record, part::BIGINT AS part, {s6("sum(len)")} AS length, (greatest(1, round(sum(len))) + 1)::BIGINT AS samples FROM clipped
 GROUP BY token, layer, record, part HAVING sum(len) >= 0.5""")
 def k3(v):
-    p = parts(v)
-    pts = maps.resample(p)
-    return pts.groupBy("token", "layer", "record", "part").agg(F.count(F.lit(1)).alias("samples")).join(
-        p.select("token", "layer", "record", "part", "length"), ["token", "layer", "record", "part"]).select(
-        "token", "layer", "record", "part", r6("length").alias("length"), "samples")
+    pts = maps.resample(parts(v))
+    return pts.groupBy("token", "layer", "record", "part").agg(
+        r6(F.max("length")).alias("length"), F.count(F.lit(1)).alias("samples"))
 
 
 def raster(v):
