@@ -1,7 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
-``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores.  Every query is
-warmed once and then timed; the value is the sum of the timed runs.  ``stage_tables`` is
+``BENCH_SF_DIR`` names the data folder, ``BENCH_CPUS`` the local cores.  Every query
+is run twice and the second run counts (a run over 20 s
+counts at once); the value is the sum of the timed runs.  ``stage_tables`` is
 the time to derive and write the frame, box and future tables the other queries read.
 """
 
@@ -37,10 +38,13 @@ def main() -> None:
     v.all_boxes, v.futures, v.facts("gt")  # noqa: B018  (each writes its stage table)
     timings["stage_tables"] = round(time.time() - start, 3)
     for name in HEADLINE:
-        consume(catalog.QUERIES[name](spark, sf_dir))
-        start = time.time()
-        consume(catalog.QUERIES[name](spark, sf_dir))
-        timings[name] = round(time.time() - start, 3)
+        for _ in range(2):
+            start = time.time()
+            consume(catalog.QUERIES[name](spark, sf_dir))
+            timings[name] = round(time.time() - start, 3)
+            # warming up matters for short runs only
+            if timings[name] > 20:
+                break
     print(json.dumps({
         "metric": "headline_total_seconds", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": os.path.basename(sf_dir.rstrip("/")),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geom
+from kerbside.operators.ordered import spread
 
 TILE = 8.0
 
@@ -67,11 +68,17 @@ def contains(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(False), lambda acc, e: acc != crossing(e))
 
 
+def _inside(px: Column, py: Column) -> Column:
+    """Bounds first: the exact test then runs on the few records that can hold the point."""
+    near = (px >= F.col("min_x")) & (px <= F.col("max_x")) & (py >= F.col("min_y")) & (py <= F.col("max_y"))
+    return F.when(near, contains(F.col("ring"), px, py)).otherwise(False)
+
+
 def layers_on_point(points: DataFrame, records: DataFrame) -> DataFrame:
     """First record of each polygon layer under each point (points: token, px, py)."""
     p = points.withColumns({"tx": _tile(F.col("px")), "ty": _tile(F.col("py"))})
     near = p.join(map_side(records), ["tx", "ty"])
-    return near.filter(contains(F.col("ring"), F.col("px"), F.col("py"))).groupBy("token", "layer").agg(
+    return near.filter(_inside(F.col("px"), F.col("py"))).groupBy("token", "layer").agg(
         F.min("record").alias("record"))
 
 
@@ -182,7 +189,7 @@ def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: fl
     s = segs.withColumns({"min_x": F.least("ax", "bx"), "max_x": F.greatest("ax", "bx"),
                           "min_y": F.least("ay", "by"), "max_y": F.greatest("ay", "by")})
     span = lambda c: F.sequence(_tile(c - reach), _tile(c + reach))
-    p = poses.select("token", "gx", "gy", "gyaw").withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
+    p = spread(poses.select("token", "gx", "gy", "gyaw"), "token").withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
     pairs = p.join(map_side(s), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach))
 
     def ego(x: str, y: str) -> Column:
@@ -256,11 +263,11 @@ def patch_mask(poses: DataFrame, records: DataFrame, cell: float, half: float) -
     n = int(2 * half / cell)
     idx = F.sequence(F.lit(0), F.lit(n - 1))
     at = lambda i: -half + cell * (i + 0.5)
-    cells = poses.select("token", "gx", "gy", "gyaw", F.explode(idx).alias("cx")).withColumn("cy", F.explode(idx))
+    cells = spread(poses.select("token", "gx", "gy", "gyaw"), "token").select("*", F.explode(idx).alias("cx")).withColumn("cy", F.explode(idx))
     g = geom.rotate(at(F.col("cx")), at(F.col("cy")), F.col("gyaw"))
     pts = cells.select("token", "cx", "cy", (F.col("gx") + g.x).alias("px"), (F.col("gy") + g.y).alias("py"))
     p = pts.withColumns({"tx": _tile(F.col("px")), "ty": _tile(F.col("py"))})
-    hit = p.join(map_side(records), ["tx", "ty"]).filter(contains(F.col("ring"), F.col("px"), F.col("py")))
+    hit = p.join(map_side(records), ["tx", "ty"]).filter(_inside(F.col("px"), F.col("py")))
     return hit.select("token", "layer", "cx", "cy").distinct()
 
 

@@ -15,6 +15,17 @@ from pyspark.sql import functions as F
 CHUNK = 4096
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before a step that multiplies them.
+
+    A narrow input may sit in few files; the explicit count keeps AQE from merging the
+    partitions by their small size before the fan-out.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def over_scene(
     df: DataFrame,
     before: int,
