@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, html, quality_rules, secrets, simhash
+from kerbside.llm import bpe, html, pii, quality_rules, resharding, secrets, simhash
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,14 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "n_random", F.sha2("kb_base", 256).alias("base_sha256"), F.col("kb_spans").alias("spans"))
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resharding.assign(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
