@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, html, pii, quality_rules, resharding, secrets, simhash
+from kerbside.llm import bpe, embeddings, html, importance, mixing, pii, quality_rules, resharding, secrets, simhash
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_min_cost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resharding.assign(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("old").alias("old_shard"))
+
+
+@query
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Target shares of the tokens for the query of operator 10.
+TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.rates(docs, table(spark, sf_dir, "labels"), TARGETS, keep_text=False)
+    return out.select("doc_id", "source", F.col("kb_tokens").alias("n_tokens"), *[F.col(f"kb_p.{k}").alias(f"p_{k}") for k in mixing.DOMAINS],
+                      F.col("kb_rate").alias("rate"), F.col("kb_copies").alias("copies"))
