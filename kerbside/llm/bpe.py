@@ -225,11 +225,15 @@ def _with_codec(docs: DataFrame, text: str, vocabulary: str | None, most: int, f
 
 
 def encode(docs: DataFrame, text: str = "text", vocabulary: str | None = None, most: int = DICTIONARY) -> DataFrame:
-    """Every row with ``ids`` (array of int) in place of its text; null text: no ids.
+    """Every row with ``ids`` (array of int) in place of its text, and ``exact``: they decode to the text; null text: no ids.
 
     The text ``<|endoftext|>`` is the special token.  Repeated rows each give a row, an empty table an empty one.
     """
-    return _with_codec(docs, text, vocabulary, most, lambda own, t: (own.encode(t).tolist(),), "ids array<int>")
+    def one(own: Codec, t: str):
+        ids = own.encode(t)
+        return ids.astype(np.int32), own.decode(ids.tolist()) == t
+
+    return _with_codec(docs, text, vocabulary, most, one, "ids array<int>, exact boolean")
 
 
 def decode(encoded: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:

@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import staged
 
 DOMAINS = ("good", "poor", "toxic")
-BUCKETS, TRAIN_DOCS = 1 << 15, 4000
-#: A bucket counts only if a domain holds it more or less often than by chance by so many standard deviations.
-MIN_Z = 5.0
+TRAIN_DOCS = 4000
+#: A feature counts only if a domain holds it more or less often than by chance by so many standard deviations.
+MIN_Z = 8.0
+CHOSEN, FIT_STEPS, RIDGE = 64, 500, 1e-5
 STEPS, CLOSE = 40, 1e-3
 DIGITS = 4
 
@@ -32,7 +34,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _features(text: Column) -> Column:
-    """Distinct buckets of the words of a text and of its shape."""
+    """Distinct 64-bit hashes of the words of a text and of its shape."""
     low = F.lower(text)
     words = F.filter(F.split(low, r"[^\p{L}]+"), lambda w: w != "")
     size = F.greatest(F.char_length(text), F.lit(1))
@@ -42,7 +44,7 @@ def _features(text: Column) -> Column:
                     level("=digit", share("[0-9]")))
     kinds = _let(words, lambda w: F.concat(F.array_distinct(w), F.array(F.concat(F.lit("=kinds"), F.floor(
         10 * F.size(F.array_distinct(w)) / F.greatest(F.size(w), F.lit(1))).cast("string")))))
-    return F.array_distinct(F.transform(F.concat(kinds, shape), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    return F.array_distinct(F.transform(F.concat(kinds, shape), lambda w: F.xxhash64(w)))
 
 
 def domain_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -52,10 +54,11 @@ def domain_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return known.select(id_col, F.when(F.col("t") == 1, 2).when(F.col("q") == 0, 1).otherwise(0).alias("kb_domain"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> tuple[list[list[float]], list[float]]:
-    """Weights by bucket of poor and toxic against good, and their log priors, from at most ``most`` documents a domain.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> tuple[list, list[list[float]], list[float]]:
+    """Softmax regression: the chosen features, weights of poor and toxic against good, and their offsets.
 
-    Documents are taken by the hash of their ids; the driver holds one count for each domain and bucket.
+    It is fitted on at most ``most`` labelled documents of each domain, taken by the hash of their ids.  At most ``CHOSEN``
+    features for each of poor and toxic, those that set it most apart from good, are used; only these reach the driver.
     """
     known = domain_of(labels, id_col)
     sizes = {r.kb_domain: r["count"] for r in known.groupBy("kb_domain").count().collect()}
@@ -63,33 +66,75 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = parts[0].union(parts[1]).union(parts[2])
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), t.alias("kb_t")).join(F.broadcast(chosen), id_col)  # at most 3 x ``most`` ids
-    held = rows.select("kb_domain", F.explode(_features(F.col("kb_t"))).alias("b")).groupBy("kb_domain", "b").count().collect()
-    count = {(r.kb_domain, r.b): r["count"] for r in held}
-    held_in = [sum(n for (d, _), n in count.items() if d == k) for k in range(3)]
-    total = sum(sizes.values())
-    priors = [math.log((sizes.get(k, 0) + 1) / (total + 3)) for k in range(3)]
-    weights = [[0.0] * BUCKETS for _ in range(2)]
-    for b in {b for _, b in count}:
-        good = count.get((0, b), 0)
-        for k in (1, 2):
-            if not held_in[k] or not held_in[0]:
-                continue
-            own, share = count.get((k, b), 0), held_in[k] / (held_in[k] + held_in[0])
-            expected = (own + good) * share
-            if abs(own - expected) >= MIN_Z * math.sqrt(expected * (1 - share) + 1):
-                weights[k - 1][b] = math.log((own + 0.5) / (held_in[k] + 1)) - math.log((good + 0.5) / (held_in[0] + 1))
-    return weights, [priors[k] - priors[0] for k in (1, 2)]
+    # copies would make chance words look telling: a set of features counts once in a domain
+    rows = staged(rows.select("kb_domain", F.array_sort(_features(F.col("kb_t"))).alias("f")).distinct())
+    best = _telling(rows)
+    if not best:
+        return [], [[], []], [-8.0, -8.0]
+    wanted = _longs(best)
+    sample = rows.select("kb_domain", F.array_sort(F.array_intersect("f", wanted)).alias("f")).groupBy("kb_domain", "f").count().collect()
+    return best, *_softmax([(r.kb_domain, r.f, r["count"]) for r in sample], best, sizes)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _telling(rows: DataFrame) -> list[int]:
+    """Features that poor or toxic documents hold more or less often than good ones, beyond chance."""
+    held = {r.kb_domain: r.n for r in rows.groupBy("kb_domain").agg(F.sum(F.size("f")).alias("n")).collect()}
+    counts = rows.select("kb_domain", F.explode("f").alias("b")).groupBy("b").agg(
+        *[F.count(F.when(F.col("kb_domain") == k, 1)).alias(f"n{k}") for k in range(3)])
+    best: set[int] = set()
+    for k in (1, 2):
+        if not held.get(k) or not held.get(0):
+            continue
+        share = held[k] / (held[k] + held[0])
+        both = F.col(f"n{k}") + F.col("n0")
+        z = F.abs(F.col(f"n{k}") - both * share) / F.sqrt(both * (share * (1 - share)) + 1)
+        best |= {r.b for r in counts.select("b", z.alias("z")).where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "b").limit(CHOSEN).collect()}
+    return sorted(best)
+
+
+def _softmax(sample: list, best: list[int], sizes: dict[int, int]) -> tuple[list[list[float]], list[float]]:
+    """Weighted softmax regression by gradient steps; good's weights are zero, offsets are moved to the labelled shares."""
+    place = {b: i for i, b in enumerate(best)}
+    sample = sorted(sample)
+    x = np.zeros((len(sample), len(best) + 1), dtype=np.float32)
+    x[:, -1] = 1
+    for i, (_, f, _) in enumerate(sample):
+        x[i, [place[b] for b in f]] = 1
+    y = np.eye(3, dtype=np.float32)[[d for d, _, _ in sample]]
+    n = np.array([c for _, _, c in sample], dtype=np.float32)
+    drawn = [float(n[y[:, k] == 1].sum()) for k in range(3)]
+    w = np.zeros((len(best) + 1, 3), dtype=np.float32)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, FIT_STEPS + 1):
+        z = x @ w
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        g = x.T @ ((y - p) * n[:, None]) / n.sum()
+        g[:-1] -= RIDGE * w[:-1]
+        g[:, 0] = 0
+        first = 0.9 * first + 0.1 * g
+        second = 0.999 * second + 0.001 * g * g
+        w += 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    moved = [math.log(((sizes.get(k, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) / ((drawn[k] + 0.5) / (drawn[0] + 0.5))) for k in (1, 2)]
+    return [w[:-1, k].tolist() for k in (1, 2)], [float(w[-1, k]) + m for k, m in zip((1, 2), moved)]
 
 
 def posteriors(docs: DataFrame, model, text: str = "text") -> DataFrame:
     """Every row with ``kb_tokens`` (words between white space) and ``kb_p``, its posteriors rounded to four digits."""
-    weights, priors = model
+    best, weights, offsets = model
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    tables = [F.split(F.lit(",".join(f"{w:.6g}" for w in ws)), ",").cast("array<double>") for ws in weights]
+    pairs = [F.split(F.lit(",".join(repr(w) for w in ws)), ",").cast("array<double>") for ws in weights]
 
     def scored(found: Column) -> Column:
-        summed = lambda table: F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, b))
-        logits = [F.lit(p) + summed(table) for table, p in zip(tables, priors)]
+        # the few chosen features of a text, looked up one by one
+        def summed(table: Column) -> Column:
+            return F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, F.array_position(_longs(best), b).cast("int") - 1))
+
+        logits = [F.lit(offset) + (summed(table) if best else F.lit(0.0)) for table, offset in zip(pairs, offsets)]
         return F.struct(logits[0].alias("a"), logits[1].alias("b"))
 
     def normal(s: Column) -> Column:
@@ -99,8 +144,9 @@ def posteriors(docs: DataFrame, model, text: str = "text") -> DataFrame:
         poor, toxic = F.round(each[1] / whole, DIGITS), F.round(each[2] / whole, DIGITS)
         return F.struct(F.round(F.lit(1.0) - poor - toxic, DIGITS).alias("good"), poor.alias("poor"), toxic.alias("toxic"))
 
+    found = F.array_intersect(_features(t), _longs(best)) if best else F.array().cast("array<bigint>")
     tokens = F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
-    return docs.withColumns({"kb_tokens": tokens, "kb_p": _let(_let(_features(t), scored), normal)})
+    return docs.withColumns({"kb_tokens": tokens, "kb_p": _let(_let(found, scored), normal)})
 
 
 def _rate(p: Column, history: list[list[float]]) -> Column:
@@ -129,9 +175,12 @@ def solve(scored: DataFrame, targets: dict[str, float] | None = None, steps: int
     budget = start[0] + start[1]
     want = [budget * targets.get(k, 0.0) for k in DOMAINS] if targets else [start[0], start[1], 0.0]
     history: list[list[float]] = []
-    while len(history) < steps and max(abs(s - w) for s, w in zip(now, want)) > close * max(sum(start), 1.0):
+    whole = max(sum(start), 1.0)
+    while len(history) < steps and max(abs(s - w) for s, w in zip(now, want)) > close * whole:
         history.append([(s - w) / s0 if s0 else 0.0 for s, w, s0 in zip(now, want, start)])
-        now = totals(history)
+        was, now = now, totals(history)
+        if max(abs(a - b) for a, b in zip(was, now)) < close * whole:
+            break  # the targets are met as far as posteriors allow
     return history, {"before": start, "after": now, "targets": want}
 
 
@@ -144,7 +193,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     An empty table gives an empty result; other columns pass through.
     """
     scored = posteriors(docs, fit(docs, labels, id_col, text), text)
-    if not keep_text:
-        scored = staged(scored.drop(text))
+    # written once: what follows would otherwise compute the posteriors again for each use
+    scored = staged(scored if keep_text else scored.drop(text))
     history, _ = solve(scored, targets)
     return scored.withColumn("kb_rate", F.round(_rate(F.col("kb_p"), history), 6)).withColumn("kb_copies", F.floor(F.col("kb_rate") + 0.5).cast("int"))

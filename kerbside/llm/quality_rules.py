@@ -113,8 +113,8 @@ def hash_line(line: bytes) -> int:
     return xxhash.xxh64_intdigest(line, 42) - 2**63
 
 
-def judge(docs: DataFrame, field: Crf, text: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
-    """Every row without its text, with the base counts, ``content_share``, ``base_failed`` and ``kept``.
+def judge(docs: DataFrame, field: Crf, text: str = "text", min_share: float = MIN_SHARE, keep: list[str] | None = None) -> DataFrame:
+    """Every row (of it ``keep``, by default all but the text), with the base counts, ``content_share``, ``base_failed`` and ``kept``.
 
     Null or empty text: no words, so the base rules reject it (share 0).  Repeated rows each give a row; an
     empty table an empty one; other columns pass through.
@@ -135,4 +135,4 @@ def judge(docs: DataFrame, field: Crf, text: str = "text", min_share: float = MI
 
     small_batches(docs.sparkSession)
     return map_rows(docs, run, text, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-                    "content_share double, base_failed boolean, kept boolean")
+                    "content_share double, base_failed boolean, kept boolean", keep)

@@ -44,9 +44,9 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Every row with its ``fp`` (long) in place of the text column; a null text counts as empty."""
-    return map_rows(docs, lambda texts: [(fingerprint(t, shingle),) for t in texts], text, "fp long")
+def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """Every row (of it ``keep``, by default all but the text) with its ``fp`` (long); a null text counts as empty."""
+    return map_rows(docs, lambda texts: [(fingerprint(t, shingle),) for t in texts], text, "fp long", keep)
 
 
 class Forest:
@@ -169,6 +169,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE,
+                blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id stays.
+
+    Of repeated rows one stays.  Null text is empty; a null id stays only where no row of its component has an id.
+    """
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),
+                         F.col(f"`{text}`").alias("t"), F.monotonically_increasing_id().alias("uid"))
+    # once written, the numbers of the rows hold
+    rows = staged(fingerprints(marked, "t", shingle, ["row", "id", "uid"]))
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "uid")).alias("first")
+    prints = rows.groupBy("fp").agg(first)
+    comp = components(links(prints.select("fp"), radius, blocks, shard))
+    named = prints.join(comp.withColumnRenamed("v", "fp"), "fp", "left").withColumn("c", F.coalesce("c", "fp"))
+    stays = named.groupBy("c").agg(F.min("first").alias("first")).select("first.uid")
+    return rows.join(stays, "uid", "left_semi").select("row.*")
+
+
 def fp_hex(fp):
     """16 lowercase hex digits of the unsigned fingerprint."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
