@@ -23,7 +23,7 @@ from kerbside.llm.common import staged
 DOMAINS = ("good", "poor", "toxic")
 TRAIN_DOCS = 4000
 #: A feature counts only if a domain holds it more or less often than by chance by so many standard deviations.
-MIN_Z = 8.0
+MIN_Z = 5.0
 CHOSEN, FIT_STEPS, RIDGE = 64, 500, 1e-5
 STEPS, CLOSE = 40, 1e-3
 DIGITS = 4
