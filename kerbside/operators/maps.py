@@ -182,7 +182,8 @@ def element_class(layer: Column) -> Column:
 def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: float = 0.5) -> DataFrame:
     """Map lines in the ego frame, clipped to the patch and cut into connected parts.
 
-    One row per kept part: (token, layer, record, part, length, pieces).  Parts start
+    One row per kept part: (token, layer, record, part, length, pieces, line), lines counted
+    from 0 in each frame by layer, record and part.  Parts start
     anew where a clipped piece does not continue the one before it.
     """
     reach = half * 2 ** 0.5
@@ -211,12 +212,13 @@ def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: fl
     return parts.groupBy("token", "layer", "record", "part").agg(
         F.sum("len").alias("length"),
         F.sort_array(F.collect_list(F.struct("seg", "p", "q", "len"))).alias("pieces"),
-    ).filter(F.col("length") >= min_length)
+    ).filter(F.col("length") >= min_length).withColumn(
+        "line", F.row_number().over(Window.partitionBy("token").orderBy("layer", "record", "part")) - 1)
 
 
 def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
-    """Points about every ``spacing`` metres along each part, both ends included."""
-    n = F.greatest(F.lit(1), F.round(F.col("length") / spacing).cast("int"))
+    """Points about every ``spacing`` metres along each part, both ends included: one more than whole spacings, two at least."""
+    n = F.greatest(F.lit(1), F.floor(F.col("length") / spacing).cast("int"))
     cum = F.transform("pieces", lambda x, i: F.struct(
         F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0.0), lambda a, y: a + y["len"]).alias("start"), x.alias("x")))
     pts = parts.withColumns({"n": n, "_cum": cum}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
@@ -226,7 +228,7 @@ def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
     piece = F.element_at(F.filter("_cum", lambda c: c["start"] <= F.col("s")), -1)
     q = placed.withColumn("c", piece)
     t = F.least(F.lit(1.0), (F.col("s") - F.col("c.start")) / F.col("c.x.len"))
-    return q.select("token", "layer", "record", "part", "length", "i",
+    return q.select("token", "layer", "record", "part", "line", "length", "i",
                     (F.col("c.x.p.x") + (F.col("c.x.q.x") - F.col("c.x.p.x")) * t).alias("x"),
                     (F.col("c.x.p.y") + (F.col("c.x.q.y") - F.col("c.x.p.y")) * t).alias("y"))
 
@@ -238,11 +240,10 @@ def line_raster(samples: DataFrame, cell: float, half: float, thickness: int = 1
     """
     size = int(2 * half / cell)
     r = thickness // 2
-    line = F.col("record") * 64 + F.col("part")
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-r, r + 1) for j in range(-r, r + 1)])
     cells = samples.withColumn("cls", element_class(F.col("layer"))).filter("cls IS NOT NULL").select(
-        "token", "cls", line.alias("line"), F.floor((F.col("x") + half) / cell).alias("bx"),
-        F.floor((F.col("y") + half) / cell).alias("by"), F.explode(around).alias("d"))
+        "token", "cls", "line", F.floor((F.round("x", 6) + half) / cell).alias("bx"),
+        F.floor((F.round("y", 6) + half) / cell).alias("by"), F.explode(around).alias("d"))
     placed = cells.select("token", "cls", "line", (F.col("bx") + F.col("d.i")).alias("cx"), (F.col("by") + F.col("d.j")).alias("cy"))
     inside = placed.filter(F.col("cx").between(0, size - 1) & F.col("cy").between(0, size - 1))
     return inside.groupBy("token", "cls", "cx", "cy").agg(F.max("line").alias("line"))

@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kerbside.session import written
+
 CHUNK = 4096
 
 
@@ -106,19 +108,31 @@ def running_sums(
 
 def _with_offsets(cut, counted, keys, group, totals, build, order) -> DataFrame:
     pieces = counted.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()])
-    earlier = (
-        Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    ).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(
-        *keys,
-        *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"_before{n}") for n in totals],
-    )
+    offsets = _before(pieces, keys, group, list(totals))
     window = Window.partitionBy(*keys).orderBy(*order)
     joined = cut.join(offsets, keys)
     added = joined.select("*", *[c.alias(n) for n, c in build(window).items()])
     return added.drop("_bucket", *[f"_before{n}" for n in totals])
 
 
+def _before(pieces: DataFrame, keys, group, totals: list[str]) -> DataFrame:
+    """``_before*``: totals of the earlier pieces of the group, in two levels.
+
+    Pieces are dealt by range of (group, bucket) and written once, so that the ranges hold.  Totals of
+    ranges, a few for each task, are summed first; then pieces add up inside their range.  No task sees
+    all pieces of an ungrouped order or of a large group.
+    """
+    spark = pieces.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(pieces.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy(*group, "_range").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranged.groupBy(*group, "_range").agg(*[F.sum(t).alias(t) for t in totals]).select(
+        *group, "_range", *[F.coalesce(F.sum(t).over(across), F.lit(0)).alias(f"_r{t}") for t in totals])
+    placed = ranged.join(ranges, [*group, "_range"])
+    return placed.select(*keys, *[(F.coalesce(F.sum(t).over(inside), F.lit(0)) + F.col(f"_r{t}")).alias(f"_before{t}") for t in totals])
+
+
 def sparse_neighbours(
     df: DataFrame,
     group: Sequence[str],

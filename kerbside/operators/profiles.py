@@ -82,7 +82,7 @@ def end_alignment(frames: DataFrame, scenes: DataFrame) -> DataFrame:
 
 def probe_folds(scenes: DataFrame, folds: int) -> DataFrame:
     """Episode-grouped folds: the place of an episode in name order, modulo ``folds``."""
-    pos = ordinal(scenes, ["scene_token"], "_p", bucket=F.substring("scene_token", 1, 5))
+    pos = ordinal(scenes, ["scene_token"], "_p", bucket=F.col("scene_token"))
     return pos.withColumn("fold", (F.col("_p") % folds).cast("int")).drop("_p")
 
 

@@ -37,10 +37,9 @@ def sample(frames: DataFrame, strategy: str, seed: int = 0) -> DataFrame:
     share = re.fullmatch(r"(\d+(?:\.\d+)?)%", amount)
     n = F.ceil(total * (float(share.group(1)) / 100)) if share else F.lit(int(amount))
     if kind == "random":
-        # order by a seeded hash: repeatable, and its top bits are ready-made buckets
-        h = F.xxhash64("token", F.lit(seed))
-        hashed = frames.withColumn("_h", h)
-        return ordinal(hashed, ["_h", "token"], "_pos", bucket=F.shiftright("_h", 52)).filter(
+        # order by a seeded hash: repeatable, and its first digits are ready-made buckets
+        hashed = frames.withColumn("_h", _seeded("token", seed))
+        return ordinal(hashed, ["_h", "token"], "_pos", bucket=F.substring("_h", 1, 3)).filter(
             F.col("_pos") < n).drop("_h", "_pos")
     placed = with_position(frames, "_pos")
     if kind == "first":
@@ -50,6 +49,10 @@ def sample(frames: DataFrame, strategy: str, seed: int = 0) -> DataFrame:
     raise ValueError(f"unknown sampling strategy {strategy!r}")
 
 
+def _seeded(name: str, seed: int) -> Column:
+    return F.md5(F.concat(name, F.lit(f":{seed}")))
+
+
 def evenly(frames: DataFrame, n: int) -> DataFrame:
     """``n`` rows at rounded, evenly spaced positions (half to even)."""
     placed = with_position(frames)
@@ -62,7 +65,7 @@ def evenly(frames: DataFrame, n: int) -> DataFrame:
 def scene_dim(frames: DataFrame) -> DataFrame:
     """One row per scene with its length and its place in name order."""
     scenes = frames.groupBy("scene_token").agg(F.count(F.lit(1)).alias("n"))
-    return ordinal(scenes, ["scene_token"], "scene_pos", bucket=F.substring("scene_token", 1, 5))
+    return ordinal(scenes, ["scene_token"], "scene_pos", bucket=F.col("scene_token"))
 
 
 def episode_shard(frames: DataFrame, shards: int) -> DataFrame:
@@ -127,14 +130,16 @@ def balanced_shard(frames: DataFrame, shards: int) -> DataFrame:
         "start").withColumn("key", F.col("start") + F.col("i") * F.col("n"))
     width = F.col("n") * 4096
     seats = ordinal(seats, ["key", "shard"], "place", group=["n"], bucket=F.floor(F.col("key") / width))
-    ranked = ordinal(scenes, ["scene_token"], "place", group=["n"], bucket=F.substring("scene_token", 1, 5))
+    ranked = ordinal(scenes, ["scene_token"], "place", group=["n"], bucket=F.col("scene_token"))
     owner = ranked.join(seats.select("n", "place", "shard"), ["n", "place"]).select("scene_token", "shard")
     return frames.join(owner, "scene_token")
 
 
 def scene_shuffle(frames: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """Scenes in a seeded random order, frames in order inside a scene."""
-    return frames.orderBy(F.xxhash64("scene_token", F.lit(seed + epoch)), "scene_token", "frame_idx")
+    """Scenes in a seeded random order, frames in order inside a scene; ``pos`` is the place of a row."""
+    hashed = frames.withColumn("_h", _seeded("scene_token", seed + epoch))
+    bucket = F.struct(F.col("_h"), F.col("scene_token"), F.floor(F.col("frame_idx") / 65536).alias("piece"))
+    return ordinal(hashed, ["_h", "scene_token", "frame_idx"], "pos", bucket=bucket).drop("_h")
 
 
 def padded_partition(frames: DataFrame, workers: int, batch: int = 1) -> DataFrame:

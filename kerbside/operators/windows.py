@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,15 +186,15 @@ def frame_offsets(poses: DataFrame, offsets: range) -> DataFrame:
     return ref.join(other, ["scene_token", "frame_idx"])
 
 
-def reframe_boxes(boxes: DataFrame, poses: DataFrame, future: int = 4) -> DataFrame:
-    """Boxes of frames t..t+future expressed in the ego frame of frame t."""
+def reframe_boxes(boxes: DataFrame, poses: DataFrame, future: int = 4, keep: Sequence[str] = ()) -> DataFrame:
+    """Boxes of frames t..t+future expressed in the ego frame of frame t, with the columns in ``keep``."""
     pairs = frame_offsets(poses, range(future + 1))
-    joined = pairs.join(boxes.select("token", "actor_id", "x", "y", "yaw"), "token")
+    joined = pairs.join(boxes.select("token", "actor_id", "x", "y", "yaw", *keep), "token")
     g = geom.rotate(F.col("x"), F.col("y"), F.col("gyaw"))
     at = geom.to_ego_xy(g.x + F.col("gx"), g.y + F.col("gy"), F.col("rx"), F.col("ry"), F.col("ryaw"))
     return joined.select(
         "ref_token", "k", "actor_id", at.x.alias("x"), at.y.alias("y"),
-        geom.wrap(F.col("yaw") + F.col("gyaw") - F.col("ryaw")).alias("yaw"))
+        geom.wrap(F.col("yaw") + F.col("gyaw") - F.col("ryaw")).alias("yaw"), *keep)
 
 
 def agent_trajectories(anns: DataFrame, past_us: int = 2_000_000, future_us: int = 6_000_000,

@@ -16,9 +16,8 @@ KEYS = ["ref_token", "k"]
 def reframed(v, future: int = 4):
     """Vehicle boxes of frames t..t+future in frame t, with their sizes."""
     vehicles = v.gt_boxes.filter("category <> 'pedestrian'")
-    at = windows.reframe_boxes(vehicles, v.poses, future)
-    dims = vehicles.select(F.col("actor_id"), "category", "w", "l").distinct()
-    return at.join(dims, "actor_id").select(*KEYS, "actor_id", *[r6(c).alias(c) for c in ("x", "y", "yaw")], "w", "l")
+    at = windows.reframe_boxes(vehicles, v.poses, future, keep=["w", "l"])
+    return at.select(*KEYS, "actor_id", *[r6(c).alias(c) for c in ("x", "y", "yaw")], "w", "l")
 
 
 _COVERS = ("abs((px-x)*cos(yaw) + (py-y)*sin(yaw)) <= l/2 AND abs(-(px-x)*sin(yaw) + (py-y)*cos(yaw)) <= w/2")
@@ -127,18 +126,17 @@ def f17(v):
         "token", F.posexplode(F.arrays_zip("pred", "fut")).alias("i", "z"))
     paths = both.select("token", (F.col("i") + 1).alias("step"), F.col("z.pred.r").alias("pr"), F.col("z.pred.f").alias("pf"),
                         F.col("z.fut.r").alias("gr"), F.col("z.fut.f").alias("gf"))
-    ahead = windows.reframe_boxes(v.gt_boxes, v.poses, 6).filter("k > 0")
-    dims = v.gt_boxes.select("actor_id", "w", "l").distinct()
-    boxes = ahead.join(dims, "actor_id").select(
+    ahead = windows.reframe_boxes(v.gt_boxes, v.poses, 6, keep=["w", "l"]).filter("k > 0")
+    boxes = ahead.select(
         F.col("ref_token").alias("token"), F.col("k").alias("step"), *[r6(c).alias(c) for c in ("x", "y", "yaw")], "w", "l")
     return grid.planning_collisions(paths, boxes)
 
 
 register("det_pairs", """
-SELECT r.token AS ref_token, k, d.det_pos, d.x, d.y, d.yaw, d.w, d.l FROM frames r CROSS JOIN range(0, 2) t(k)
+SELECT r.token AS ref_token, k, d.det_pos, d.x, d.y, d.yaw, d.w, d.l FROM frames r CROSS JOIN range(0, 5) t(k)
 JOIN frames g ON g.scene_token = r.scene_token AND g.frame_idx = r.frame_idx + k JOIN detections d ON d.token = g.token WHERE d.score >= 0.3""")
 register("gt_pairs", """
-SELECT r.token AS ref_token, k, d.actor_id, d.x, d.y, d.yaw, d.w, d.l FROM frames r CROSS JOIN range(0, 2) t(k)
+SELECT r.token AS ref_token, k, d.actor_id, d.x, d.y, d.yaw, d.w, d.l FROM frames r CROSS JOIN range(0, 5) t(k)
 JOIN frames g ON g.scene_token = r.scene_token AND g.frame_idx = r.frame_idx + k JOIN gt_boxes d ON d.token = g.token""")
 register("det_cells", cells_sql("det_pairs", "ref_token, k", "det_pos"))
 register("gt_cells", cells_sql("gt_pairs", "ref_token, k", "actor_id"))
@@ -147,8 +145,8 @@ register("gt_grid", "SELECT ref_token, k, cx, cy, max(actor_id) AS actor_id FROM
 
 
 def step_grids(v):
-    """Detected and true instance grids of each frame and its next step."""
-    pairs = windows.frame_offsets(v.poses, range(2)).select("ref_token", "k", "token")
+    """Detected and true instance grids of each frame and its next four steps."""
+    pairs = windows.frame_offsets(v.poses, range(5)).select("ref_token", "k", "token")
     d = v.detections.filter("score >= 0.3").select("token", "det_pos", "x", "y", "yaw", "w", "l")
     g = v.gt_boxes.select("token", "actor_id", "x", "y", "yaw", "w", "l")
     p = grid.instance_grid(grid.box_cells(pairs.join(d, "token"), KEYS, "det_pos"), KEYS, "det_pos")

@@ -151,7 +151,7 @@ WINDOW w AS (PARTITION BY token, layer, record ORDER BY seg))""")
 
 
 @query("k3_clip_and_resample", f"""
-SELECT token, layer, record, part::BIGINT AS part, {s6("sum(len)")} AS length, (greatest(1, round(sum(len))) + 1)::BIGINT AS samples FROM clipped
+SELECT token, layer, record, part::BIGINT AS part, {s6("sum(len)")} AS length, (greatest(1, floor(sum(len))) + 1)::BIGINT AS samples FROM clipped
 GROUP BY token, layer, record, part HAVING sum(len) >= 0.5""")
 def k3(v):
     pts = maps.resample(parts(v))
@@ -163,13 +163,35 @@ def raster(v):
     return maps.line_raster(maps.resample(parts(v), 0.5), 0.5, 10.0, 3)
 
 
-@query("k4_line_raster")
+register("line_parts", """
+SELECT *, row_number() OVER (PARTITION BY token ORDER BY layer, record, part) - 1 AS line, greatest(1, floor(length/0.5))::BIGINT AS n
+FROM (SELECT token, layer, record, part, sum(len) AS length FROM clipped GROUP BY ALL HAVING sum(len) >= 0.5)""")
+register("line_pieces", """
+SELECT *, coalesce(sum(len) OVER (PARTITION BY token, layer, record, part ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM clipped""")
+register("line_points", """
+SELECT token, layer, line, i, arg_max(px + (qx - px)*(t0 + (t1 - t0)*least(1.0::DOUBLE, (s - start)/len)), start) AS x,
+  arg_max(py + (qy - py)*(t0 + (t1 - t0)*least(1.0::DOUBLE, (s - start)/len)), start) AS y
+FROM (SELECT *, length*i/n AS s FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM line_parts)) p JOIN line_pieces c USING (token, layer, record, part)
+WHERE start <= s GROUP BY ALL""")
+register("line_cells", """
+SELECT token, cls, cx, cy, max(line) AS line FROM (
+  SELECT token, CASE layer WHEN 'lanes' THEN 0 ELSE 2 END AS cls, line, floor((round(x, 6) + 10)/0.5)::BIGINT + a AS cx, floor((round(y, 6) + 10)/0.5)::BIGINT + b AS cy
+  FROM line_points CROSS JOIN range(-1, 2) t(a) CROSS JOIN range(-1, 2) u(b)) WHERE cx BETWEEN 0 AND 39 AND cy BETWEEN 0 AND 39 GROUP BY ALL""")
+
+
+@query("k4_line_raster", """
+SELECT token, cls, count(*) AS cells, count(DISTINCT line) AS lines, sum(line)::BIGINT AS sum_line, sum(cx)::BIGINT AS sum_cx, sum(cy)::BIGINT AS sum_cy
+FROM line_cells GROUP BY token, cls""")
 def k4(v):
     return raster(v).groupBy("token", "cls").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_distinct("line").alias("lines"), F.sum("cx").alias("sum_cx"), F.sum("cy").alias("sum_cy"))
+        F.count(F.lit(1)).alias("cells"), F.count_distinct("line").alias("lines"), F.sum("line").alias("sum_line"),
+        F.sum("cx").alias("sum_cx"), F.sum("cy").alias("sum_cy"))
 
 
-@query("k5_overlap_filter")
+@query("k5_overlap_filter", """
+SELECT token, cls, count(*) AS cells FROM line_cells JOIN (
+  SELECT token, cx, cy, max(cls) AS top FROM (SELECT token, cls, cx + a AS cx, cy + b AS cy FROM line_cells CROSS JOIN range(-2, 3) t(a) CROSS JOIN range(-2, 3) u(b))
+  GROUP BY ALL) USING (token, cx, cy) WHERE top <= cls GROUP BY token, cls""")
 def k5(v):
     kept = maps.drop_overlaps(raster(v), 2)
     return kept.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("cells"))

@@ -13,6 +13,10 @@ from kerbside.session import shared_folder
 from kerbside.streaming import jobs
 
 
+#: The derived frames count time from zero; streams need real event times.
+START_US = 1_700_000_000_000_000
+
+
 def _work(v) -> str:
     return f"{shared_folder(v.spark)}/streams/{uuid.uuid4().hex}"
 
@@ -22,7 +26,7 @@ def _as_stream(v, df, folder: str):
     return jobs.read_stream(v.spark, folder, df.schema)
 
 
-@query("l1_round_ingest", "SELECT token FROM frames WHERE frame_idx % 10 <= 2")
+@query("l1_round_ingest", "SELECT token FROM frames")
 def l1(v):
     work = _work(v)
     table = f"{work}/table"
@@ -35,10 +39,14 @@ def l1(v):
 
 
 @query("l2_gear_change_events", """
-SELECT token, reverse FROM (SELECT *, lag(reverse) OVER (PARTITION BY scene_token ORDER BY frame_idx) AS p FROM frames) WHERE p <> reverse""")
+SELECT token, reverse FROM (SELECT *, lag(reverse) OVER (PARTITION BY scene_token ORDER BY frame_idx) AS p
+  FROM (SELECT token, scene_token, frame_idx, (frame_idx = 0) <> reverse AS reverse FROM frames)) WHERE p <> reverse""")
 def l2(v):
     work = _work(v)
-    f = v.frames.select("scene_token", "frame_idx", "token", "reverse", "ts_us")
+    # from frame 20 of a scene on there is a pause of a minute
+    pause = F.when(F.col("frame_idx") >= 20, 60_000_000).otherwise(0)
+    f = v.frames.select("scene_token", "frame_idx", "token", ((F.col("frame_idx") == 0) != F.col("reverse")).alias("reverse"),
+                        (F.col("ts_us") + START_US + pause).alias("ts_us"))
     events = jobs.gear_change_events(_as_stream(v, f, f"{work}/in"))
     jobs.run_to_end(events, f"{work}/out", f"{work}/checkpoint")
     return v.spark.read.schema(events.schema).parquet(f"{work}/out").select("token", "reverse")
@@ -66,13 +74,13 @@ def l3(v):
     return jobs.track_lifecycle(v.detections.select("scene_token", F.col("det_pos").alias("slot"), "frame_idx", "score"))
 
 
-@query("l4_late_features")
+@query("l4_late_features", """
+SELECT token, CASE WHEN event_id % 50 <> 0 AND event_id % 7 <> 0 THEN 'feat/' || token END AS path, event_id % 50 <> 0 AND event_id % 7 <> 0 AS complete FROM frames""")
 def l4(v):
-    """Matches appear at once; rows still inside the watermark at the end stay unreported."""
+    """One row per conversation: with its feature if that came in time, else incomplete."""
     work = _work(v)
-    c = v.frames.select("token", "ts_us")
+    c = v.frames.select("token", (F.col("ts_us") + START_US).alias("ts_us"))
     late = F.when(F.col("event_id") % 7 == 0, 20_000_000).otherwise(1_000_000)
-    f = v.frames.filter("event_id % 50 <> 0").select("token", (F.col("ts_us") + late).alias("ts_us"), F.concat(F.lit("feat/"), "token").alias("path"))
-    joined = jobs.late_features(_as_stream(v, c, f"{work}/c"), _as_stream(v, f, f"{work}/f"))
-    jobs.run_to_end(joined, f"{work}/out", f"{work}/checkpoint")
-    return v.spark.read.schema(joined.schema).parquet(f"{work}/out")
+    f = v.frames.filter("event_id % 50 <> 0").select("token", (F.col("ts_us") + START_US + late).alias("ts_us"), F.concat(F.lit("feat/"), "token").alias("path"))
+    jobs.late_features_to_end(_as_stream(v, c, f"{work}/c"), _as_stream(v, f, f"{work}/f"), c, f"{work}/out", f"{work}/checkpoint")
+    return v.spark.read.parquet(f"{work}/out").select("token", "path", "complete")

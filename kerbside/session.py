@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,14 +41,21 @@ def local_session(cpus: int | str = 8, app: str = "kerbside", **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A scratch folder is made only where the session names none (local tests).
+    A scratch folder, removed when Python ends, is made only for a ``local`` master whose
+    session names none; on a cluster other executors could not see it, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
+    return scratch_folder(spark.sparkContext.master, spark.sparkContext.applicationId)
+
+
+def scratch_folder(master: str, app: str) -> str:
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if app not in _SCRATCH:
         _SCRATCH[app] = tempfile.mkdtemp(prefix="kerbside-")
+        atexit.register(shutil.rmtree, _SCRATCH[app], ignore_errors=True)
     return _SCRATCH[app]
 
 
@@ -57,3 +68,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends and its partitions stay as they are."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -48,12 +48,13 @@ def event_time(df: DataFrame) -> DataFrame:
     return df.withColumn("at", F.timestamp_micros("ts_us"))
 
 
-def gear_change_events(frames: DataFrame, late: str = "1 hour") -> DataFrame:
+def gear_change_events(frames: DataFrame, late: str = "1 hour", pause: str = "1 day") -> DataFrame:
     """Frames whose gear differs from the frame before; works on streams and batches.
 
-    The stream meets itself on (scene, frame_idx): state is keyed by single frames, so
-    a scene with most of the traffic still spreads, and the time bound plus watermark
-    lets old frames go.
+    The stream meets itself on (scene, frame_idx), which counts without gaps in a scene: state is
+    keyed by single frames, so a scene with most of the traffic still spreads.  ``pause`` is the longest
+    break between two frames of a scene and only lets old state go; a batch needs none.
+    Event times are real ones: a stream drops rows at or before the epoch as late.
     """
     f = event_time(frames)
     cur = f.select("scene_token", "frame_idx", "token", "reverse", "at")
@@ -61,8 +62,9 @@ def gear_change_events(frames: DataFrame, late: str = "1 hour") -> DataFrame:
                     F.col("reverse").alias("prev_reverse"), F.col("at").alias("prev_at"))
     if frames.isStreaming:
         cur, prev = cur.withWatermark("at", late), prev.withWatermark("prev_at", late)
-    met = cur.join(prev, ["scene_token", "frame_idx"]).filter(
-        (F.col("at") >= F.col("prev_at")) & (F.col("at") <= F.col("prev_at") + F.expr("INTERVAL 10 SECONDS")))
+    met = cur.join(prev, ["scene_token", "frame_idx"])
+    if frames.isStreaming:
+        met = met.filter((F.col("at") >= F.col("prev_at")) & (F.col("at") <= F.col("prev_at") + F.expr(f"INTERVAL {pause}")))
     return met.filter("reverse <> prev_reverse").select("scene_token", "frame_idx", "token", "reverse")
 
 
@@ -77,6 +79,21 @@ def late_features(conversations: DataFrame, features: DataFrame, bound: str = "1
     return c.join(f, on, "leftOuter").select("token", "path", F.col("path").isNotNull().alias("complete"))
 
 
+def late_features_to_end(conversations: DataFrame, features: DataFrame, done: DataFrame, out: str, checkpoint: str) -> None:
+    """Run the stream of ``late_features`` to its end, then report what it still held as incomplete.
+
+    The stream cannot know that nothing more comes, so rows inside its watermark stay in its state.
+    ``done`` is the finished input of conversations as a batch; those without a row in ``out`` are added
+    with ``complete`` false, in a batch of its own that a re-run writes anew.  Each conversation has one row.
+    """
+    joined = late_features(conversations, features)
+    run_to_end(joined, f"{out}/part=stream", checkpoint)
+    spark = done.sparkSession
+    told = spark.read.schema(joined.schema).parquet(f"{out}/part=stream")
+    rest = done.join(told, "token", "left_anti").select("token", F.lit(None).cast("string").alias("path"), F.lit(False).alias("complete"))
+    rest.write.mode("overwrite").parquet(f"{out}/part=closing")
+
+
 # ---- track lifecycle -------------------------------------------------------------------------
 
 def track_lifecycle(scores: DataFrame, birth: float = 0.5, weak: float = 0.4, tolerance: int = 5, *, chunk: int = 4096) -> DataFrame:
