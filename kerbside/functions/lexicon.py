@@ -51,20 +51,6 @@ MANNER_TEXT = {
     "closer_right": "the nearer of the two cars is on my right",
 }
 
-TEACHER_SYSTEM = (
-    "You are the inner monologue of a self-parking car. You are given a maneuver that "
-    "has ALREADY been decided and the grounded facts that justify it. Write the car's "
-    "reasoning in the FIRST PERSON, 1-2 short natural sentences.\n"
-    "Rules:\n"
-    "1. State the decision and justify it using ONLY the grounding lines provided.\n"
-    "2. Never mention any object, place, direction, or measurement that is not in the "
-    "grounding. If it is not listed, it does not exist.\n"
-    "3. Keep every direction qualitative (ahead / behind / left / right). NEVER output "
-    "degrees, angles, or raw coordinates.\n"
-    "4. Write it the way a careful driver actually thinks — do not just read the numbers "
-    "back robotically.\n"
-    "5. Output only the reasoning sentence(s). No preamble, no bullet points, no quotes."
-)
 TEACHER_CLOSING = (
     "Speak strictly in the first person (I, my). Never call yourself 'the car' or "
     "'the vehicle' — the guard reads those words as obstacle mentions.\n"

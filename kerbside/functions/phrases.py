@@ -74,7 +74,7 @@ def template_trace(decision: Column, phrases: Column) -> Column:
 
 
 def teacher_prompt(decision: Column, phrases: Column, allowed: Column) -> Column:
-    """User prompt of the teacher; the system text is ``lexicon.TEACHER_SYSTEM``."""
+    """User prompt of the teacher."""
     lines = F.array_join(F.transform(phrases, lambda p: F.concat(F.lit("- "), p)), "\n")
     names = F.array_join(F.array_sort(allowed), ", ")
     return F.concat(

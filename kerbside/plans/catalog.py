@@ -6,6 +6,7 @@ from kerbside.plans import (  # noqa: F401
     queries_grid,
     queries_maps,
     queries_rules,
+    queries_sources,
     queries_streams,
     queries_tables,
     queries_text,

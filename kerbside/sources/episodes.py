@@ -63,8 +63,8 @@ def _ddl(columns: str) -> str:
 
 
 def write_frames(frames: DataFrame, path: str, version: str) -> None:
-    """Parquet partitioned by split, rows of a scene together; the version is a column."""
-    (frames.withColumn("version", F.lit(version)).repartition("split", "scene_token")
+    """Parquet partitioned by split, rows of a scene together (a long one in several files); the version is a column."""
+    (frames.withColumn("version", F.lit(version)).repartitionByRange("split", "scene_token", "frame_idx")
      .sortWithinPartitions("scene_token", "frame_idx").write.partitionBy("split").mode("overwrite").parquet(path))
 
 
