@@ -91,11 +91,22 @@ def repair_points(text: Column, n: int = 6) -> Column:
     null when nothing could be read."""
     for pattern, by in REPAIRS:
         text = F.regexp_replace(text, pattern, by)
-    parts = [_numbers(text, BRACKETED_PAIR, g) for g in (1, 2)]
-    got = F.transform(F.arrays_zip(*parts), lambda z: F.struct(z["0"].alias("r"), z["1"].alias("f")))
-    some = F.when(F.size(got) > 0, got)
-    missing = F.greatest(F.lit(0), F.lit(n) - F.size(some))
-    return F.slice(F.concat(some, F.array_repeat(F.element_at(some, -1), missing)), 1, n)
+
+    def read(clean: Column) -> Column:
+        parts = [_numbers(clean, BRACKETED_PAIR, g) for g in (1, 2)]
+        return F.transform(F.arrays_zip(*parts), lambda z: F.struct(z["0"].alias("r"), z["1"].alias("f")))
+
+    def padded(got: Column) -> Column:
+        some = F.when(F.size(got) > 0, got)
+        missing = F.greatest(F.lit(0), F.lit(n) - F.size(some))
+        return F.slice(F.concat(some, F.array_repeat(F.element_at(some, -1), missing)), 1, n)
+
+    # the repaired text and its points are computed once for a row, however often they are used
+    return _once(_once(text, read), padded)
+
+
+def _once(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 # ---- prompts --------------------------------------------------------------------
