@@ -10,7 +10,6 @@ from kerbside.plans.oracle_views import hyp, r6 as s6, register, wrap
 from kerbside.plans.queries_geometry import ATTRIBUTE_SQL
 from kerbside.plans.queries_windows import annotations
 from kerbside.plans.registry import query, r6
-from kerbside.session import checkpointed
 
 THRESHOLDS = [0.5, 1.0, 2.0, 4.0]
 
@@ -28,9 +27,11 @@ SELECT *, row_number() OVER (PARTITION BY token, cls ORDER BY score DESC, det_po
   row_number() OVER (PARTITION BY token, cls ORDER BY score DESC, det_pos) AS rk_old
 FROM (SELECT *, CASE label WHEN 0 THEN 'car' WHEN 1 THEN 'truck' ELSE 'pedestrian' END AS cls FROM detections)
 """)
+register("truth_ends", "SELECT ref_token AS token, actor_id, x AS fx, y AS fy FROM reframed WHERE k = 4")
 register("truth_lists", """
-SELECT token, category AS cls, list({'pos': actor_id, 'x': x, 'y': y, 'w': w, 'l': l, 'h': h, 'yaw': yaw, 'vx': vx, 'vy': vy} ORDER BY actor_id) AS gts
-FROM gt_boxes GROUP BY token, category
+SELECT token, category AS cls, list({'pos': actor_id, 'x': x, 'y': y, 'w': w, 'l': l, 'h': h, 'yaw': yaw, 'vx': vx, 'vy': vy,
+  'fx': coalesce(fx, x), 'fy': coalesce(fy, y)} ORDER BY actor_id) AS gts
+FROM gt_boxes LEFT JOIN truth_ends USING (token, actor_id) GROUP BY token, category
 """)
 
 
@@ -44,7 +45,7 @@ rec AS (
   SELECT DISTINCT token, cls, thr, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS det_pos, NULL::DOUBLE AS score,
     NULL::BIGINT AS event_id, NULL::BIGINT AS gt_pos, NULL::DOUBLE AS dist,
     NULL::STRUCT(w DOUBLE, l DOUBLE, h DOUBLE, yaw DOUBLE, vx DOUBLE, vy DOUBLE, x DOUBLE, y DOUBLE) AS d,
-    NULL::STRUCT(pos BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, l DOUBLE, h DOUBLE, yaw DOUBLE, vx DOUBLE, vy DOUBLE) AS g
+    NULL::STRUCT(pos BIGINT, x DOUBLE, y DOUBLE, w DOUBLE, l DOUBLE, h DOUBLE, yaw DOUBLE, vx DOUBLE, vy DOUBLE, fx DOUBLE, fy DOUBLE) AS g
   FROM ordered CROSS JOIN (VALUES {", ".join(f"({t}::DOUBLE)" for t in thresholds)}) t(thr)
   UNION ALL
   SELECT token, cls, thr, k, CASE WHEN hit THEN list_append(taken, best.b.pos) ELSE taken END, det_pos, score, event_id,
@@ -69,7 +70,8 @@ def greedy(v):
 
 
 def conf_match(v):
-    return det.match_frames(detected(v), truth(v), THRESHOLDS)
+    """Matches by confidence at all distances, a stage table: every curve and score reads it."""
+    return v.stage("conf_match", det.match_frames(detected(v), truth(v), THRESHOLDS))
 
 
 @query("d16_greedy_match", f"SELECT token, cls, det_pos, gt_pos, {s6('dist')} AS dist FROM greedy")
@@ -126,12 +128,12 @@ FROM (SELECT cls, thr, k, k*0.01::DOUBLE AS x,
 
 
 def ranked(v):
-    """Ranked matches; read by several curves, so the lineage is cut once here."""
-    return checkpointed(det.ranked_hits(conf_match(v)))
+    """Ranked matches, a stage table read by all curves."""
+    return v.stage("ranked_hits", det.ranked_hits(conf_match(v)))
 
 
 def curve(v):
-    return det.pr_curve(ranked(v), truth(v))
+    return v.stage("pr_curve", det.pr_curve(ranked(v), truth(v)))
 
 
 @query("f10_pr_curve", f"SELECT cls, thr, k, {s6('prec')} AS prec, {s6('conf')} AS conf FROM curve")
@@ -157,8 +159,7 @@ LEFT JOIN cum_errors hi ON hi.cls = p.cls AND hi.thr = p.thr AND hi.c = above
 
 
 def error_curve(v):
-    hits = ranked(v)
-    return det.tp_error_curve(hits, det.pr_curve(hits, truth(v)))
+    return det.tp_error_curve(ranked(v), curve(v))
 
 
 @query("f11_tp_error_curve", f"""SELECT cls, thr, k, {", ".join(f"{s6(n)} AS {n}" for n in _ERRS)} FROM error_curve""")
@@ -183,44 +184,40 @@ SELECT {s6("map")} AS map, {", ".join(f"{s6(n)} AS {n}" for n in _ERRS)},
   {s6("(map*4 + " + " + ".join(f"1 - least(1, {n})" for n in _ERRS) + ")/8")} AS score
 FROM (SELECT avg(ap) AS map FROM ap_rows) CROSS JOIN (SELECT {", ".join(f"avg({n}) AS {n}" for n in _ERRS)} FROM tp_rows WHERE thr = 2)""")
 def f12_score(v):
-    hits = ranked(v)
-    pr = checkpointed(det.pr_curve(hits, truth(v)))
-    tp = det.tp_scores(det.tp_error_curve(hits, pr))
-    s = det.detection_score(det.average_precision(pr), tp)
+    s = det.detection_score(det.average_precision(curve(v)), det.tp_scores(error_curve(v)))
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
 
 # ---- motion: end point after two seconds, three speeds as modes ------------------------------
 
-register("motion_truth", """
-SELECT a.*, coalesce(b.cx, a.cx) AS ex, coalesce(b.cy, a.cy) AS ey FROM annotations a
-LEFT JOIN annotations b ON b.scene_token = a.scene_token AND b.actor_id = a.actor_id AND b.frame_idx = a.frame_idx + 4
-""")
-
-
 @query("d18_motion_match", f"""
 SELECT token, cls, thr, det_pos, gt_pos FROM motion_match""")
 def d18(v):
     return motion_match(v).select("token", "cls", "thr", "det_pos", "gt_pos")
 
 
+def motion_truth(v):
+    """Truth boxes with where the actor really is two seconds (four frames) later; one that left stays where it is."""
+    ahead = windows.reframe_boxes(v.gt_boxes, v.poses, 4).filter("k = 4").select(
+        F.col("ref_token").alias("token"), "actor_id", r6("x").alias("fx"), r6("y").alias("fy"))
+    return truth(v).join(ahead, ["token", "actor_id"], "left").withColumns({"fx": F.coalesce("fx", "x"), "fy": F.coalesce("fy", "y")})
+
+
 def motion_match(v):
     """Match at 1 and 2 m where the best mode also ends within 2 m of the truth's end."""
-    d = detected(v).withColumns({"fx": F.col("x") + 2 * F.col("vx"), "fy": F.col("y") + 2 * F.col("vy"),
-                                 "gx_end": F.lit(0.0), "gy_end": F.lit(0.0)})
-    t = truth(v).withColumns({"fx": F.col("x") + 2 * F.col("vx"), "fy": F.col("y") + 2 * F.col("vy"),
-                              "gx_end": F.lit(0.0), "gy_end": F.lit(0.0)})
+    d = detected(v).withColumns({"fx": F.col("x") + 2 * F.col("vx"), "fy": F.col("y") + 2 * F.col("vy")})
+    t = motion_truth(v)
 
     def reaches(p, g):
         ends = [geom.hypot(p["x"] + s * 2 * p["vx"] - g["fx"], p["y"] + s * 2 * p["vy"] - g["fy"]) for s in (0.5, 1.0, 1.5)]
         return F.least(*ends) < 2.0
 
     keep = ("w", "l", "h", "yaw", "vx", "vy", "fx", "fy")
-    return det.match_frames(d, t, [1.0, 2.0], extra=reaches, payload=keep)
+    return v.stage("motion_match", det.match_frames(d, t, [1.0, 2.0], extra=reaches, payload=keep))
 
 
 _REACH = "least(" + ", ".join(
-    f"sqrt(power(x + {s}*2*vx - (best.b.x + 2*best.b.vx), 2) + power(y + {s}*2*vy - (best.b.y + 2*best.b.vy), 2))"
+    f"sqrt(power(x + {s}*2*vx - best.b.fx, 2) + power(y + {s}*2*vy - best.b.fy, 2))"
     for s in ("0.5::DOUBLE", "1.0::DOUBLE", "1.5::DOUBLE")) + ") < 2"
 register("motion_match", match_sql([1.0, 2.0], "<", "score DESC, det_pos DESC", extra=_REACH))
 

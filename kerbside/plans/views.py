@@ -56,6 +56,10 @@ class Views:
             _WRITTEN[key] = path
         return self.spark.read.schema(df.schema).parquet(_WRITTEN[key])
 
+    def stage(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a stage table of its own, for results that several queries read."""
+        return self._stage(name, df)
+
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
