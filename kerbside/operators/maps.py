@@ -218,7 +218,8 @@ def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: fl
 
 def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
     """Points about every ``spacing`` metres along each part, both ends included: one more than whole spacings, two at least."""
-    n = F.greatest(F.lit(1), F.floor(F.col("length") / spacing).cast("int"))
+    # rounded first: a whole length that its sum left a little short still counts
+    n = F.greatest(F.lit(1), F.floor(F.round("length", 6) / spacing).cast("int"))
     cum = F.transform("pieces", lambda x, i: F.struct(
         F.aggregate(F.slice("pieces", F.lit(1), i), F.lit(0.0), lambda a, y: a + y["len"]).alias("start"), x.alias("x")))
     pts = parts.withColumns({"n": n, "_cum": cum}).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
@@ -252,11 +253,12 @@ def line_raster(samples: DataFrame, cell: float, half: float, thickness: int = 1
 def drop_overlaps(raster: DataFrame, grow: int = 0) -> DataFrame:
     """Cells of a class survive unless a later class lies within ``grow`` cells."""
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-grow, grow + 1) for j in range(-grow, grow + 1)])
-    later = raster.select("token", F.col("cls").alias("later"), "cx", "cy", F.explode(around).alias("d")).select(
-        "token", "later", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    top = later.groupBy("token", "cx", "cy").agg(F.max("later").alias("top"))
-    return raster.join(top, ["token", "cx", "cy"], "left").filter(
-        F.col("top").isNull() | (F.col("top") <= F.col("cls"))).drop("top")
+    # only cells that a later class could cover look around
+    early = raster.filter(F.col("cls") < max(ELEMENT_CLASS.values())).select("token", "cls", "cx", "cy", F.explode(around).alias("d")).select(
+        "token", "cls", "cx", "cy", (F.col("cx") + F.col("d.i")).alias("nx"), (F.col("cy") + F.col("d.j")).alias("ny"))
+    later = raster.select("token", F.col("cls").alias("later"), F.col("cx").alias("nx"), F.col("cy").alias("ny"))
+    covered = early.join(later, ["token", "nx", "ny"]).filter("later > cls").select("token", "cls", "cx", "cy").distinct()
+    return raster.join(covered, ["token", "cls", "cx", "cy"], "left_anti")
 
 
 def patch_mask(poses: DataFrame, records: DataFrame, cell: float, half: float) -> DataFrame:

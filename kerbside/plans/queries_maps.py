@@ -151,7 +151,7 @@ WINDOW w AS (PARTITION BY token, layer, record ORDER BY seg))""")
 
 
 @query("k3_clip_and_resample", f"""
-SELECT token, layer, record, part::BIGINT AS part, {s6("sum(len)")} AS length, (greatest(1, floor(sum(len))) + 1)::BIGINT AS samples FROM clipped
+SELECT token, layer, record, part::BIGINT AS part, {s6("sum(len)")} AS length, (greatest(1, floor(round(sum(len), 6))) + 1)::BIGINT AS samples FROM clipped
 GROUP BY token, layer, record, part HAVING sum(len) >= 0.5""")
 def k3(v):
     pts = maps.resample(parts(v))
@@ -160,11 +160,12 @@ def k3(v):
 
 
 def raster(v):
-    return maps.line_raster(maps.resample(parts(v), 0.5), 0.5, 10.0, 3)
+    """Line cells of each frame, a stage table."""
+    return v.stage("line_raster", maps.line_raster(maps.resample(parts(v), 0.5), 0.5, 10.0, 3))
 
 
 register("line_parts", """
-SELECT *, row_number() OVER (PARTITION BY token ORDER BY layer, record, part) - 1 AS line, greatest(1, floor(length/0.5))::BIGINT AS n
+SELECT *, row_number() OVER (PARTITION BY token ORDER BY layer, record, part) - 1 AS line, greatest(1, floor(round(length, 6)/0.5))::BIGINT AS n
 FROM (SELECT token, layer, record, part, sum(len) AS length FROM clipped GROUP BY ALL HAVING sum(len) >= 0.5)""")
 register("line_pieces", """
 SELECT *, coalesce(sum(len) OVER (PARTITION BY token, layer, record, part ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM clipped""")
@@ -189,9 +190,10 @@ def k4(v):
 
 
 @query("k5_overlap_filter", """
-SELECT token, cls, count(*) AS cells FROM line_cells JOIN (
-  SELECT token, cx, cy, max(cls) AS top FROM (SELECT token, cls, cx + a AS cx, cy + b AS cy FROM line_cells CROSS JOIN range(-2, 3) t(a) CROSS JOIN range(-2, 3) u(b))
-  GROUP BY ALL) USING (token, cx, cy) WHERE top <= cls GROUP BY token, cls""")
+SELECT token, cls, count(*) AS cells FROM line_cells LEFT JOIN (
+  SELECT DISTINCT e.token, e.cls, e.cx, e.cy, true AS covered FROM (SELECT token, cls, cx, cy, cx + a AS nx, cy + b AS ny FROM line_cells
+    CROSS JOIN range(-2, 3) t(a) CROSS JOIN range(-2, 3) u(b) WHERE cls < 2) e
+  JOIN line_cells d ON d.token = e.token AND d.cx = nx AND d.cy = ny AND d.cls > e.cls) USING (token, cls, cx, cy) WHERE covered IS NULL GROUP BY token, cls""")
 def k5(v):
     kept = maps.drop_overlaps(raster(v), 2)
     return kept.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("cells"))
