@@ -224,7 +224,7 @@ class Views:
             (((e * 17) % 100) / 100).alias("score"), F.lit(0).alias("label"),
         )
         out = real.unionByName(false)
-        return out.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y")))
+        return self._stage("detections", out.withColumn("x", r6(F.col("x"))).withColumn("y", r6(F.col("y"))))
 
     # -- facts ----------------------------------------------------------------
 
