@@ -107,6 +107,31 @@ def test_rates_equal_plain_projected_gradient(spark, targets):
     assert np.mean([(r.kb_p.poor > 0.5) == (r.doc_id % 8 == 0) for r in hidden]) > 0.95
 
 
+def scored(spark, cells):
+    return spark.createDataFrame([(p, n) for *p, n in cells], "kb_p struct<good: double, poor: double, toxic: double>, kb_tokens long")
+
+
+@pytest.mark.parametrize("driver_cells", [0, mixing.DRIVER_CELLS])
+def test_small_toxic_share_goes(spark, driver_cells):
+    # toxic text has 0.04 % of all tokens: the gap counts against its own tokens, not against all
+    docs = scored(spark, [(1.0, 0.0, 0.0, 900_000), (0.0, 1.0, 0.0, 99_600), (0.02, 0.0, 0.98, 400)])
+    history, totals = mixing.solve(docs, driver_cells=driver_cells)
+    assert history and totals["after"][2] < 0.01 * totals["before"][2] and not mixing.missed(totals)
+    assert np.allclose(totals["after"][:2], totals["targets"][:2], rtol=1e-4)
+    # a domain that moves slowly is not settled while the others stand still
+    docs = scored(spark, [(1.0, 0.0, 0.0, 900_000), (0.0, 1.0, 0.0, 99_000), (0.3, 0.3, 0.4, 1000)])
+    _, totals = mixing.solve(docs, driver_cells=driver_cells)
+    assert totals["after"][2] < 0.01 * totals["before"][2]
+
+
+def test_missed_targets_are_told(spark):
+    docs = spark.createDataFrame([(i, "calm river") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 8)) for i in range(20)], "doc_id long, quality int, toxic int")
+    # equal texts: toxic ones cannot go without the good ones
+    with pytest.warns(UserWarning, match="mixing misses targets: .*toxic"):
+        mixing.rates(docs, labels).collect()
+
+
 def test_mixing_is_native(spark):
     rows, docs, labels, _ = corpus(spark, 80)
     plan = mixing.posteriors(docs, mixing.fit(docs, labels))._jdf.queryExecution().executedPlan().toString()
