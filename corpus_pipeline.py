@@ -36,7 +36,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic text goes, good and poor text keeps its tokens: each document stays as often as its rate, rounded, says."""
+    """Toxic text goes, good and poor text keeps its tokens: each document stays as often as its rate, rounded by its hash, says."""
     mixed = mixing.rates(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
     each = F.explode(F.array_repeat(F.lit(0), F.col("kb_copies")))
     return mixed.where("kb_copies > 0").select(*COLUMNS, each.alias("kb_copy")).drop("kb_copy")

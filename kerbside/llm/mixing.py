@@ -165,6 +165,11 @@ def _rate(p: Column, history: list[list[float]]) -> Column:
         F.lit(0.0), r - p["good"] * F.get(h, 0) - p["poor"] * F.get(h, 1) - p["toxic"] * F.get(h, 2)))
 
 
+def _dealt(*of: Column) -> Column:
+    """A number in [0, 1) by the hash of a document; floor(rate + it) is the next whole number as often as rate's fraction says."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("copies"), *of), 11) / F.lit(float(1 << 53))
+
+
 def solve(scored: DataFrame, targets: dict[str, float] | None = None, steps: int = STEPS, close: float = CLOSE,
           driver_cells: int = DRIVER_CELLS) -> tuple[list[list[float]], dict]:
     """Step vectors of the projected gradient, and the domain totals before and after and their targets.
@@ -210,7 +215,9 @@ def missed(totals: dict, share: float = MISSED) -> dict[str, tuple[float, float]
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text: str = "text",
           keep_text: bool = True) -> DataFrame:
-    """Every row with ``kb_tokens``, ``kb_p``, ``kb_rate`` and ``kb_copies`` (the rate to the nearest whole number).
+    """Every row with ``kb_tokens``, ``kb_p``, ``kb_rate`` and ``kb_copies``: the rate, rounded up as often as its fraction says.
+
+    A hash of id and text decides, so that copies repeat from run to run and add up to the rates.
 
     Null text: no words; its posterior is that of a text without words, and it carries no tokens.  Repeated rows
     each count.  Without labels all documents are alike: with the default targets their rate follows from the priors.
@@ -218,8 +225,10 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """
     scored = posteriors(docs, fit(docs, labels, id_col, text), text)
     # written once: what follows would otherwise compute the posteriors again for each use
+    scored = scored.withColumn("kb_dealt", _dealt(F.col(f"`{id_col}`"), F.col(f"`{text}`")))
     scored = staged(scored if keep_text else scored.drop(text))
     history, totals = solve(scored, targets)
     if short := missed(totals):
         warnings.warn("mixing misses targets: " + "; ".join(f"{k} {a:.6g} for {b:.6g} tokens" for k, (a, b) in short.items()), stacklevel=2)
-    return scored.withColumn("kb_rate", F.round(_rate(F.col("kb_p"), history), 6)).withColumn("kb_copies", F.floor(F.col("kb_rate") + 0.5).cast("int"))
+    rated = scored.withColumn("kb_rate", F.round(_rate(F.col("kb_p"), history), 6))
+    return rated.withColumn("kb_copies", F.floor(F.col("kb_rate") + F.col("kb_dealt")).cast("int")).drop("kb_dealt")

@@ -124,6 +124,23 @@ def test_small_toxic_share_goes(spark, driver_cells):
     assert totals["after"][2] < 0.01 * totals["before"][2]
 
 
+def test_copies_meet_the_targets(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(BAD if i % 8 == 0 else GOOD) + rng.choice("abcdef") for _ in range(40))) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 8 > 0), 0) for i in range(0, 4000, 3)], "doc_id long, quality int, toxic int")
+    targets = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
+    out = mixing.rates(docs, labels, targets).collect()
+    whole = sum(r.kb_tokens for r in out)
+    for kind in ("good", "poor"):
+        got = sum(r.kb_copies * r.kb_tokens * r.kb_p[kind] for r in out)
+        assert abs(got - targets[kind] * whole) < 0.12 * targets[kind] * whole
+    assert all(int(r.kb_rate) <= r.kb_copies <= int(r.kb_rate) + 1 for r in out)
+    # the same document gets the same copies, whatever its place
+    again = mixing.rates(docs.repartition(5), labels, targets, keep_text=False).collect()
+    assert {r.doc_id: r.kb_copies for r in out} == {r.doc_id: r.kb_copies for r in again}
+
+
 def test_missed_targets_are_told(spark):
     docs = spark.createDataFrame([(i, "calm river") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, int(i < 8)) for i in range(20)], "doc_id long, quality int, toxic int")
