@@ -18,7 +18,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Spans that the method adds.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: Characters of an IBAN after its country and check digits, by country (ISO 13616 registry); they end where the country
+#: says, whatever follows.  Numbers of other letters end where the run does, or before a known number.
+IBAN_REST = {
+    11: "NO", 12: "BE", 14: "DK FK FI FO GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG", 21: "LY PT ST",
+    22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV", 25: "BR EG PS QA UA", 26: "JO KW MU YE",
+    27: "MT SC", 28: "LC", 29: "RU",
+}
+_FIXED = "|".join(rf"(?:{'|'.join(of.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}" for n, of in IBAN_REST.items())
+_KNOWN = "|".join(" ".join(IBAN_REST.values()).split())
+IBAN = rf"(?<![A-Za-z0-9])(?:{_FIXED}|(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?:\x20(?!(?:{_KNOWN})[0-9]{{2}}))?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn")

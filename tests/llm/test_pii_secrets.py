@@ -56,6 +56,15 @@ def test_pii_checksums_and_context(spark):
     assert got[4] == ("email:9:15", "1.0")
 
 
+def test_iban_ends_where_its_country_says(spark):
+    texts = ["GB82 WEST 1234 5698 7654 32 Please", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "DE89370400440532013000 Bank", "NO93 8601 1117 947 2026",
+             "FR14 2004 1010 0505 0001 3M02 606, 7", "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 EUR", "AB12 GB82 WEST 1234 5698 7654 32 X",
+             "GB82 WEST 1234 5698 7654 33 Please", "GB82WEST12345698765432X"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: ",".join(s for s in r.spans.split(",") if s.startswith("iban")) for r in pii.report(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == ["iban:0:27", "iban:0:27", "iban:0:22", "iban:0:18", "iban:0:33", "iban:0:27,iban:28:55", "iban:5:32", "", ""]
+
+
 def test_pii_is_native(spark):
     plan = pii.report(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
