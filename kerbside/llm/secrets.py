@@ -24,8 +24,10 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
                     r"|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{56}|[0-9A-F]{64}|[0-9A-F]{96}|[0-9A-F]{128}"
                     r"|sha(?:256|384|512)-[A-Za-z0-9+/]+={0,2})")
-IDENTIFIER = re.compile(r"(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9_=+/-]+|[A-Za-z_=+/-]+"
-                        r"|[A-Za-z]+(?:[_/-][A-Za-z]+)*[_/-]?[0-9]{1,8})")
+IDENTIFIER = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9_=+/-]+")
+#: Names of parts, which are an identifier only if each part is a word by its characters per token.
+COMPOUND = re.compile(r"([A-Za-z]+(?:[_=+/-]+[A-Za-z]+)+)[_/-]?[0-9]{0,8}")
+PART = re.compile(r"[A-Za-z]+")
 MAX_RATIO = 1.9
 
 
@@ -59,8 +61,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def compound(s: str, vocabulary: str, max_ratio: float) -> bool:
+    """Whether ``s`` is parts of letters, all words: a single letter, or more than ``max_ratio`` characters a token."""
+    m = COMPOUND.fullmatch(s)
+    return bool(m) and all(len(p) == 1 or len(p) > max_ratio * len(encoder(vocabulary).encode_ordinary(p)) for p in PART.findall(m[1]))
+
+
 def random_spans(text: str, vocabulary: str, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
-    """Strings of 20 characters or more with letters and digits and at most ``max_ratio`` characters a token."""
+    """Strings of 20 characters or more, not only digits, with at most ``max_ratio`` characters a token."""
     if max(map(len, text.split()), default=0) < 20:
         return []
     found = []
@@ -68,7 +76,7 @@ def random_spans(text: str, vocabulary: str, max_ratio: float = MAX_RATIO) -> li
         s = m[0].strip("=-_/+")
         if len(s) < 20 or DIGEST.fullmatch(s) or IDENTIFIER.fullmatch(s):
             continue
-        if len(s) <= max_ratio * len(encoder(vocabulary).encode_ordinary(s)):
+        if len(s) <= max_ratio * len(encoder(vocabulary).encode_ordinary(s)) and not compound(s, vocabulary, max_ratio):
             found.append((m.start(), m.end()))
     return found
 

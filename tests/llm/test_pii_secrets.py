@@ -98,6 +98,17 @@ def test_random_strings_and_their_exceptions():
         assert hit(clean) == []
 
 
+def test_random_letters_are_exposed_and_names_are_not():
+    v, rng = secrets.default_vocabulary(), random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["qXzKvbTRwpLmNcYdGhJsWq", "qXzKvbTRwpLmNcYdGhJsWq12", "qXzKvbTRwp-LmNcYdGhJsWq"]
+    assert all(secrets.random_spans(k, v) == [(0, len(k))] for k in keys)
+    assert sum(bool(secrets.random_spans("".join(rng.choices(letters, k=20)), v)) for _ in range(500)) > 490
+    for name in ["ab_cd_ef_gh_ij_kl_mn_op", "a_b_c_d_e_f_g_h_i_j_k", "MAX_CONCURRENT_REQUESTS_PER_HOST", "getHTTPResponseCodeFromServerXml", "src/main/java/com/example/app",
+                 "user_profile_picture_20240101", "kube-system-cluster-role-binding"]:
+        assert secrets.random_spans(name, v) == []
+
+
 def test_redaction_keeps_clean_rows(spark):
     schema = "doc_id long, text string, lang string, n_chars long, kb_x string"
     rows = [(1, "my token = abcdef123456 end", "en", 27, "a"), (2, "clean é text", None, 12, "b"), (3, None, "en", 0, None), (None, "", "en", 0, "c")]
