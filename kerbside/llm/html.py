@@ -29,6 +29,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol p pre section summary table "
                   "tbody td tfoot th thead tr ul".split())
+#: What may stand in a head; anything else, and text, ends a head that is not closed.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An opening tag in the first place closes open elements in the second, up to the border in the third.
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -107,8 +109,14 @@ def blocks(html: str) -> list[Block]:
             close_block()
         del stack[depth:]
 
+    def end_head() -> None:
+        while stack[-1][0] == "head":
+            pop_to(len(stack) - 1)
+
     def say(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw and not raw.isspace():
+            end_head()
         if raw and not stack[-1][4]:
             text = unescape(raw) if "&" in raw else raw
             parts.append(text)
@@ -135,6 +143,8 @@ def blocks(html: str) -> list[Block]:
                     pop_to(depth)
                     break
             continue
+        if name not in IN_HEAD:
+            end_head()
         if name in ("br", "wbr", "img", "input"):
             if name != "wbr" and not stack[-1][4]:
                 parts.append(" ")

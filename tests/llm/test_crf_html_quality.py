@@ -56,6 +56,15 @@ def test_blocks():
         html.blocks(odd)
 
 
+def test_open_head_ends_where_the_body_starts():
+    top = "<html><head><meta charset=utf-8><title>T</title><style>p{a:b}</style><template><div>no</div></template><script>x</script>\n"
+    for body in ["<body><p>one<p>two", "<p>one</p><p>two</p>", "one<p>two", "<div>one</div>two", "<img src=x>one<p>two"]:
+        assert [b.text for b in html.blocks(top + body)] == ["one", "two"] == [b.text for b in html.blocks(top + "</head>" + body)]
+    assert html.blocks(top) == []
+    whole = [b.text for b in html.blocks(labelled_pages(1, seed=4)[0])]
+    assert whole and [b.text for b in html.blocks(labelled_pages(1, seed=4)[0].replace("</head>", ""))] == whole
+
+
 def test_extract_operator(spark):
     body = "<nav><ul><li><a href='/'>Home</a></li></ul></nav><header>Site name</header><article><h1>Head line</h1><p>{}</p><p>Second part of it.</p></article>"
     more = "<div class='comments'><p>A reader says that this is a long comment about it.</p></div><aside>See this too</aside><form><label>Mail</label></form><footer>&copy; all</footer>"
