@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, embeddings, html, importance, mixing, pii, quality_rules, resharding, secrets, simhash
+from kerbside.llm import bpe, embeddings, html, importance, merkle, mixing, oracles, pii, quality_rules, resharding, secrets, simhash
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
 
 
 def query(fn):
@@ -78,3 +78,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.rates(docs, table(spark, sf_dir, "labels"), TARGETS, keep_text=False)
     return out.select("doc_id", "source", F.col("kb_tokens").alias("n_tokens"), *[F.col(f"kb_p.{k}").alias(f"p_{k}") for k in mixing.DOMAINS],
                       F.col("kb_rate").alias("rate"), F.col("kb_copies").alias("copies"))
+
+
+#: Columns of a leaf, in their order.
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op13_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    given = merkle.leaf_hash(*[F.col(c) for c in LEAF])
+    # a decimal, so that the largest long has a successor
+    more = F.when(F.col("tampered"), F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    tampered = merkle.leaf_hash(*[more if c == "n_chars" else F.col(c) for c in LEAF])
+    docs = docs.withColumn("tampered", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0, F.lit(False)))
+    out = merkle.manifest(docs, given, "lang", ["doc_id"], [F.col("doc_id"), tampered.alias("given")])
+    out = out.withColumn("folded_root", merkle.fold(F.col("given"), F.col("proof")))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
+                      (F.col("folded_root") == F.col("root")).alias("verified"))
