@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import bpe, embeddings, html, importance, merkle, mixing, oracles, pii, quality_rules, resharding, secrets, simhash
+from kerbside.llm import alignment, bpe, embeddings, html, importance, merkle, mixing, oracles, pii, quality_rules, resharding, secrets, simhash
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op13_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.withColumn("folded_root", merkle.fold(F.col("given"), F.col("proof")))
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_text(F.col("proof")), 256).alias("proof_sha256"), "folded_root",
                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op12_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    out = alignment.scored(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
