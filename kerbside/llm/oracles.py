@@ -1,6 +1,22 @@
 """Check SQL of the operators that SQL expresses."""
 
 ORACLES = {
+    "op11_block_anchors": r"""
+with split as (
+  select row_number() over () as id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as words from documents),
+windows as (
+  select id, doc_id, i, array_to_string(words[i:i + 12], ' ') as w
+  from split, unnest(range(1, len(words) - 11)) as t(i) where len(words) >= 13),
+least as (select w, min(doc_id) as first from windows group by w),
+gone as (
+  select distinct id, j from windows join least using (w), unnest(range(i, i + 13)) as t(j) where first < doc_id),
+lists as (select id, list(j) as gone from gone group by id),
+cut as (
+  select s.doc_id, s.words, coalesce(l.gone, []) as gone from split s left join lists l using (id))
+select doc_id, len(words)::bigint as n_words, len(gone)::bigint as n_removed,
+  sha256(array_to_string(case when len(gone) = 0 then words else list_filter(words, lambda w, k: not list_contains(gone, k)) end, ' ')) as kept_sha256
+from cut
+""",
     # CRC-32 bit by bit: a byte is xored in, then -1 stands for one shift
     "op13_nested_rollup": r"""
 with recursive keyed as (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import alignment, bpe, embeddings, html, importance, merkle, mixing, oracles, pii, quality_rules, resharding, secrets, simhash
+from kerbside.llm import alignment, bpe, embeddings, html, importance, merkle, mixing, oracles, pii, quality_rules, repeats, resharding, secrets, simhash
 from kerbside.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,12 @@ def op13_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query
+def op11_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op12_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(table(spark, sf_dir, "documents"))
