@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbside.functions import geom
-from kerbside.operators import boxes, detection as det, windows
+from kerbside.operators import boxes, detection as det, tracking, windows
 from kerbside.plans.oracle_views import hyp, r6 as s6, register, wrap
 from kerbside.plans.queries_geometry import ATTRIBUTE_SQL
 from kerbside.plans.queries_windows import annotations
@@ -284,7 +284,7 @@ SELECT token, query, label, {s6("score")} AS score FROM (
  SELECT *, max(score) OVER (PARTITION BY token) AS best FROM (
   SELECT *, row_number() OVER (PARTITION BY token ORDER BY score DESC, query, label) AS rank FROM (
     SELECT token, det_pos AS query, c AS label, x, y, 1/(1 + exp(-((event_id*(7 + c*3) + det_pos*(11 + c)) % 97 - 88)/8.0::DOUBLE)) AS score
-    FROM detections CROSS JOIN range(0, 3) t(c))) WHERE rank <= 6)
+    FROM detections CROSS JOIN range(0, 3) t(c))) WHERE rank <= 300)
 WHERE abs(x) <= 25 AND abs(y) <= 25 AND CASE WHEN best > 0.3 THEN score > 0.3
   ELSE score >= coalesce(list_max(list_filter([{_TRIED}], lambda t: t <= best)), -1) END""")
 def c9(v):
@@ -292,7 +292,7 @@ def c9(v):
     logits = v.detections.withColumn("label", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).select(
         "token", p.alias("query"), "label", "x", "y",
         (((e * (7 + F.col("label") * 3) + p * (11 + F.col("label"))) % 97 - 88) / 8.0).alias("logit"))
-    return det.topk_decode(logits, 6, 0.3, 25.0).select("token", "query", "label", r6("score").alias("score"))
+    return det.topk_decode(logits, 300, 0.3, 25.0).select("token", "query", "label", r6("score").alias("score"))
 
 
 @query("f21_tracking_metrics", f"""
@@ -319,6 +319,62 @@ FROM gt_boxes b LEFT JOIN (SELECT token, gt_pos FROM greedy WHERE gt_pos IS NOT
 """)
 
 
+register("track_cuts", """
+SELECT c.cls, c.npos, c.cut, lo.score + (hi.score - lo.score)*((c.at % 390)/390.0::DOUBLE) AS cut_score
+FROM (SELECT cls, npos, cut, (39 + 9*cut)*npos AS at FROM (SELECT cls, npos, max(tp) AS top FROM curve_points WHERE thr = 2 GROUP BY cls, npos)
+  CROSS JOIN range(0, 40) t(cut) WHERE (39 + 9*cut)*npos <= 390*top) c
+JOIN curve_points lo ON lo.cls = c.cls AND lo.thr = 2 AND lo.gt_pos IS NOT NULL AND lo.tp = greatest(c.at // 390, 1)
+JOIN curve_points hi ON hi.cls = c.cls AND hi.thr = 2 AND hi.gt_pos IS NOT NULL
+  AND hi.tp = CASE WHEN c.at % 390 > 0 THEN c.at // 390 + 1 ELSE greatest(c.at // 390, 1) END
+""")
+register("track_hits", """
+SELECT m.cls, c.cut, b.scene_token, b.actor_id, b.p, b.n, m.det_pos,
+  lag(m.det_pos) OVER w AS before, lag(b.p) OVER w AS before_p
+FROM conf_match m JOIN track_cuts c ON c.cls = m.cls AND m.score >= c.cut_score
+JOIN (SELECT token, category, scene_token, actor_id, row_number() OVER (PARTITION BY scene_token, actor_id, category ORDER BY frame_idx) - 1 AS p,
+  count(*) OVER (PARTITION BY scene_token, actor_id, category) AS n FROM gt_boxes) b ON b.token = m.token AND b.actor_id = m.gt_pos AND b.category = m.cls
+WHERE m.thr = 2 WINDOW w AS (PARTITION BY m.cls, c.cut, b.scene_token, b.actor_id ORDER BY b.p)
+""")
+register("tracking_curve", """
+SELECT *, gt - tp AS fn, greatest(0, 1 - (fp + gt - tp + ids)/gt::DOUBLE) AS mota, greatest(0, 1 - (fp + ids)/tp::DOUBLE) AS motar, tp/gt::DOUBLE AS recall,
+  100*fp/(SELECT count(*) FROM frames)::DOUBLE AS faf
+FROM (SELECT c.cls, c.cut, c.cut_score AS score, c.npos AS gt, count(m.gt_pos) AS tp, count(*) - count(m.gt_pos) AS fp, avg(m.dist) AS motp
+  FROM track_cuts c JOIN conf_match m ON m.cls = c.cls AND m.thr = 2 AND m.score >= c.cut_score GROUP BY ALL)
+JOIN (SELECT cls, cut, sum(ids)::BIGINT AS ids, sum(frag)::BIGINT AS frag, count(*) FILTER (WHERE h/n::DOUBLE >= 0.8) AS mt,
+    any_value(tracks) - count(*) FILTER (WHERE h/n::DOUBLE > 0.2) AS ml, avg(start)*0.5 AS tid, avg(gap)*0.5 AS lgd
+  FROM (SELECT cls, cut, scene_token, actor_id, n, count(*) AS h, count(*) FILTER (WHERE before <> det_pos) AS ids,
+      count(*) FILTER (WHERE p - before_p > 1) AS frag, min(p) AS start, greatest(max(p - coalesce(before_p, -1) - 1), n - 1 - max(p)) AS gap
+    FROM track_hits GROUP BY cls, cut, scene_token, actor_id, n)
+  JOIN (SELECT category AS cls, count(*) AS tracks FROM (SELECT DISTINCT category, scene_token, actor_id FROM gt_boxes) GROUP BY 1) USING (cls)
+  GROUP BY cls, cut) USING (cls, cut)
+""")
+_RATES = ", ".join(f"{s6(n)} AS {n}" for n in tracking.MEANS)
+
+
+def track_curve(v):
+    near = f"thr = {tracking.NEAR}"
+    return tracking.tracking_curve(conf_match(v).filter(near), ranked(v).filter(near), truth(v), v.frames)
+
+
+@query("f21_recall_curve", f"SELECT cls, cut, {s6('score')} AS score, {', '.join(tracking.SUMS)}, {_RATES} FROM tracking_curve")
+def f21_curve(v):
+    c = track_curve(v)
+    return c.select("cls", "cut", r6("score").alias("score"), *tracking.SUMS, *[r6(n).alias(n) for n in tracking.MEANS])
+
+
+@query("f21_amota", f"""
+SELECT coalesce(cls, 'ALL') AS cls, {s6("avg(amota)")} AS amota, {s6("avg(amotp)")} AS amotp,
+  {", ".join(f"sum({n})::BIGINT AS {n}" for n in tracking.SUMS)}, {", ".join(f"{s6(f'avg({n})')} AS {n}" for n in tracking.MEANS)}
+FROM (SELECT t.cls, coalesce(a.amota, 0) AS amota, coalesce(a.amotp, 2) AS amotp, {", ".join(f"b.{n} AS {n}" for n in (*tracking.SUMS, *tracking.MEANS))}
+  FROM (SELECT DISTINCT category AS cls FROM gt_boxes) t LEFT JOIN (
+    SELECT cls, sum(motar)/40 AS amota, (sum(motp) + 2.0*(40 - count(*)))/40 AS amotp FROM tracking_curve GROUP BY cls) a ON a.cls = t.cls
+  LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY mota DESC, cut) AS rk FROM tracking_curve) WHERE rk = 1) b ON b.cls = t.cls)
+GROUP BY ROLLUP (cls)""")
+def f21_amota(v):
+    s = tracking.tracking_scores(track_curve(v), truth(v))
+    return s.select("cls", r6("amota").alias("amota"), r6("amotp").alias("amotp"), *tracking.SUMS, *[r6(n).alias(n) for n in tracking.MEANS])
+
+
 @query("f29_pair_iou")
 def f29(v):
     return det.pair_iou(v.gt_boxes, v.detections).filter("iou > 0").select(
