@@ -10,7 +10,7 @@ from kerbside.plans.oracle_views import register
 from kerbside.plans.queries_tables import rounds
 from kerbside.plans.registry import query
 from kerbside.session import shared_folder
-from kerbside.streaming import jobs
+from kerbside.streaming import jobs, tracker
 
 
 #: The derived frames count time from zero; streams need real event times.
@@ -74,6 +74,54 @@ def l3(v):
     return jobs.track_lifecycle(v.detections.select("scene_token", F.col("det_pos").alias("slot"), "frame_idx", "score"))
 
 
+#: Overlap above which a strong box beside a living track is no birth.
+VETO = 0.1
+_SIDES = ", ".join(f"{v} {sign} CASE WHEN abs(yaw - floor(yaw/pi() + 0.5)*pi()) > pi()/4 THEN {a} ELSE {b} END/2 AS {v}{n}"
+                   for v, a, b in (("x", "w", "l"), ("y", "l", "w")) for n, sign in ((0, "-"), (1, "+")))
+register("sided", f"""
+SELECT scene_token, frame_idx, det_pos AS slot, score, row_number() OVER (PARTITION BY scene_token ORDER BY frame_idx, det_pos) AS k, {_SIDES} FROM detections""")
+register("near_slots", f"""
+SELECT scene_token, frame_idx, slot, list(other) AS near FROM (
+  SELECT a.scene_token, a.frame_idx, a.slot, b.slot AS other, (a.x1 - a.x0)*(a.y1 - a.y0) + (b.x1 - b.x0)*(b.y1 - b.y0) AS area,
+    greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0))*greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS common
+  FROM sided a JOIN sided b ON a.scene_token = b.scene_token AND a.frame_idx = b.frame_idx AND a.slot <> b.slot)
+WHERE common/(area - common) > {VETO} GROUP BY ALL""")
+register("vetoed_tracks", """
+SELECT * FROM (WITH RECURSIVE o AS MATERIALIZED (SELECT scene_token, frame_idx, slot, score, k, coalesce(near, []) AS near FROM sided LEFT JOIN near_slots USING (scene_token, frame_idx, slot)),
+r AS (SELECT DISTINCT scene_token, 0::BIGINT AS k, NULL::BIGINT AS frame_idx, NULL::BIGINT AS slot, 0::BIGINT AS born,
+    []::STRUCT(slot BIGINT, id BIGINT, misses BIGINT)[] AS living, NULL::STRUCT(slot BIGINT, id BIGINT, misses BIGINT) AS own FROM o
+  UNION ALL
+  SELECT scene_token, k, frame_idx, slot, born + CASE WHEN birth THEN 1 ELSE 0 END,
+    CASE WHEN now IS NULL THEN others ELSE list_append(others, now) END, now
+  FROM (SELECT *, CASE WHEN birth THEN {'slot': slot, 'id': born, 'misses': 0::BIGINT} WHEN t IS NULL THEN NULL
+      WHEN score >= 0.5 THEN {'slot': slot, 'id': t.id, 'misses': 0::BIGINT} WHEN score >= 0.4 THEN t
+      WHEN t.misses + 1 >= 5 THEN NULL ELSE {'slot': slot, 'id': t.id, 'misses': t.misses + 1} END AS now
+    FROM (SELECT *, t IS NULL AND score >= 0.5 AND NOT list_has_any(near, list_transform(others, lambda l: l.slot)) AS birth
+      FROM (SELECT o.scene_token, o.k, o.frame_idx, o.slot, o.score, o.near, r.born, list_filter(r.living, lambda l: l.slot = o.slot)[1] AS t,
+        list_filter(r.living, lambda l: l.slot <> o.slot) AS others
+        FROM r JOIN o ON o.scene_token = r.scene_token AND o.k = r.k + 1))))
+SELECT scene_token, slot, frame_idx, own.id AS track_id, own.misses AS misses FROM r WHERE k > 0 AND own IS NOT NULL)""")
+
+
+@query("l3_overlap_veto", "SELECT scene_token, slot, frame_idx, track_id, misses FROM vetoed_tracks")
+def l3_veto(v):
+    return tracker.tracked(tracker.with_sides(v.detections), VETO)
+
+
+@query("l3_track_stream", "SELECT scene_token, slot, frame_idx, track_id, misses FROM vetoed_tracks")
+def l3_stream(v):
+    """The stream is stopped half-way through every scene and started again from its checkpoint."""
+    work = _work(v)
+    rows = tracker.with_sides(v.detections).withColumn("at", F.timestamp_micros(F.col("frame_idx") * 500_000 + START_US))
+    half = v.frames.groupBy("scene_token").agg((F.max("frame_idx") / 2).alias("half"))
+    parts = rows.join(half, "scene_token").withColumn("part", (F.col("frame_idx") > F.col("half")).cast("int")).drop("half")
+    for part in (0, 1):
+        parts.where(F.col("part") == part).drop("part").write.parquet(f"{work}/in/{part}")
+        stream = jobs.read_stream(v.spark, f"{work}/in", rows.schema)
+        tracker.run_tracker(v.spark, tracker.track_stream(stream, VETO), f"{work}/out", f"{work}/checkpoint")
+    return v.spark.read.schema(tracker.OUT).parquet(f"{work}/out").where("not late").drop("late")
+
+
 @query("l4_late_features", """
 SELECT token, CASE WHEN event_id % 50 <> 0 AND event_id % 7 <> 0 THEN 'feat/' || token END AS path, event_id % 50 <> 0 AND event_id % 7 <> 0 AS complete FROM frames""")
 def l4(v):
