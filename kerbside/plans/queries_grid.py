@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kerbside.functions import turns
-from kerbside.operators import grid, windows
+from kerbside.operators import grid, spans, windows
 from kerbside.plans.oracle_views import CTES, r6 as s6, register
 from kerbside.plans.queries_text import preds
 from kerbside.plans.registry import query, r6
@@ -14,10 +14,17 @@ KEYS = ["ref_token", "k"]
 
 
 def reframed(v, future: int = 4):
-    """Vehicle boxes of frames t..t+future in frame t, with their sizes."""
-    vehicles = v.gt_boxes.filter("category <> 'pedestrian'")
-    at = windows.reframe_boxes(vehicles, v.poses, future, keep=["w", "l"])
-    return at.select(*KEYS, "actor_id", *[r6(c).alias(c) for c in ("x", "y", "yaw")], "w", "l")
+    """Vehicle boxes of frames t..t+future in frame t, with their sizes and visibility."""
+    vehicles = v.gt_boxes.filter("category <> 'pedestrian'").withColumn("visibility", F.col("actor_id") % 4 + 1)
+    at = windows.reframe_boxes(vehicles, v.poses, future, keep=["w", "l", "visibility"])
+    return at.select(*KEYS, "actor_id", *[r6(c).alias(c) for c in ("x", "y", "yaw")], "w", "l", "visibility")
+
+
+def steps(v, future: int = 4):
+    """Every frame with its next steps, and whether the scene has them."""
+    last = v.poses.groupBy("scene_token").agg(F.max("frame_idx").alias("last"))
+    each = v.poses.join(last, "scene_token").withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(future + 1)])))
+    return each.select(F.col("token").alias("ref_token"), "k", (F.col("frame_idx") + F.col("k") <= F.col("last")).alias("exists"))
 
 
 _COVERS = ("abs((px-x)*cos(yaw) + (py-y)*sin(yaw)) <= l/2 AND abs(-(px-x)*sin(yaw) + (py-y)*cos(yaw)) <= w/2")
@@ -35,52 +42,101 @@ WHERE {_COVERS}
 """
 
 
-register("vehicle_boxes", "SELECT * FROM reframed WHERE category <> 'pedestrian'")
-register("vehicle_cells", cells_sql("vehicle_boxes", "ref_token, k", "actor_id"))
+_AT = {n: [f"round_even(round(({n} + {a}*{lc} {sign} {b}*{ws} + 50)/0.5::DOUBLE, 9), 0)::BIGINT AS {n}{i}" for i, (a, b) in enumerate(((1, 1), (1, -1), (-1, -1), (-1, 1)))]
+       for n, lc, sign, ws in (("x", "l/2*cos(yaw)", "-", "w/2*sin(yaw)"), ("y", "l/2*sin(yaw)", "+", "w/2*cos(yaw)"))}
+register("vehicle_boxes", "SELECT * FROM reframed WHERE category <> 'pedestrian' AND actor_id % 4 + 1 <> 1")
+register("vehicle_rings", f"SELECT ref_token, k, CASE WHEN actor_id = 255 THEN -20 ELSE actor_id END AS actor_id, {', '.join(_AT['x'] + _AT['y'])} FROM vehicle_boxes")
+
+
+def _passes(i: int) -> str:
+    """Whether edge ``i`` of a ring, drawn to the nearest cell, passes (cx, cy)."""
+    ax, ay, bx, by = f"x{i}", f"y{i}", f"x{(i + 1) % 4}", f"y{(i + 1) % 4}"
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    return f"""CASE WHEN {dy} = 0 THEN cy = {ay} AND cx BETWEEN least({ax}, {bx}) AND greatest({ax}, {bx})
+  WHEN abs{dy} >= abs{dx} THEN cy BETWEEN least({ay}, {by}) AND greatest({ay}, {by}) AND cx = floor((2*({ax}*{dy} + (cy - {ay})*{dx}) + {dy})/(2*{dy})::DOUBLE)
+  ELSE cx BETWEEN least({ax}, {bx}) AND greatest({ax}, {bx}) AND abs(2*((cx - {ax})*{dy} - (cy - {ay})*{dx})) <= abs{dx} END"""
+
+
+_SIDE = [f"(x{(i + 1) % 4} - x{i})*(cy - y{i}) - (y{(i + 1) % 4} - y{i})*(cx - x{i})" for i in range(4)]
+register("vehicle_cells", f"""
+SELECT ref_token, k, actor_id, cx, cy FROM (SELECT *, unnest(range(greatest(0, least(y0, y1, y2, y3)), least(199, greatest(y0, y1, y2, y3)) + 1)) AS cy FROM (
+  SELECT *, unnest(range(greatest(0, least(x0, x1, x2, x3)), least(199, greatest(x0, x1, x2, x3)) + 1)) AS cx FROM vehicle_rings))
+WHERE least({", ".join(_SIDE)}) >= 0 OR greatest({", ".join(_SIDE)}) <= 0 OR {" OR ".join(_passes(i) for i in range(4))}""")
 register("vehicle_grid", "SELECT ref_token, k, cx, cy, max(actor_id) AS actor_id FROM vehicle_cells GROUP BY ALL")
 
 
-def vehicle_grid(v):
-    return grid.instance_grid(grid.box_cells(reframed(v), KEYS, "actor_id"), KEYS, "actor_id")
+def occupancy(v):
+    return spans.occupancy(reframed(v), steps(v), KEYS, "actor_id")
+
+
+def vehicle_spans(v):
+    """Painted spans of each frame and its next steps, a stage table that the labels read."""
+    return v.stage("vehicle_spans", occupancy(v)[0])
 
 
 @query("k1_occupancy_raster", """
-SELECT ref_token, k, count(*) AS cells, sum(cx)::BIGINT AS sum_cx, sum(cy)::BIGINT AS sum_cy, sum(actor_id)::BIGINT AS sum_id
-FROM vehicle_grid GROUP BY ref_token, k""")
+SELECT f.token AS ref_token, f.k, g.token IS NULL AS invalid, coalesce(cells, 0) AS cells, coalesce(sum_cx, 0) AS sum_cx, coalesce(sum_cy, 0) AS sum_cy, coalesce(sum_id, 0) AS sum_id
+FROM (SELECT * FROM frames CROSS JOIN range(0, 5) t(k)) f LEFT JOIN frames g ON g.scene_token = f.scene_token AND g.frame_idx = f.frame_idx + f.k
+LEFT JOIN (SELECT ref_token, k, count(*) AS cells, sum(cx)::BIGINT AS sum_cx, sum(cy)::BIGINT AS sum_cy, sum(actor_id)::BIGINT AS sum_id
+  FROM vehicle_grid GROUP BY ref_token, k) s ON s.ref_token = f.token AND s.k = f.k""")
 def k1(v):
-    return vehicle_grid(v).groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("cx").alias("sum_cx"), F.sum("cy").alias("sum_cy"), F.sum("actor_id").alias("sum_id"))
+    own, frames = occupancy(v)
+    return frames.join(spans.summary(own, KEYS, "actor_id"), KEYS, "left").na.fill(0, ["cells", "sum_cx", "sum_cy", "sum_id"])
 
 
 @query("k7_instance_extent", """
 SELECT ref_token, k, actor_id, min(cx) AS min_cx, min(cy) AS min_cy, max(cx) AS max_cx, max(cy) AS max_cy, count(*) AS cells
 FROM vehicle_grid GROUP BY ALL""")
 def k7(v):
-    return grid.instance_extent(vehicle_grid(v), KEYS, "actor_id")
+    return spans.extents(vehicle_spans(v), KEYS, "actor_id")
 
 
 register("centres", """
 SELECT *, CASE WHEN lead(k) OVER w = k + 1 THEN lead(mx) OVER w - mx END AS flow_x, CASE WHEN lead(k) OVER w = k + 1 THEN lead(my) OVER w - my END AS flow_y
-FROM (SELECT ref_token, k, actor_id, avg(cx) AS mx, avg(cy) AS my FROM vehicle_grid GROUP BY ALL)
+FROM (SELECT ref_token, k, actor_id, avg(cx) AS mx, avg(cy) AS my, count(*) AS cells FROM vehicle_grid GROUP BY ALL)
 WINDOW w AS (PARTITION BY ref_token, actor_id ORDER BY k)""")
 
 
+def centres(v):
+    return spans.centroids(vehicle_spans(v), "ref_token", "k", "actor_id")
+
+
 @query("k2_centre_flow", f"""
 SELECT ref_token, k, actor_id, {s6("mx")} AS mx, {s6("my")} AS my, {s6("flow_x")} AS flow_x, {s6("flow_y")} AS flow_y FROM centres""")
 def k2(v):
-    c = grid.centroids(vehicle_grid(v), "ref_token", "k", "actor_id")
-    return c.select("ref_token", "k", "actor_id", *[r6(n).alias(n) for n in ("mx", "my", "flow_x", "flow_y")])
+    return centres(v).select("ref_token", "k", "actor_id", *[r6(n).alias(n) for n in ("mx", "my", "flow_x", "flow_y")])
 
 
 @query("k2_cell_offsets", f"""
 SELECT ref_token, k, {s6("sum(abs(mx - cx))")} AS abs_x, {s6("sum(abs(my - cy))")} AS abs_y FROM vehicle_grid JOIN centres USING (ref_token, k, actor_id)
 GROUP BY ref_token, k""")
 def k2_offsets(v):
-    g = vehicle_grid(v)
-    o = grid.offsets(g, grid.centroids(g, "ref_token", "k", "actor_id"), "ref_token", "k", "actor_id")
+    o = grid.offsets(spans.cells(vehicle_spans(v)), centres(v), "ref_token", "k", "actor_id")
     return o.groupBy(*KEYS).agg(r6(F.sum(F.abs("off_x"))).alias("abs_x"), r6(F.sum(F.abs("off_y"))).alias("abs_y"))
 
 
+@query("k2_backward_flow", f"""
+SELECT g.ref_token, g.k - 1 AS k, g.actor_id, g.cells, {s6("p.mx - g.mx")} AS back_x, {s6("p.my - g.my")} AS back_y, n.min_cx, n.max_cy
+FROM centres g JOIN centres p ON p.ref_token = g.ref_token AND p.actor_id = g.actor_id AND p.k = g.k - 1
+JOIN (SELECT ref_token, k, actor_id, min(cx) AS min_cx, max(cy) AS max_cy FROM vehicle_grid GROUP BY ALL) n ON n.ref_token = g.ref_token AND n.k = g.k AND n.actor_id = g.actor_id""")
+def k2_backward(v):
+    own = vehicle_spans(v)
+    back = spans.backward_flow(own, centres(v), "ref_token", "k", "actor_id")
+    return back.groupBy(*KEYS, "actor_id").agg(
+        F.sum(F.col("x1") - F.col("x0") + 1).alias("cells"), r6(F.first("back_x")).alias("back_x"), r6(F.first("back_y")).alias("back_y"),
+        F.min("x0").alias("min_cx"), F.max("cy").alias("max_cy"))
+
+
+@query("k2_centre_map", f"""
+SELECT ref_token, k, count(*) AS cells, {s6("sum(exp(-d2/9))")} AS total, {s6("max(exp(-d2/9))")} AS top FROM (
+  SELECT ref_token, k, cx, cy, min((cx - mx)*(cx - mx) + (cy - my)*(cy - my)) AS d2 FROM (
+    SELECT *, unnest(range(greatest(0, ceil(my - 8))::BIGINT, least(199, floor(my + 8))::BIGINT + 1)) AS cy FROM (
+      SELECT *, unnest(range(greatest(0, ceil(mx - 8))::BIGINT, least(199, floor(mx + 8))::BIGINT + 1)) AS cx FROM centres)) GROUP BY ALL) GROUP BY ref_token, k""")
+def k2_map(v):
+    m = spans.centre_map(centres(v), "ref_token", "k")
+    return m.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("cells"), r6(F.sum("centerness")).alias("total"), r6(F.max("centerness")).alias("top"))
+
+
 @query("k6_footprint_cells", """
 SELECT token, step, count(*) AS cells, min(cx) AS min_cx, max(cx) AS max_cx, min(cy) AS min_cy, max(cy) AS max_cy FROM (
 SELECT DISTINCT token, step, greatest(0, least(199, trunc(f/0.5 + a)))::INTEGER AS cx, greatest(0, least(199, trunc(-r/0.5 + b)))::INTEGER AS cy
