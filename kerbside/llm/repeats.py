@@ -29,6 +29,9 @@ WINDOW, SEED = 13, 42
 PACK_WORDS, PART_HASHES, SMALL_WORDS = 600_000, 1_500_000, 10_000_000_000
 #: Words kept by their hash in a Python worker.
 MEMORY_WORDS = 400_000
+#: Bytes sent of a block hash, whose part is known besides (equal ones of unequal blocks only cost a look at the windows there),
+#: and of each half of a window's key, which decides.
+BLOCK_BYTES, KEY_BYTES = 5, 6
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _TWO = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -150,12 +153,27 @@ def rank_of(ids: list) -> np.ndarray:
     return np.array([place.get(v, len(place)) for v in ids], dtype=np.int64)
 
 
+def place_type(ids: int) -> type:
+    return np.uint16 if ids < 1 << 16 else np.uint32
+
+
 def bounds(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Ends of the parts in ascending 64-bit hashes."""
     edges = np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
     return np.r_[0, np.searchsorted(hashes, edges), len(hashes)]
 
 
+def short(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def longer(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.reshape(-1).view(np.uint64)
+
+
 def sizes(words: int, pack_words: int, part_hashes: int, small: int) -> tuple[int, int]:
     """(packs, parts) for a corpus of so many words."""
     wider = max(1.0, math.sqrt(words / small))
@@ -184,7 +202,7 @@ def bits_of(flags: np.ndarray) -> bytes:
 
 def match_blocks(t: pa.Table) -> pa.Table:
     """One part of the index: which hashes are a grid block somewhere and lie in more than one document."""
-    rows = list(zip(t.column("pack").to_pylist(), t.column("part").to_pylist(), (np.frombuffer(b, np.uint64) for b in t.column("keys").to_pylist())))
+    rows = list(zip(t.column("pack").to_pylist(), t.column("part").to_pylist(), (longer(b, BLOCK_BYTES) for b in t.column("keys").to_pylist())))
     sent = np.concatenate([r[2] for r in rows])
     value, back, times = np.unique(sent & ~np.uint64(3), return_inverse=True, return_counts=True)
     grid = np.zeros(len(value), dtype=bool)
@@ -201,12 +219,12 @@ def match_windows(t: pa.Table) -> pa.Table:
     """One part of the windows: which of a pack's have a smaller document elsewhere than its own least one."""
     rows = sorted(zip(t.column("pack").to_pylist(), t.column("part").to_pylist(), t.column("keys").to_pylist(), t.column("more").to_pylist(),
                       t.column("ids").to_pylist(), t.column("of").to_pylist()), key=lambda r: r[0])
-    one = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
-    two = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])
+    one = np.concatenate([longer(r[2], KEY_BYTES) for r in rows])
+    two = np.concatenate([longer(r[3], KEY_BYTES) for r in rows])
     own, none = [], []
     for r in rows:
         known = np.array([*r[4], 0], dtype=np.int64)
-        of = np.frombuffer(r[5], np.uint32)
+        of = np.frombuffer(r[5], place_type(len(r[4])))
         own.append(known[of])
         none.append(of == len(r[4]))
     own, none = np.concatenate(own), np.concatenate(none)
@@ -217,7 +235,7 @@ def match_windows(t: pa.Table) -> pa.Table:
     earlier = np.empty(len(order), dtype=bool)
     # the first of each key has the least id; a key without any id has none earlier
     earlier[order] = ~none[first] & (none[order] | (own[order] > own[first]))
-    ends = np.cumsum([0, *[len(r[2]) // 8 for r in rows]])
+    ends = np.cumsum([0, *[len(r[2]) // KEY_BYTES for r in rows]])
     return batch(BACK, pack=[r[0] for r in rows], kind=[2] * len(rows), part=[r[1] for r in rows],
                  bits=[bits_of(earlier[a:b]) for a, b in zip(ends[:-1], ends[1:])])
 
@@ -242,8 +260,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         ends = bounds(hashes, parts)
         for p, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
             if b > a:
-                yield {"part": p, "pack": pack, "keys": hashes[a:b].tobytes(), "more": extra["two"][a:b].tobytes() if extra else b"",
-                       "ids": extra["ids"] if extra else [], "of": extra["of"][a:b].tobytes() if extra else b""}
+                if extra is None:
+                    yield {"part": p, "pack": pack, "keys": short(hashes[a:b], BLOCK_BYTES), "more": b"", "ids": [], "of": b""}
+                else:
+                    yield {"part": p, "pack": pack, "keys": short(hashes[a:b], KEY_BYTES), "more": short(extra["two"][a:b], KEY_BYTES),
+                           "ids": extra["ids"], "of": extra["of"][a:b].tobytes()}
 
     def probe(t: pa.Table) -> pa.Table:
         return pa.Table.from_pylist(list(send(t.column("pack")[0].as_py(), Anchors(pack_of(t), block).sent)), SENT)
@@ -254,7 +275,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         pack = pack_of(t)
         found = Windows(pack, Anchors(pack, block), replied(back, 1), window, block)
         ids = sorted({v for v in pack.ids if v is not None})
-        extra = {"two": found.two, "of": found.least.astype(np.uint32), "ids": ids}
+        extra = {"two": found.two, "of": found.least.astype(place_type(len(ids))), "ids": ids}
         return pa.Table.from_pylist(list(send(t.column("pack")[0].as_py(), found.one, extra)), SENT)
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()),
