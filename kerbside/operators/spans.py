@@ -1,4 +1,4 @@
-"""Polygon fill by row spans (K1, K2, K7): one row for each polygon and grid row instead of one for each cell.
+"""Polygon fill by row spans (K1, K2, K4, K5, K7, K8, F18): one row for each polygon and grid row instead of one for each cell.
 
 Corners are rounded to cells first.  A cell belongs to a polygon when it lies inside it or is one that an edge, drawn to the
 nearest cell, passes: a steep edge has one cell in each row, a flat one those nearer than half a cell.  All of
@@ -18,30 +18,38 @@ from kerbside.operators.maps import edges
 IGNORED, RENAMED = 255, -20
 
 
-def corner_cells(length: str = "l", width: str = "w") -> Column:
-    """The four corners of the row's box (x, y, yaw) as whole cells, in order."""
+def corner_cells(length: str = "l", width: str = "w") -> dict[str, Column]:
+    """Corners u0, v0 to u3, v3 of the row's box (x, y, yaw) as whole cells, in order."""
     # rounded first: what a sine leaves of a half must not decide
     at = lambda c: F.rint(F.round((c + EXTENT) / CELL, 9)).cast("long")
     corners = geom.box_corners(F.col("x"), F.col("y"), F.col(length), F.col(width), F.col("yaw"))
-    return F.array(*[F.struct(at(p.x).alias("x"), at(p.y).alias("y")) for p in corners])
-
-
-def _edge_span(e: Column, y: Column) -> Column:
-    """Cells from ``lo`` to ``hi`` that the edge passes in row ``y``, or null."""
-    a, b = e["a"], e["b"]
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    least, most = F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])
-    in_rows = y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-    twice = 2 * (a["x"] * dy + (y - a["y"]) * dx)
-    near = F.floor((twice + dy) / F.nullif(2 * dy, F.lit(0)))
-    turned = twice * F.signum(dy.cast("double"))
-    low = F.ceil((turned - F.abs(dx)) / F.nullif(2 * F.abs(dy), F.lit(0)))
-    high = F.floor((turned + F.abs(dx)) / F.nullif(2 * F.abs(dy), F.lit(0)))
-    pair = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-    flat = pair(F.greatest(low, least), F.least(high, most))
-    return (F.when(dy == 0, F.when(y == a["y"], pair(least, most)))
-            .when(F.abs(dy) >= F.abs(dx), F.when(in_rows, pair(near, near)))
-            .otherwise(F.when(flat["lo"] <= flat["hi"], flat)))
+    return {f"{n}{i}": at(c) for i, p in enumerate(corners) for n, c in (("u", p.x), ("v", p.y))}
+
+
+def quad_edges() -> list[tuple[Column, Column, Column, Column]]:
+    """The edges of u0, v0 to u3, v3 as ax, ay, bx, by."""
+    return [tuple(F.col(f"{n}{k}") for k in (i, (i + 1) % 4) for n in "uv") for i in range(4)]
+
+
+def _edge_facts(i: int, edge: tuple) -> dict[str, Column]:
+    """What a row needs to know of edge ``i``, so that it is worked out once for each box."""
+    ax, ay, bx, by = edge
+    dx, dy = bx - ax, by - ay
+    return {f"{n}{i}": c for n, c in {
+        "dx": dx, "dy": dy, "base": 2 * (ax * dy - ay * dx), "xl": F.least(ax, bx), "xh": F.greatest(ax, bx), "yl": F.least(ay, by), "yh": F.greatest(ay, by),
+        "kind": F.when(dy == 0, 0).when(F.abs(dy) >= F.abs(dx), 1).otherwise(2)}.items()}
+
+
+def _edge_span(i: int, y: Column) -> tuple[Column, Column]:
+    """First and last cell that edge ``i`` passes in row ``y``, null where it passes none: a level edge all of its cells, a steep one
+    the nearest, a flat one those at which it is no more than half a cell away."""
+    dx, dy, base, least, most, kind = (F.col(f"{n}{i}") for n in ("dx", "dy", "base", "xl", "xh", "kind"))
+    inside = y.between(F.col(f"yl{i}"), F.col(f"yh{i}"))
+    twice = base + 2 * y * dx
+    near = F.floor((twice + dy) / (2 * dy))
+    turned, wide = twice * F.signum(dy.cast("double")), 2 * F.abs(dy)
+    pick = lambda level, flat: F.when(inside, F.when(kind == 0, level).when(kind == 1, near).otherwise(flat))
+    return (pick(least, F.greatest(F.ceil((turned - F.abs(dx)) / wide), least)), pick(most, F.least(F.floor((turned + F.abs(dx)) / wide), most)))
 
 
 def box_spans(boxes: DataFrame, keys: list[str], instance: str, size: int = SIZE) -> DataFrame:
@@ -49,30 +57,41 @@ def box_spans(boxes: DataFrame, keys: list[str], instance: str, size: int = SIZE
 
     Boxes are spread by ``keys`` first, so that later groupings by keys and row shuffle nothing.
     """
-    placed = boxes.repartition(*keys).select(*keys, instance, corner_cells().alias("ring"))
-    ys = F.transform("ring", lambda p: p["y"])
-    low, high = F.greatest(F.lit(0), F.array_min(ys)), F.least(F.lit(size - 1), F.array_max(ys))
-    rows = placed.filter(low <= high).select("*", F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("cy"))
-    parts = F.filter(F.transform(edges(F.col("ring")), lambda e: _edge_span(e, F.col("cy"))), lambda s: s.isNotNull())
-    found = rows.select(*keys, instance, "cy", parts.alias("parts"))
-    x0 = F.greatest(F.lit(0), F.array_min(F.transform("parts", lambda s: s["lo"]))).cast("int")
-    x1 = F.least(F.lit(size - 1), F.array_max(F.transform("parts", lambda s: s["hi"]))).cast("int")
-    return found.select(*keys, instance, F.col("cy").cast("int").alias("cy"), x0.alias("x0"), x1.alias("x1")).filter("x0 <= x1")
+    placed = boxes.repartition(*keys).select(*keys, instance, *[c.alias(n) for n, c in corner_cells().items()])
+    for i, e in enumerate(quad_edges()):
+        placed = placed.withColumns(_edge_facts(i, e))
+    vs = [F.col(f"v{i}") for i in range(4)]
+    low, high = F.greatest(F.lit(0), F.least(*vs)), F.least(F.lit(size - 1), F.greatest(*vs))
+    rows = placed.withColumn("cy", F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long")))))
+    passed = [_edge_span(i, F.col("cy")) for i in range(4)]
+    x0 = F.greatest(F.lit(0), F.least(*[p[0] for p in passed])).cast("int")
+    x1 = F.least(F.lit(size - 1), F.greatest(*[p[1] for p in passed])).cast("int")
+    # behind a generator the filter looks at the values, not at their formulas again
+    span = F.inline(F.array(F.struct(x0.alias("x0"), x1.alias("x1"))))
+    return rows.select(*keys, instance, F.col("cy").cast("int").alias("cy"), span).filter("x0 <= x1")
+
+
+def islands(spans: DataFrame, keys: list[str], touching: int = 0) -> DataFrame:
+    """``spans`` with ``island``: spans of a row that overlap (or are ``touching`` cells apart) share its number."""
+    row = Window.partitionBy(*keys, "cy").orderBy("x0")
+    reach = F.max("x1").over(row.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.coalesce(F.col("x0") > reach + touching, F.lit(True)).cast("int")
+    return spans.withColumn("_new", new).withColumn("island", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
 def painted(spans: DataFrame, keys: list[str], instance: str) -> DataFrame:
     """Spans without overlap, (keys, cy, x0, x1, instance): where several cover a cell the later (larger) instance stays.
 
-    A row is cut where a span starts or has ended; each piece then belongs to one instance or to none.
+    Spans that overlap are cut where one of them starts or has ended; each piece then belongs to one instance or to none.
     """
-    rows = spans.groupBy(*keys, "cy").agg(F.collect_list(F.struct("x0", "x1", F.col(instance).alias("id"))).alias("all"))
+    rows = islands(spans, keys).groupBy(*keys, "cy", "island").agg(F.collect_list(F.struct("x0", "x1", F.col(instance).alias("id"))).alias("all"))
     cuts = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda s: F.array(s["x0"], s["x1"] + 1)))))
 
     def piece(at: Column, i: Column) -> Column:
         top = F.array_max(F.transform(F.filter("all", lambda s: (s["x0"] <= at) & (s["x1"] >= at)), lambda s: s["id"]))
         return F.struct(at.alias("x0"), (F.get(F.col("cuts"), i + 1) - 1).alias("x1"), top.alias("id"))
 
-    many = rows.withColumn("cuts", cuts)
+    many = rows.withColumn("cuts", F.when(F.size("all") > 1, cuts))
     pieces = F.when(F.size("all") == 1, F.col("all")).otherwise(
         F.filter(F.transform(F.slice("cuts", F.lit(1), F.size("cuts") - 1), piece), lambda p: p["id"].isNotNull()))
     return many.select(*keys, "cy", F.explode(pieces).alias("p")).select(*keys, "cy", "p.x0", "p.x1", F.col("p.id").alias(instance))
@@ -140,3 +159,202 @@ def centre_map(centres: DataFrame, key: str, step: str, sigma: float = 3.0, radi
     near = centres.select(key, step, "mx", "my", F.explode(reach(F.col("mx"))).alias("cx")).withColumn("cy", F.explode(reach(F.col("my"))))
     d2 = (F.col("cx") - F.col("mx")) * (F.col("cx") - F.col("mx")) + (F.col("cy") - F.col("my")) * (F.col("cy") - F.col("my"))
     return near.groupBy(key, step, "cx", "cy").agg(F.min(d2).alias("d2")).select(key, step, "cx", "cy", F.exp(-F.col("d2") / sigma**2).alias("centerness"))
+
+
+# ---- map layers around a frame -----------------------------------------------------------------
+
+#: Patch and canvas of the map labels, fixed values.
+PATCH, CANVAS = 102.4, 200
+MAP_CELL = PATCH / CANVAS
+THICKNESS, WIDER, DIVIDER = 3, 4, 5
+ANGLES = 36
+_RING = "array<struct<x: double, y: double>>"
+
+
+def convex_quad(ring: Column) -> Column:
+    """Whether a ring has four corners and turns one way only."""
+    turns = []
+    for i in range(4):
+        a, b, c = (F.get(ring, F.lit(k % 4)) for k in (i, i + 1, i + 2))
+        turns.append((b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"]))
+    return F.when(F.size(ring) == 4, (F.least(*turns) > 0) | (F.greatest(*turns) < 0)).otherwise(False)
+
+
+def patch_rings(poses: DataFrame, records: DataFrame, half: float = PATCH / 2, cell: float = MAP_CELL, carried: list[str] = ()) -> DataFrame:
+    """(token, layer, record, carried, ring): every record whose bounds come near the patch of a frame, in cells of that patch.
+
+    Frames and records meet on tiles as wide as the patch's circle, so a frame looks at four tiles at most.
+    """
+    reach = half * 2**0.5
+    tile = lambda c: F.floor(c / (2 * reach)).cast("long")
+    span = lambda a, b: F.explode(F.sequence(tile(F.col(a)), tile(F.col(b))))
+    near = records.withColumn("tx", span("min_x", "max_x")).withColumn("ty", span("min_y", "max_y"))
+    p = poses.select("token", "gx", "gy", "gyaw", *[(F.col(c) + d).alias(n) for n, c, d in (
+        ("x0", "gx", -reach), ("x1", "gx", reach), ("y0", "gy", -reach), ("y1", "gy", reach))])
+    p = p.withColumn("tx", span("x0", "x1")).withColumn("ty", span("y0", "y1"))
+    once = (F.col("tx") == F.greatest(tile(F.col("x0")), tile(F.col("min_x")))) & (F.col("ty") == F.greatest(tile(F.col("y0")), tile(F.col("min_y"))))
+    met = p.join(near, ["tx", "ty"]).filter(
+        once & (F.col("min_x") <= F.col("x1")) & (F.col("max_x") >= F.col("x0")) & (F.col("min_y") <= F.col("y1")) & (F.col("max_y") >= F.col("y0")))
+    sin, cos = F.sin("gyaw"), F.cos("gyaw")
+
+    def local(v: Column) -> Column:
+        dx, dy = v["x"] - F.col("gx"), v["y"] - F.col("gy")
+        return F.struct(((dx * F.col("c") + dy * F.col("s") + half) / cell).alias("x"), ((dy * F.col("c") - dx * F.col("s") + half) / cell).alias("y"))
+
+    return met.withColumns({"s": sin, "c": cos}).select("token", "layer", "record", *carried, F.transform("ring", local).alias("ring"))
+
+
+def thick_line(a: tuple, b: tuple, thickness: float) -> dict[str, Column]:
+    """Corners u0, v0 to u3, v3 of a segment drawn with a square pen, in the units of its ends (x, y)."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    length = F.nullif(geom.hypot(dx, dy), F.lit(0.0))
+    ux, uy = F.coalesce(dx / length, F.lit(1.0)), F.coalesce(dy / length, F.lit(0.0))
+    half = thickness / 2
+    corners = ((b, 1, 1), (b, 1, -1), (a, -1, -1), (a, -1, 1))
+    return {f"{n}{i}": c for i, (p, along, across) in enumerate(corners)
+            for n, c in (("u", p[0] + along * ux * half - across * uy * half), ("v", p[1] + along * uy * half + across * ux * half))}
+
+
+def _first(c: Column) -> Column:
+    """The first cell whose centre is not before ``c``."""
+    return F.ceil(F.round(c - 0.5, 9)).cast("int")
+
+
+def fill_quads(quads: DataFrame, keys: list[str], size: int = CANVAS) -> DataFrame:
+    """As ``fill`` for convex rings of four corners, u0, v0 to u3, v3: two edges cross the middle of a row."""
+    vs = [F.col(f"v{i}") for i in range(4)]
+    low, high = F.greatest(F.lit(0), _first(F.least(*vs))), F.least(F.lit(size - 1), _first(F.greatest(*vs)) - 1)
+    rows = quads.withColumn("cy", F.explode(F.when(low <= high, F.sequence(low, high))))
+    at = F.col("cy") + 0.5
+    cross = [F.when((ay > at) != (by > at), ax + (at - ay) * (bx - ax) / (by - ay)) for ax, ay, bx, by in quad_edges()]
+    x0, x1 = F.greatest(F.lit(0), _first(F.least(*cross))), F.least(F.lit(size - 1), _first(F.greatest(*cross)) - 1)
+    return rows.select(*keys, "cy", F.inline(F.array(F.struct(x0.alias("x0"), x1.alias("x1"))))).filter("x0 <= x1")
+
+
+def fill(rings: DataFrame, keys: list[str], size: int = CANVAS) -> DataFrame:
+    """(keys, cy, x0, x1): the cells of each row whose centre lies in ``ring``, by the even-odd rule; rings may be concave.
+
+    The edges that cross the middle of a row, from left to right, open and close its spans in turn.
+    """
+    ys = F.transform("ring", lambda p: p["y"])
+    low, high = F.greatest(F.lit(0), _first(F.array_min(ys))), F.least(F.lit(size - 1), _first(F.array_max(ys)) - 1)
+    rows = rings.filter(low <= high).select(*keys, "ring", F.explode(F.sequence(low, high)).alias("cy"))
+    at = F.col("cy") + 0.5
+
+    def crossing(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return a["x"] + (at - a["y"]) * (b["x"] - a["x"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+
+    passing = F.filter(edges(F.col("ring")), lambda e: (e["a"]["y"] > at) != (e["b"]["y"] > at))
+    rows = rows.select(*keys, "cy", F.array_sort(F.transform(passing, crossing)).alias("xs")).filter(F.size("xs") > 1)
+    spans = rows.select(*keys, "cy", "xs", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)).alias("_i"))
+    x0 = F.greatest(F.lit(0), _first(F.get("xs", F.col("_i") * 2)))
+    x1 = F.least(F.lit(size - 1), _first(F.get("xs", F.col("_i") * 2 + 1)) - 1)
+    return spans.select(*keys, "cy", x0.alias("x0"), x1.alias("x1")).filter("x0 <= x1")
+
+
+def merged(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans that overlap or touch become one: (keys, cy, x0, x1)."""
+    return islands(spans, keys, 1).groupBy(*keys, "cy", "island").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("island")
+
+
+def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts that spans of both sides share; the spans of each side do not overlap one another."""
+    other = b.select(*keys, "cy", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
+    both = a.select(*keys, "cy", "x0", "x1").join(other, [*keys, "cy"]).filter((F.col("x0") <= F.col("_x1")) & (F.col("_x0") <= F.col("x1")))
+    return both.select(*keys, "cy", F.greatest("x0", "_x0").alias("x0"), F.least("x1", "_x1").alias("x1"))
+
+
+def without(a: DataFrame, b: DataFrame, keys: list[str], carried: list[str] = ()) -> DataFrame:
+    """What is left of the spans of ``a`` outside those of ``b``; ``carried`` columns of ``a`` stay with their parts."""
+    holes = b.groupBy(*keys, "cy").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("holes"))
+    rows = a.join(holes, [*keys, "cy"], "left")
+    kind = "array<struct<x0: int, x1: int>>"
+    inner = F.filter("holes", lambda h: (h["x0"] <= F.col("x1")) & (h["x1"] >= F.col("x0")))
+    # what lies between the end of a hole (or of the span) and the next hole
+    starts = F.concat(F.array("x0"), F.transform(inner, lambda h: h["x1"] + 1))
+    ends = F.concat(F.transform(inner, lambda h: h["x0"] - 1), F.array("x1"))
+    left = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("x0"), e.alias("x1"))), lambda p: p["x0"] <= p["x1"])
+    whole = F.array(F.struct("x0", "x1")).cast(kind)
+    return rows.select(*keys, "cy", *carried, F.explode(F.when(F.col("holes").isNull(), whole).otherwise(left.cast(kind))).alias("p")).select(
+        *keys, "cy", *carried, "p.x0", "p.x1")
+
+
+def contour(spans: DataFrame, keys: list[str], size: int = CANVAS) -> DataFrame:
+    """Cells of a mask (merged spans) that have one of their four neighbours outside it or outside the canvas."""
+    core = spans.withColumns({"x0": F.col("x0") + 1, "x1": F.col("x1") - 1}).filter((F.col("x0") <= F.col("x1")) & F.col("cy").between(1, size - 2))
+    for step in (-1, 1):
+        core = overlap(core, spans.withColumn("cy", F.col("cy") + step), keys)
+    return without(spans.select(*keys, "cy", "x0", "x1"), core, keys)
+
+
+def patch_masks(poses: DataFrame, polygons: DataFrame, parts: DataFrame, size: int = CANVAS) -> DataFrame:
+    """(token, layer, cy, x0, x1): polygon layers, the merged lane lines as ``dividers``, and the drivable area's ``contour``."""
+    keys = ["token", "layer"]
+    # four convex corners, as most records have, need no sorting of crossings
+    simple = convex_quad(F.col("ring"))
+    rings = patch_rings(poses, polygons.withColumn("simple", simple), carried=["simple"])
+    quads = rings.filter("simple").select(*keys, *[F.get("ring", F.lit(i))[c].alias(f"{n}{i}") for i in range(4) for n, c in (("u", "x"), ("v", "y"))])
+    areas = merged(fill_quads(quads, keys, size).unionByName(fill(rings.filter("not simple"), keys, size)), keys)
+    lines = line_rings(parts.filter("layer = 'lanes'"), DIVIDER).withColumn("layer", F.lit("dividers"))
+    drivable = areas.filter("layer = 'drivable_area'")
+    edge = contour(drivable, keys, size).withColumn("layer", F.lit("contour"))
+    return areas.unionByName(merged(fill_quads(lines, keys, size), keys)).unionByName(edge)
+
+
+def line_rings(parts: DataFrame, thickness: float, half: float = PATCH / 2, cell: float = MAP_CELL) -> DataFrame:
+    """(token, layer, line, seg, ahead, back, u0 .. v3) of every clipped piece of map lines, with its direction there and back."""
+    at = lambda p: tuple((F.col(f"p.{p}.{c}") + half) / cell for c in "xy")
+    piece = parts.select("token", "layer", "line", F.posexplode("pieces").alias("seg", "p"))
+    dx, dy = F.col("p.q.x") - F.col("p.p.x"), F.col("p.q.y") - F.col("p.p.y")
+    ahead = direction_bin(F.degrees(F.atan2(dy, dx)))
+    back = direction_bin(F.degrees(F.atan2(-dy, -dx)))
+    corners = thick_line(at("p"), at("q"), thickness)
+    return piece.select("token", "layer", "line", "seg", ahead.alias("ahead"), back.alias("back"), *[c.alias(n) for n, c in corners.items()])
+
+
+def direction_bin(degrees: Column, bins: int = ANGLES) -> Column:
+    """Number from 1 of the nearest of ``bins`` directions around the circle."""
+    turn = F.round(F.pmod(degrees, F.lit(360.0)), 6)
+    return (F.floor(turn / (360 / bins) + 0.5).cast("int") % bins) + 1
+
+
+def drawn_lines(parts: DataFrame, cls: Column, thickness: float = THICKNESS, size: int = CANVAS) -> DataFrame:
+    """(token, cls, line, seg, ahead, back, cy, x0, x1): map lines of a class drawn one over the other."""
+    rings = line_rings(parts, thickness).withColumn("cls", cls).filter("cls IS NOT NULL")
+    return fill_quads(rings, ["token", "cls", "line", "seg", "ahead", "back"], size)
+
+
+def line_masks(drawn: DataFrame, wide: DataFrame) -> dict[str, DataFrame]:
+    """Spans by class: ``ahead`` with the ``line`` (the later one wins) and the ``bin`` of the direction of what was drawn last, ``back``
+    the same when every line is drawn from its end, and ``wide``, what each class takes from earlier ones."""
+    keys = ["token", "cls"]
+    # one number that is larger for what is drawn later, and ends in the direction
+    there = (F.col("line").cast("long") * 65536 + F.col("seg")) * 64 + F.col("ahead")
+    home = (F.col("line").cast("long") * 65536 + 65535 - F.col("seg")) * 64 + F.col("back")
+
+    def paint(value: Column) -> DataFrame:
+        done = painted(drawn.withColumn("order", value), keys, "order")
+        return done.select(*keys, "cy", "x0", "x1", F.shiftright("order", 22).alias("line"), (F.col("order") % 64).cast("int").alias("bin"))
+
+    return {"ahead": paint(there), "back": paint(home), "wide": merged(wide.select(*keys, "cy", "x0", "x1"), keys)}
+
+
+def without_later(spans: DataFrame, wide: DataFrame, carried: list[str]) -> DataFrame:
+    """Spans of each class outside what later classes, drawn wider, cover."""
+    later = wide.filter("cls > 0").withColumn("cls", F.explode(F.sequence(F.lit(0), F.col("cls") - 1)))
+    return without(spans, merged(later, ["token", "cls"]), ["token", "cls"], carried)
+
+
+def span_iou(pred: DataFrame, truth: DataFrame, keys: list[str], by: str = "layer") -> DataFrame:
+    """Summed intersection over summed union of two sets of spans per ``by``."""
+    inter = overlap(pred, truth, keys).groupBy(by).agg(F.sum(_length()).alias("inter"))
+    sizes = pred.select(by, "x0", "x1").unionByName(truth.select(by, "x0", "x1")).groupBy(by).agg(F.sum(_length()).alias("both"))
+    out = sizes.join(inter, by, "left").na.fill(0, ["inter"])
+    return out.select(by, "inter", (F.col("both") - F.col("inter")).alias("whole")).withColumn("iou", F.col("inter") / F.col("whole"))
+
+
+def layer_box(poses: DataFrame, spans: DataFrame, layer: str) -> DataFrame:
+    """Smallest and largest cell of a layer in every frame, zeros where it has none."""
+    box = extents(spans.filter(F.col("layer") == layer), ["token"], "layer").drop("layer", "cells")
+    return poses.select("token").join(box, "token", "left").na.fill(0)

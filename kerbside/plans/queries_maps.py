@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kerbside.operators import maps
+from kerbside.operators import maps, spans
 from kerbside.plans.oracle_views import hyp, r6 as s6, register
 from kerbside.plans.registry import query, r6
 
@@ -132,13 +132,13 @@ def parts(v):
     vs = vertices(v)
     segs = maps.segments(vs.filter("layer <> 'lanes'"), closed=True).unionByName(
         maps.segments(vs.filter("layer = 'lanes'"), closed=False))
-    return maps.clip_to_patch(v.frames, segs, 10.0)
+    return v.stage("patch_lines", maps.clip_to_patch(v.frames, segs, spans.PATCH / 2))
 
 
 _EGO_X = "({x} - gx)*cos(gyaw) + ({y} - gy)*sin(gyaw)"
 _EGO_Y = "-({x} - gx)*sin(gyaw) + ({y} - gy)*cos(gyaw)"
 _T = lambda p, q: (f"CASE WHEN {p} < 0 THEN ({q})/({p}) END", f"CASE WHEN {p} > 0 THEN ({q})/({p}) END")
-_PQ = [("-(qx-px)", "px+10"), ("(qx-px)", "10-px"), ("-(qy-py)", "py+10"), ("(qy-py)", "10-py")]
+_PQ = [("-(qx-px)", "px+51.2::DOUBLE"), ("(qx-px)", "51.2::DOUBLE-px"), ("-(qy-py)", "py+51.2::DOUBLE"), ("(qy-py)", "51.2::DOUBLE-py")]
 register("clipped", f"""
 SELECT *, sum(fresh) OVER (PARTITION BY token, layer, record ORDER BY seg ROWS UNBOUNDED PRECEDING) AS part FROM (
 SELECT *, CASE WHEN lag(seg) OVER w = seg - 1 AND lag(t1) OVER w = 1 AND t0 = 0 THEN 0 ELSE 1 END AS fresh, (t1 - t0)*{hyp("qx-px", "qy-py")} AS len FROM (
@@ -159,65 +159,125 @@ def k3(v):
         r6(F.max("length")).alias("length"), F.count(F.lit(1)).alias("samples"))
 
 
-def raster(v):
-    """Line cells of each frame, a stage table."""
-    return v.stage("line_raster", maps.line_raster(maps.resample(parts(v), 0.5), 0.5, 10.0, 3))
+def _first(c: str) -> str:
+    """The first cell whose centre is not before ``c``."""
+    return f"ceil(round({c} - 0.5::DOUBLE, 9))::BIGINT"
+
+
+def rows_sql(source: str, keys: str) -> str:
+    """Spans of convex rings (u0, v0) .. (u3, v3), in cells: the leftmost and rightmost edge that cross the middle of a row."""
+    vs = ", ".join(f"v{i}" for i in range(4))
+    cross = ", ".join(f"CASE WHEN (v{i} > m) <> (v{j} > m) THEN u{i} + (m - v{i})*(u{j} - u{i})/(v{j} - v{i}) END" for i, j in ((0, 1), (1, 2), (2, 3), (3, 0)))
+    return f"""
+SELECT {keys}, cy, greatest(0, {_first("left_")}) AS x0, least(199, {_first("right_")} - 1) AS x1 FROM (
+  SELECT {keys}, cy, least({cross}) AS left_, greatest({cross}) AS right_ FROM (SELECT *, cy + 0.5::DOUBLE AS m FROM (
+    SELECT *, unnest(range(greatest(0, {_first(f"least({vs})")}), least(199, {_first(f"greatest({vs})")} - 1) + 1)) AS cy FROM {source})))
+WHERE left_ IS NOT NULL AND greatest(0, {_first("left_")}) <= least(199, {_first("right_")} - 1)"""
+
+
+_UV = lambda c: f"(({c}) + 51.2::DOUBLE)/0.512::DOUBLE"
+_CORNERS = [f"max({_UV(_EGO_X.format(x='x', y='y') if n == 'u' else _EGO_Y.format(x='x', y='y'))}) FILTER (WHERE vertex = {i}) AS {n}{i}" for n in "uv" for i in range(4)]
+register("patch_rings", f"""
+SELECT token, layer, record, {", ".join(_CORNERS)} FROM frames CROSS JOIN map_vertices WHERE layer <> 'lanes' GROUP BY token, layer, record""")
+
+
+def pen_sql(thickness: int) -> str:
+    """Rings of the clipped pieces of kept lines, drawn with a square pen."""
+    a = {n: _UV(f"p{n} + (q{n} - p{n})*t0") for n in "xy"}
+    b = {n: _UV(f"p{n} + (q{n} - p{n})*t1") for n in "xy"}
+    half = f"{thickness / 2}::DOUBLE"
+    ring = []
+    for i, (p, along, across) in enumerate((("e", 1, 1), ("e", 1, -1), ("s", -1, -1), ("s", -1, 1))):
+        ring += [f"{p}x + {along}*dx*{half} - {across}*dy*{half} AS u{i}", f"{p}y + {along}*dy*{half} + {across}*dx*{half} AS v{i}"]
+    return f"""(SELECT token, layer, line, seg, ahead, back, {", ".join(ring)} FROM (
+  SELECT *, (ex - sx)/{hyp("ex - sx", "ey - sy")} AS dx, (ey - sy)/{hyp("ex - sx", "ey - sy")} AS dy,
+    (floor(round((degrees(atan2(ey - sy, ex - sx)) + 360) % 360, 6)/10 + 0.5)::INTEGER % 36) + 1 AS ahead,
+    (floor(round((degrees(atan2(sy - ey, sx - ex)) + 360) % 360, 6)/10 + 0.5)::INTEGER % 36) + 1 AS back
+  FROM (SELECT token, layer, line, row_number() OVER (PARTITION BY token, line ORDER BY seg) - 1 AS seg, {a["x"]} AS sx, {a["y"]} AS sy, {b["x"]} AS ex, {b["y"]} AS ey
+    FROM clipped JOIN line_parts USING (token, layer, record, part))))"""
 
 
 register("line_parts", """
-SELECT *, row_number() OVER (PARTITION BY token ORDER BY layer, record, part) - 1 AS line, greatest(1, floor(round(length, 6)/0.5))::BIGINT AS n
-FROM (SELECT token, layer, record, part, sum(len) AS length FROM clipped GROUP BY ALL HAVING sum(len) >= 0.5)""")
-register("line_pieces", """
-SELECT *, coalesce(sum(len) OVER (PARTITION BY token, layer, record, part ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM clipped""")
-register("line_points", """
-SELECT token, layer, line, i, arg_max(px + (qx - px)*(t0 + (t1 - t0)*least(1.0::DOUBLE, (s - start)/len)), start) AS x,
-  arg_max(py + (qy - py)*(t0 + (t1 - t0)*least(1.0::DOUBLE, (s - start)/len)), start) AS y
-FROM (SELECT *, length*i/n AS s FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM line_parts)) p JOIN line_pieces c USING (token, layer, record, part)
-WHERE start <= s GROUP BY ALL""")
-register("line_cells", """
-SELECT token, cls, cx, cy, max(line) AS line FROM (
-  SELECT token, CASE layer WHEN 'lanes' THEN 0 ELSE 2 END AS cls, line, floor((round(x, 6) + 10)/0.5)::BIGINT + a AS cx, floor((round(y, 6) + 10)/0.5)::BIGINT + b AS cy
-  FROM line_points CROSS JOIN range(-1, 2) t(a) CROSS JOIN range(-1, 2) u(b)) WHERE cx BETWEEN 0 AND 39 AND cy BETWEEN 0 AND 39 GROUP BY ALL""")
+SELECT token, layer, record, part, row_number() OVER (PARTITION BY token ORDER BY layer, record, part) - 1 AS line
+FROM (SELECT token, layer, record, part FROM clipped GROUP BY ALL HAVING sum(len) >= 0.5)""")
+_CLS = "CASE layer WHEN 'lanes' THEN 0 ELSE 2 END"
+register("line_cells", f"""
+SELECT token, {_CLS} AS cls, cx, cy, max(line) AS line, max((line*65536 + seg)*64 + ahead) % 64 AS ahead, max((line*65536 + 65535 - seg)*64 + back) % 64 AS back
+FROM (SELECT *, unnest(range(x0, x1 + 1)) AS cx FROM ({rows_sql(pen_sql(spans.THICKNESS), "token, layer, line, seg, ahead, back")})) GROUP BY ALL""")
+register("wide_rows", f"""
+SELECT token, cy, bit_or((repeat('0', x0::INTEGER) || repeat('1', (x1 - x0 + 1)::INTEGER) || repeat('0', (199 - x1)::INTEGER))::BIT) AS m
+FROM ({rows_sql(pen_sql(spans.THICKNESS + spans.WIDER), "token, layer")}) WHERE layer <> 'lanes' GROUP BY token, cy""")
+
+
+def drawn(v):
+    """Line masks of every frame, stage tables."""
+    cls = maps.element_class(F.col("layer"))
+    lines = [v.stage(f"map_lines_{t}", spans.drawn_lines(parts(v), cls, t)) for t in (spans.THICKNESS, spans.THICKNESS + spans.WIDER)]
+    return {name: v.stage(f"map_{name}", df) for name, df in spans.line_masks(*lines).items()}
+
+
+def _cells():
+    return F.col("x1") - F.col("x0") + 1
 
 
 @query("k4_line_raster", """
 SELECT token, cls, count(*) AS cells, count(DISTINCT line) AS lines, sum(line)::BIGINT AS sum_line, sum(cx)::BIGINT AS sum_cx, sum(cy)::BIGINT AS sum_cy
 FROM line_cells GROUP BY token, cls""")
 def k4(v):
-    return raster(v).groupBy("token", "cls").agg(
-        F.count(F.lit(1)).alias("cells"), F.count_distinct("line").alias("lines"), F.sum("line").alias("sum_line"),
-        F.sum("cx").alias("sum_cx"), F.sum("cy").alias("sum_cy"))
+    return drawn(v)["ahead"].groupBy("token", "cls").agg(
+        F.sum(_cells()).alias("cells"), F.count_distinct("line").alias("lines"), F.sum(F.col("line") * _cells()).alias("sum_line"),
+        F.sum((F.col("x0") + F.col("x1")) * _cells() / 2).cast("long").alias("sum_cx"), F.sum(F.col("cy") * _cells()).alias("sum_cy"))
+
+
+@query("k4_direction_bins", """
+SELECT token, cls, way, bin, count(*) AS cells FROM (
+  SELECT token, cls, 'ahead' AS way, ahead AS bin FROM line_cells UNION ALL SELECT token, cls, 'back', back FROM line_cells) GROUP BY ALL""")
+def k4_bins(v):
+    d = drawn(v)
+    both = d["ahead"].withColumn("way", F.lit("ahead")).unionByName(d["back"].withColumn("way", F.lit("back")))
+    return both.groupBy("token", "cls", "way", "bin").agg(F.sum(_cells()).alias("cells"))
 
 
 @query("k5_overlap_filter", """
-SELECT token, cls, count(*) AS cells FROM line_cells LEFT JOIN (
-  SELECT DISTINCT e.token, e.cls, e.cx, e.cy, true AS covered FROM (SELECT token, cls, cx, cy, cx + a AS nx, cy + b AS ny FROM line_cells
-    CROSS JOIN range(-2, 3) t(a) CROSS JOIN range(-2, 3) u(b) WHERE cls < 2) e
-  JOIN line_cells d ON d.token = e.token AND d.cx = nx AND d.cy = ny AND d.cls > e.cls) USING (token, cls, cx, cy) WHERE covered IS NULL GROUP BY token, cls""")
+SELECT token, cls, count(*) AS cells, count(DISTINCT line) AS lines FROM line_cells LEFT JOIN wide_rows USING (token, cy)
+WHERE cls = 2 OR m IS NULL OR get_bit(m, cx::INTEGER) = 0 GROUP BY token, cls""")
 def k5(v):
-    kept = maps.drop_overlaps(raster(v), 2)
-    return kept.groupBy("token", "cls").agg(F.count(F.lit(1)).alias("cells"))
+    d = drawn(v)
+    return spans.without_later(d["ahead"], d["wide"], ["line"]).groupBy("token", "cls").agg(
+        F.sum(_cells()).alias("cells"), F.count_distinct("line").alias("lines"))
 
 
-register("mask", """
-SELECT DISTINCT token, layer, cx, cy FROM (
-  SELECT token, layer, record, cx, cy, count(*) FILTER (WHERE (ay > py) <> (yb > py) AND px < (bx - ax)*(py - ay)/nullif(yb - ay, 0) + ax) % 2 AS odd
-  FROM (SELECT token, cx, cy, gx + (cx - 5.5)*cos(gyaw) - (cy - 5.5)*sin(gyaw) AS px, gy + (cx - 5.5)*sin(gyaw) + (cy - 5.5)*cos(gyaw) AS py
-        FROM frames CROSS JOIN range(0, 12) a(cx) CROSS JOIN range(0, 12) b(cy))
-  JOIN (SELECT e.*, min_x, min_y, max_x, max_y FROM map_edges e JOIN (SELECT layer, record, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y
-          FROM map_vertices GROUP BY ALL) USING (layer, record) WHERE layer <> 'lanes') ON px BETWEEN min_x AND max_x AND py BETWEEN min_y AND max_y
-  GROUP BY ALL) WHERE odd = 1""")
+_BITS = "bit_or((repeat('0', x0::INTEGER) || repeat('1', (x1 - x0 + 1)::INTEGER) || repeat('0', (199 - x1)::INTEGER))::BIT)"
+register("area_rows", f"""
+SELECT token, layer, cy, {_BITS} AS m FROM ({rows_sql("patch_rings", "token, layer")}) GROUP BY ALL
+UNION ALL SELECT token, 'dividers', cy, {_BITS} FROM ({rows_sql(pen_sql(spans.DIVIDER), "token, layer")}) WHERE layer = 'lanes' GROUP BY token, cy""")
+register("mask_rows", """
+SELECT * FROM area_rows UNION ALL
+SELECT token, 'contour', cy, CASE WHEN above IS NULL OR below IS NULL THEN m ELSE m & ~((m << 1) & (m >> 1) & above & below) END AS m FROM (
+  SELECT token, cy, m, CASE WHEN lag(cy) OVER w = cy - 1 THEN lag(m) OVER w END AS above, CASE WHEN lead(cy) OVER w = cy + 1 THEN lead(m) OVER w END AS below
+  FROM area_rows WHERE layer = 'drivable_area' WINDOW w AS (PARTITION BY token ORDER BY cy))""")
 
 
 def mask(v):
-    return maps.patch_mask(v.frames, polygons(v), 1.0, 6.0)
+    """Masks of every frame as spans, a stage table."""
+    return v.stage("patch_masks", spans.patch_masks(v.poses, polygons(v), parts(v)))
 
 
 @query("k8_patch_masks", """
-SELECT token, layer, count(*) AS cells, sum(cx)::BIGINT AS sum_cx, sum(cy)::BIGINT AS sum_cy FROM mask GROUP BY token, layer""")
+SELECT token, layer, sum(bit_count(m))::BIGINT AS cells, sum(cy*bit_count(m))::BIGINT AS sum_cy, min(cy)::INTEGER AS min_cy, max(cy)::INTEGER AS max_cy
+FROM mask_rows WHERE bit_count(m) > 0 GROUP BY token, layer""")
 def k8(v):
     return mask(v).groupBy("token", "layer").agg(
-        F.count(F.lit(1)).alias("cells"), F.sum("cx").alias("sum_cx"), F.sum("cy").alias("sum_cy"))
+        F.sum(_cells()).alias("cells"), F.sum(F.col("cy") * _cells()).alias("sum_cy"), F.min("cy").alias("min_cy"), F.max("cy").alias("max_cy"))
+
+
+@query("k7_stuff_box", """
+SELECT f.token, coalesce(min_cx, 0) AS min_cx, coalesce(min_cy, 0) AS min_cy, coalesce(max_cx, 0) AS max_cx, coalesce(max_cy, 0) AS max_cy
+FROM frames f LEFT JOIN (SELECT token, (bit_position('1'::BIT, bit_or(m)) - 1)::INTEGER AS min_cx, min(cy)::INTEGER AS min_cy,
+    (200 - bit_position('1'::BIT, reverse(bit_or(m)::VARCHAR)::BIT))::INTEGER AS max_cx, max(cy)::INTEGER AS max_cy
+  FROM area_rows WHERE layer = 'drivable_area' GROUP BY token) USING (token)""")
+def k7_stuff(v):
+    return spans.layer_box(v.poses, mask(v), "drivable_area")
 
 
 @query("k9_element_labels", """
@@ -229,10 +289,10 @@ def k9(v):
 
 
 @query("f18_map_iou", f"""
-SELECT layer, count(*) FILTER (WHERE p AND t) AS inter, count(*) AS whole, {s6("count(*) FILTER (WHERE p AND t)/count(*)::DOUBLE")} AS iou
-FROM (SELECT coalesce(a.layer, b.layer) AS layer, a.token IS NOT NULL AS p, b.token IS NOT NULL AS t FROM mask a
-  FULL JOIN (SELECT token, layer, cx + 1 AS cx, cy FROM mask) b ON a.token = b.token AND a.layer = b.layer AND a.cx = b.cx AND a.cy = b.cy) GROUP BY layer""")
+SELECT layer, sum(bit_count(a & b))::BIGINT AS inter, sum(bit_count(a | b))::BIGINT AS whole, {s6("sum(bit_count(a & b))/sum(bit_count(a | b))::DOUBLE")} AS iou
+FROM (SELECT layer, m AS a, m >> 1 AS b FROM mask_rows) GROUP BY layer""")
 def f18(v):
+    """The prediction is the truth moved by one cell; what leaves the canvas is gone."""
     m = mask(v)
-    return maps.mask_iou(m, m.withColumn("cx", F.col("cx") + 1), ["token"]).select(
-        "layer", "inter", "whole", r6("iou").alias("iou"))
+    moved = m.withColumns({"x0": F.col("x0") + 1, "x1": F.least(F.lit(spans.CANVAS - 1), F.col("x1") + 1)}).filter("x0 <= x1")
+    return spans.span_iou(moved, m, ["token", "layer"]).select("layer", "inter", "whole", r6("iou").alias("iou"))
