@@ -81,12 +81,18 @@ def match_frames(
 
 
 def box_errors(matches: DataFrame) -> DataFrame:
-    """Size, heading, overlap and velocity errors of matched pairs."""
+    """Size, heading, overlap and velocity errors of matched pairs, and where both sides have an attribute, whether they differ.
+
+    A truth box without an attribute (null or empty) has no attribute error.
+    """
     size = (F.abs(F.col("g_w") - F.col("d_w")) + F.abs(F.col("g_l") - F.col("d_l")) + F.abs(F.col("g_h") - F.col("d_h"))) / 3
     inter = F.least("g_w", "d_w") * F.least("g_l", "d_l") * F.least("g_h", "d_h")
     vol = F.col("g_w") * F.col("g_l") * F.col("g_h") + F.col("d_w") * F.col("d_l") * F.col("d_h") - inter
+    attr = {}
+    if "g_attr" in matches.columns:
+        attr["attr_err"] = F.when(F.coalesce(F.col("g_attr"), F.lit("")) != "", F.when(F.col("g_attr") == F.col("d_attr"), 0.0).otherwise(1.0))
     return matches.withColumns({
-        "size_err": size,
+        **attr, "size_err": size,
         "yaw_err": geom.yaw_gap(F.col("g_yaw"), F.col("d_yaw")),
         "scale_err": 1 - inter / vol,
         "vel_err": geom.hypot(F.col("g_vx") - F.col("d_vx"), F.col("g_vy") - F.col("d_vy")),
@@ -111,6 +117,20 @@ def detection_table(matches: DataFrame, truth: DataFrame) -> DataFrame:
         F.when(tp > 0, F.degrees(F.col("y") / tp)).alias("yaw_err_deg"))
 
 
+# ---- which boxes are scored -------------------------------------------------------------------
+
+def in_class_range(df: DataFrame) -> DataFrame:
+    """Boxes (x, y, cls) nearer to the car than the range in which their class is scored."""
+    from kerbside.operators.boxes import class_range
+
+    return df.filter(geom.hypot(F.col("x"), F.col("y")) < class_range(F.col("cls")))
+
+
+def of_annotations(truth: DataFrame, wanted: DataFrame, key: str = "annotation") -> DataFrame:
+    """Truth boxes whose annotation id is in the set ``wanted``, of any size."""
+    return truth.join(wanted.select(key).distinct(), key, "left_semi")
+
+
 # ---- precision over recall -------------------------------------------------------------
 
 def score_bucket() -> Column:
@@ -167,16 +187,30 @@ def pr_curve(ranked: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 ERRORS = {"trans_err": "dist", "scale_err": "scale_err", "orient_err": "yaw_err", "vel_err": "vel_err"}
+#: With matches that carry attributes; some pairs have no attribute error, so its mean counts those that do.
+FIVE_ERRORS = {**ERRORS, "attr_err": "attr_err"}
 
 
-def tp_error_curve(ranked: DataFrame, curve: DataFrame) -> DataFrame:
-    """Running mean of each error over matches, read at the curve's confidences."""
+def tp_error_curve(ranked: DataFrame, curve: DataFrame, errors: dict[str, str] = ERRORS) -> DataFrame:
+    """Running mean of each error over matches, read at the curve's confidences.
+
+    The attribute error is the mean over the matches so far that have one, zero before the first; a class without any has 1 throughout.
+    """
     hits = box_errors(ranked.filter(F.col("gt_pos").isNotNull()))
     order = [F.desc("score"), F.desc("event_id"), F.desc("det_pos")]
-    sums = running_sums(hits, order, {f"_{n}": c for n, c in ERRORS.items()},
-                        group=["cls", "thr"], bucket=score_bucket())
-    means = sums.select("cls", "thr", F.col("tp").alias("c"), "score",
-                        *[(F.col(f"_{n}") / F.col("tp")).alias(n) for n in ERRORS])
+    sources = {f"_{n}": c for n, c in errors.items()}
+    if "attr_err" in errors:
+        # a running sum takes no nulls
+        hits = hits.withColumns({"_has": F.col("attr_err").isNotNull().cast("long"), "_attr": F.coalesce("attr_err", F.lit(0.0))})
+        sources |= {"_attr_err": "_attr", "_attrs": "_has"}
+    sums = running_sums(hits, order, sources, group=["cls", "thr"], bucket=score_bucket())
+    mean = {n: F.col(f"_{n}") / F.col("tp") for n in errors}
+    if "attr_err" in errors:
+        some = hits.groupBy("cls", "thr").agg(F.max("_has").alias("_some"))
+        sums = sums.join(F.broadcast(some), ["cls", "thr"])
+        mean["attr_err"] = F.when(F.col("_some") == 0, 1.0).otherwise(
+            F.coalesce(F.col("_attr_err") / F.nullif(F.col("_attrs"), F.lit(0)), F.lit(0.0)))
+    means = sums.select("cls", "thr", F.col("tp").alias("c"), "score", *[mean[n].alias(n) for n in errors])
     # how many matches lie above each confidence: count per interval, then add up
     marks = curve.groupBy("cls", "thr").agg(F.sort_array(F.collect_set("conf")).alias("marks"))
     slot = F.size(F.filter("marks", lambda m: m < F.col("score")))
@@ -189,15 +223,15 @@ def tp_error_curve(ranked: DataFrame, curve: DataFrame) -> DataFrame:
     total = means.groupBy("cls", "thr").agg(F.max("c").alias("total"))
     spots = above.join(total, ["cls", "thr"]).withColumn("lo", F.least(F.col("above") + 1, F.col("total")))
     low = means.select("cls", "thr", F.col("c").alias("lo"), F.col("score").alias("s_lo"),
-                       *[F.col(n).alias(f"lo_{n}") for n in ERRORS])
+                       *[F.col(n).alias(f"lo_{n}") for n in errors])
     high = means.select("cls", "thr", F.col("c").alias("above"), F.col("score").alias("s_hi"),
-                        *[F.col(n).alias(f"hi_{n}") for n in ERRORS])
+                        *[F.col(n).alias(f"hi_{n}") for n in errors])
     both = F.broadcast(spots).join(low, ["cls", "thr", "lo"])
     both = both.join(high, ["cls", "thr", "above"], "left")
     inside = (F.col("above") >= 1) & (F.col("above") < F.col("total"))
     share = (F.col("conf") - F.col("s_lo")) / (F.col("s_hi") - F.col("s_lo"))
     value = lambda n: F.when(inside, F.col(f"lo_{n}") + (F.col(f"hi_{n}") - F.col(f"lo_{n}")) * share).otherwise(F.col(f"lo_{n}"))
-    return both.select("cls", "thr", "k", "conf", *[value(n).alias(n) for n in ERRORS])
+    return both.select("cls", "thr", "k", "conf", *[value(n).alias(n) for n in errors])
 
 
 def average_precision(curve: DataFrame, min_recall: float = 0.1, min_precision: float = 0.1) -> DataFrame:
@@ -207,30 +241,30 @@ def average_precision(curve: DataFrame, min_recall: float = 0.1, min_precision:
         (F.avg(gain) / (1 - min_precision)).alias("ap"))
 
 
-def tp_scores(errors: DataFrame, min_recall: float = 0.1) -> DataFrame:
+def tp_scores(errors: DataFrame, min_recall: float = 0.1, names: dict[str, str] = ERRORS) -> DataFrame:
     """Mean error from the first usable recall to the last with a confidence, else 1."""
     first = round(100 * min_recall) + 1
     last = errors.groupBy("cls", "thr").agg(F.max(F.when(F.col("conf") != 0, F.col("k"))).alias("last"))
     used = (F.col("k") >= first) & (F.col("k") <= F.col("last"))
     return errors.join(F.broadcast(last), ["cls", "thr"]).groupBy("cls", "thr").agg(*[
-        F.coalesce(F.avg(F.when(used, F.col(n))), F.lit(1.0)).alias(n) for n in ERRORS])
+        F.coalesce(F.avg(F.when(used, F.col(n))), F.lit(1.0)).alias(n) for n in names])
 
 
 # errors that mean nothing for a class, fixed values
 EXCLUDED = {"traffic_cone": ["attr_err", "vel_err", "orient_err"], "barrier": ["attr_err", "vel_err"]}
 
 
-def detection_score(ap: DataFrame, tp: DataFrame, at: float = 2.0) -> DataFrame:
+def detection_score(ap: DataFrame, tp: DataFrame, at: float = 2.0, names: dict[str, str] = ERRORS) -> DataFrame:
     """mAP over classes and distances, mean TP errors at 2 m, and the combined score."""
     def cell(name: str) -> Column:
         banned = [c for c, names in EXCLUDED.items() if name in names]
         return F.avg(F.when(~F.col("cls").isin(banned), F.col(name))) if banned else F.avg(name)
 
-    means = tp.filter(F.col("thr") == at).agg(*[cell(n).alias(n) for n in ERRORS])
-    gain = sum((F.lit(1.0) - F.least(F.lit(1.0), F.col(n)) for n in ERRORS), F.lit(0.0))
-    k = len(ERRORS)
+    means = tp.filter(F.col("thr") == at).agg(*[cell(n).alias(n) for n in names])
+    gain = sum((F.lit(1.0) - F.least(F.lit(1.0), F.col(n)) for n in names), F.lit(0.0))
+    k = len(names)
     return ap.agg(F.avg("ap").alias("map")).crossJoin(F.broadcast(means)).select(
-        "map", *ERRORS, ((F.col("map") * k + gain) / (2 * k)).alias("score"))
+        "map", *names, ((F.col("map") * k + gain) / (2 * k)).alias("score"))
 
 
 def epa(motion_matches: DataFrame, matches: DataFrame, truth: DataFrame, at: float = 2.0) -> DataFrame:

@@ -125,11 +125,24 @@ def segments(vertices: DataFrame, closed: bool) -> DataFrame:
 
 
 def discretise(segs: DataFrame, step: float = 0.5) -> DataFrame:
-    """Points every ``step`` metres along each segment, both ends of a lane included."""
+    """Points every ``step`` metres along each line by arc length, and its end.
+
+    Steps run on over the corners of a line: a segment takes up where the one before it left off.
+    """
     length = geom.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    pts = segs.withColumn("len", length).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / step).cast("int"))))
-    t = F.col("i") * step / F.col("len")
-    return pts.select("layer", "record", "seg", "i", (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"),
+    line = Window.partitionBy("layer", "record").orderBy("seg")
+    placed = segs.withColumn("len", length).filter("len > 0").withColumns({
+        "start": F.coalesce(F.sum("len").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)),
+        "last": F.lead("seg").over(line).isNull()})
+    # a step that falls on a corner belongs to the segment that it begins; sums of lengths are rounded before they decide
+    first = F.ceil(F.round(F.col("start") / step, 9)).cast("int")
+    end = F.col("start") + F.col("len")
+    after = F.ceil(F.round(end / step, 9)).cast("int") - 1
+    at = F.when(first <= after, F.transform(F.sequence(first, after), lambda i: i * step - F.col("start"))).otherwise(F.array().cast("array<double>"))
+    ends = F.when(F.col("last"), F.array("len")).otherwise(F.array().cast("array<double>"))
+    pts = placed.withColumn("along", F.explode(F.concat(at, ends)))
+    t = F.col("along") / F.col("len")
+    return pts.select("layer", "record", "seg", (F.col("start") + F.col("along")).alias("s"), (F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"),
                       (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y"))
 
 
@@ -148,13 +161,40 @@ def closest_lane(points: DataFrame, lane_points: DataFrame, radius: float) -> Da
         "token", (-F.col("m.n")).alias("lane"), F.col("m.dist").alias("dist"))
 
 
-def connected_lanes(lanes: DataFrame, lane_edges: DataFrame) -> DataFrame:
-    """Incoming and outgoing lanes per row of ``lanes`` (token, lane)."""
+def connected_lanes(lanes: DataFrame, lane_edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Incoming and outgoing lanes per row of ``lanes`` (token, lane); a lane that is not in ``known`` (lane) fails the job."""
+    if known is not None:
+        there = known.select("lane").distinct().withColumn("_known", F.lit(True))
+        lanes = lanes.join(there, "lane", "left").select("token", F.when(F.col("_known"), F.col("lane")).otherwise(
+            F.raise_error(F.concat(F.coalesce(F.col("lane").cast("string"), F.lit("null")), F.lit(" is not a known lane"))).cast("long")).alias("lane"))
     out = lanes.join(lane_edges.select(F.col("src").alias("lane"), F.col("dst").alias("other")), "lane").withColumn("way", F.lit("outgoing"))
     inc = lanes.join(lane_edges.select(F.col("dst").alias("lane"), F.col("src").alias("other")), "lane").withColumn("way", F.lit("incoming"))
     return out.unionByName(inc).select("token", "lane", "way", "other")
 
 
+def finest_roads(on_record: DataFrame, nodes: DataFrame, end_nodes: DataFrame, layers: list[str]) -> DataFrame:
+    """Next roads of the finest layer under each point: (token, layer, record, next_layer, next_record).
+
+    ``layers`` run from coarse to fine; ``nodes`` (layer, record, node) are the corners of every road, ``end_nodes`` those of the edge
+    a road leads to.  A road of the coarsest layer has no direction: its next ones share ANY corner with it.  Any
+    other leads to the roads that hold ALL nodes of its end edge.  Roads are related to each other once, by their
+    nodes; only then do points join, so their number never multiplies that.
+    """
+    place = F.array_position(F.array(*[F.lit(x) for x in layers]), F.col("layer"))
+    best = on_record.withColumn("fine", place).filter("fine > 0").groupBy("token").agg(F.max(F.struct("fine", "layer", "record")).alias("b"))
+    best = best.select("token", "b.layer", "b.record")
+    asked = (nodes.filter(F.col("layer") == layers[0]).withColumn("needs", F.lit(1))
+             .unionByName(end_nodes.filter(F.col("layer").isin(layers[1:])).distinct().withColumn("needs", F.count(F.lit(1)).over(Window.partitionBy("layer", "record")).cast("int")))).distinct()
+    held = nodes.filter(F.col("layer").isin(layers)).distinct().select("node", F.col("layer").alias("next_layer"), F.col("record").alias("next_record"))
+    shared = asked.join(held, "node").groupBy("layer", "record", "needs", "next_layer", "next_record").agg(F.count(F.lit(1)).alias("n"))
+    itself = (F.col("layer") == F.col("next_layer")) & (F.col("record") == F.col("next_record"))
+    pairs = shared.filter((F.col("n") >= F.col("needs")) & ~itself).select("layer", "record", "next_layer", "next_record")
+    under = on_record.select("token", F.col("layer").alias("next_layer"), F.col("record").alias("next_record"))
+    # what lies under the point itself is no next road
+    return best.join(pairs, ["layer", "record"]).join(under, ["token", "next_layer", "next_record"], "left_anti").select(
+        "token", "layer", "record", "next_layer", "next_record")
+
+
 def next_roads(on_record: DataFrame, vertices: DataFrame) -> DataFrame:
     """Other records of the layer that share a node with the record under the point.
 

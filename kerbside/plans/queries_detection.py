@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geom
 from kerbside.operators import boxes, detection as det, tracking, windows
-from kerbside.plans.oracle_views import hyp, r6 as s6, register, wrap
+from kerbside.plans.oracle_views import CTES, hyp, r6 as s6, register, wrap
 from kerbside.plans.queries_geometry import ATTRIBUTE_SQL
 from kerbside.plans.queries_windows import annotations
 from kerbside.plans.registry import query, r6
@@ -188,6 +188,89 @@ def f12_score(v):
     return s.select(*[r6(c).alias(c) for c in s.columns])
 
 
+# ---- the score over five errors, on the boxes that are to be scored ---------------------------------
+
+_WANTED = "(event_id + actor_id) % 5 <> 0"
+
+
+def scored_truth(v):
+    """Truth in the range of its class whose annotation is in a set of ids, with its attribute."""
+    wanted = v.gt_boxes.filter(_WANTED).select(F.concat_ws("_", "token", "actor_id").alias("annotation"))
+    named = truth(v).withColumn("annotation", F.concat_ws("_", "token", "actor_id"))
+    speed = 3 * geom.hypot(F.col("vx"), F.col("vy"))
+    return det.of_annotations(det.in_class_range(named), wanted).withColumn(
+        "attr", F.when(F.col("actor_id") % 11 == 0, "").otherwise(boxes.attribute(F.col("cls"), speed)))
+
+
+def scored_detections(v):
+    """Detections in the range of their class; a detector believes in a speed as far as in its box."""
+    speed = 3 * geom.hypot(F.col("vx"), F.col("vy")) * F.col("score")
+    return det.in_class_range(detected(v)).withColumn("attr", boxes.attribute(F.col("cls"), speed))
+
+
+def _attribute_sql(speed: str) -> str:
+    return ATTRIBUTE_SQL.replace("speed", speed).replace("name", "cls")
+
+
+_SPEED = "3*sqrt(vx*vx + vy*vy)"
+register("scored_gt", f"""
+SELECT *, CASE WHEN actor_id % 11 = 0 THEN '' ELSE {_attribute_sql(_SPEED)} END AS attr FROM (SELECT *, category AS cls FROM gt_boxes)
+WHERE {_WANTED} AND sqrt(x*x + y*y) < CASE cls WHEN 'pedestrian' THEN {boxes.CLASS_RANGE['pedestrian']} ELSE {boxes.CLASS_RANGE['car']} END""")
+register("scored_det", f"""
+SELECT *, {_attribute_sql(_SPEED + "*score")} AS attr, row_number() OVER (PARTITION BY token, cls ORDER BY score DESC, det_pos DESC) AS rk FROM (
+  SELECT *, CASE label WHEN 0 THEN 'car' WHEN 1 THEN 'truck' ELSE 'pedestrian' END AS cls FROM detections)
+WHERE sqrt(x*x + y*y) < CASE cls WHEN 'pedestrian' THEN {boxes.CLASS_RANGE['pedestrian']} ELSE {boxes.CLASS_RANGE['car']} END""")
+register("scored_lists", """
+SELECT token, cls, list({'pos': actor_id, 'x': x, 'y': y, 'w': w, 'l': l, 'h': h, 'yaw': yaw, 'vx': vx, 'vy': vy, 'fx': x, 'fy': y} ORDER BY actor_id) AS gts
+FROM scored_gt GROUP BY token, cls""")
+register("scored_match", match_sql(THRESHOLDS, "<", "score DESC, det_pos DESC").replace("ranked_det", "scored_det").replace("truth_lists", "scored_lists"))
+
+
+def _scored(name: str) -> str:
+    """A view of the whole score, on the boxes that are to be scored."""
+    text = CTES[name]
+    for old, new in (("conf_match", "scored_match"), ("curve_points", "scored_points"), ("cum_errors", "scored_cum"), ("error_curve", "scored_errors"),
+                     ("FROM curve CROSS", "FROM scored_curve CROSS"), ("FROM curve u", "FROM scored_curve u"), ("FROM curve WHERE", "FROM scored_curve WHERE"),
+                     ("SELECT category AS cls, count(*) AS npos FROM gt_boxes", "SELECT cls, count(*) AS npos FROM scored_gt")):
+        text = text.replace(old, new)
+    return text
+
+
+register("scored_points", _scored("curve_points").replace("npos, gt_pos, dist, d, g\n", "npos, gt_pos, dist, d, g, token, det_pos\n").replace("dist, d, g FROM", "dist, d, g, token, det_pos FROM"))
+register("scored_curve", _scored("curve"))
+register("scored_cum", f"""
+SELECT c.*, CASE WHEN max(has) OVER (PARTITION BY c.cls, c.thr) = 0 THEN 1.0 ELSE coalesce(sum(attr) OVER w/nullif(sum(has) OVER w, 0), 0.0) END AS attr_err
+FROM ({_scored("cum_errors")}) c JOIN (
+  SELECT p.cls, p.thr, p.tp AS c, CASE WHEN g.attr = '' THEN 0 ELSE 1 END AS has, CASE WHEN g.attr <> '' AND g.attr <> d.attr THEN 1.0 ELSE 0.0 END AS attr
+  FROM scored_points p JOIN scored_gt g ON g.token = p.token AND g.actor_id = p.gt_pos JOIN scored_det d ON d.token = p.token AND d.det_pos = p.det_pos AND d.cls = p.cls
+  WHERE p.gt_pos IS NOT NULL) a ON a.cls = c.cls AND a.thr = c.thr AND a.c = c.c
+WINDOW w AS (PARTITION BY c.cls, c.thr ORDER BY c.c ROWS UNBOUNDED PRECEDING)""")
+_FIVE = list(det.FIVE_ERRORS)
+register("scored_errors", _scored("error_curve").replace("FROM (SELECT u.cls", ", CASE WHEN above >= 1 AND above < total THEN lo.attr_err + (hi.attr_err - lo.attr_err)*(conf - lo.score)/(hi.score - lo.score) ELSE lo.attr_err END AS attr_err\nFROM (SELECT u.cls"))
+register("scored_ap", _scored("ap_rows"))
+register("scored_tp", f"""
+SELECT cls, thr, {", ".join(f"coalesce(avg({n}) FILTER (WHERE k >= 11 AND k <= last_k), 1.0) AS {n}" for n in _FIVE)}
+FROM (SELECT *, max(k) FILTER (WHERE conf <> 0) OVER (PARTITION BY cls, thr) AS last_k FROM scored_errors) GROUP BY cls, thr""")
+
+
+@query("c4_annotation_ids", "SELECT token, actor_id, cls, attr FROM scored_gt")
+def c4_ids(v):
+    return scored_truth(v).select("token", "actor_id", "cls", "attr")
+
+
+@query("f12_score_five_errors", f"""
+SELECT {s6("map")} AS map, {", ".join(f"{s6(n)} AS {n}" for n in _FIVE)}, {s6("(map*5 + " + " + ".join(f"1 - least(1, {n})" for n in _FIVE) + ")/10")} AS score
+FROM (SELECT avg(ap) AS map FROM scored_ap) CROSS JOIN (SELECT {", ".join(f"avg({n}) AS {n}" for n in _FIVE)} FROM scored_tp WHERE thr = 2)""")
+def f12_five(v):
+    t = scored_truth(v)
+    keep = ("w", "l", "h", "yaw", "vx", "vy", "attr")
+    hits = v.stage("scored_ranked", det.ranked_hits(v.stage("scored_match", det.match_frames(scored_detections(v), t, THRESHOLDS, payload=keep))))
+    points = v.stage("scored_curve", det.pr_curve(hits, t))
+    errors = det.tp_error_curve(hits, points, det.FIVE_ERRORS)
+    s = det.detection_score(det.average_precision(points), det.tp_scores(errors, names=det.FIVE_ERRORS), names=det.FIVE_ERRORS)
+    return s.select(*[r6(c).alias(c) for c in s.columns])
+
+
 # ---- motion: end point after two seconds, three speeds as modes ------------------------------
 
 @query("d18_motion_match", f"""

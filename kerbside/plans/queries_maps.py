@@ -91,8 +91,13 @@ def d20(v):
 
 
 register("lane_points", f"""
-SELECT record AS lane, ax + (bx - ax)*(i*0.5::DOUBLE/len) AS x, ay + (yb - ay)*(i*0.5::DOUBLE/len) AS y FROM (
-  SELECT *, unnest(range(0, floor(len/0.5)::BIGINT + 1)) AS i FROM (SELECT *, {hyp("bx - ax", "yb - ay")} AS len FROM map_edges WHERE layer = 'lanes' AND NOT closing))""")
+SELECT lane, ax + (bx - ax)*((s - start)/len) AS x, ay + (yb - ay)*((s - start)/len) AS y FROM (
+  SELECT lane, ax, ay, bx, yb, len, start, CASE WHEN i*0.5::DOUBLE < whole - 1e-9 THEN i*0.5::DOUBLE ELSE whole END AS s, last FROM (
+    SELECT *, unnest(range(0, ceil(round(whole/0.5, 9))::BIGINT + 1)) AS i FROM (
+      SELECT *, sum(len) OVER (PARTITION BY lane) AS whole, coalesce(sum(len) OVER (PARTITION BY lane ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+        lead(seg) OVER (PARTITION BY lane ORDER BY seg) IS NULL AS last
+      FROM (SELECT record AS lane, seg, ax, ay, bx, yb, {hyp("bx - ax", "yb - ay")} AS len FROM map_edges WHERE layer = 'lanes' AND NOT closing))))
+WHERE round(s, 9) >= round(start, 9) AND (round(s, 9) < round(start + len, 9) OR last)""")
 register("closest", f"""
 SELECT token, arg_min(lane, (dist, -lane)) AS lane, min(dist) AS dist FROM (
   SELECT token, lane, min({hyp("x - gx", "y - gy")}) AS dist FROM frames JOIN lane_points ON abs(x - gx) <= 6 AND abs(y - gy) <= 6 GROUP BY ALL)
@@ -125,7 +130,52 @@ def d23(v):
     r = v.table("region").select(F.col("r_regionkey").cast("long").alias("src"))
     edges = r.select("src", (F.col("src") + 1).alias("dst")).join(
         r.select(F.col("src").alias("dst")), "dst", "left_semi")
-    return maps.connected_lanes(closest(v).select("token", "lane"), edges)
+    return maps.connected_lanes(closest(v).select("token", "lane"), edges, r.select(F.col("src").alias("lane")))
+
+
+#: Roads from coarse to fine: the lot, its aisles and the stretches of an aisle between two rows of slots.
+ROADS = ["road_segment", "road_block", "lane"]
+
+
+def roads(v):
+    """(layer, record, vertex, x, y, end): one segment, a block for each region and four lanes in a row in each block; ``end``: a corner of
+    the edge that a block or lane leads to."""
+    r = v.table("region").select(F.col("r_regionkey").cast("long").alias("r"))
+    corner = F.posexplode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0.0, -2.0), (1.0, -2.0), (1.0, 2.0), (0.0, 2.0))])).alias("vertex", "o")
+    block = r.select(F.lit("road_block").alias("layer"), F.col("r").alias("record"), corner, F.lit(86.0).alias("x0"), F.lit(28.0).alias("w"), (-62.0 + 4.0 * F.col("r")).alias("y0"))
+    lane = r.withColumn("q", F.explode(F.array(*[F.lit(i) for i in range(4)]))).select(
+        F.lit("lane").alias("layer"), (F.col("r") * 4 + F.col("q")).alias("record"), corner, (86.0 + 7.0 * F.col("q")).alias("x0"), F.lit(7.0).alias("w"), (-62.0 + 4.0 * F.col("r")).alias("y0"))
+    whole = r.filter("r = 0").select(F.lit("road_segment").alias("layer"), F.col("r").alias("record"), corner, F.lit(86.0).alias("x0"), F.lit(28.0).alias("w"), F.lit(-62.0).alias("y0"))
+    return whole.unionByName(block).unionByName(lane).select(
+        "layer", "record", "vertex", (F.col("x0") + F.col("w") * F.col("o.a")).alias("x"), (F.col("y0") + F.col("o.b")).alias("y"), (F.col("o.a") == 1.0).alias("end"))
+
+
+register("road_vertices", """
+SELECT layer, record, i AS vertex, x0 + w*a AS x, y0 + b AS y, a = 1 AS ends FROM (
+  SELECT 'road_segment' AS layer, 0::BIGINT AS record, 86.0::DOUBLE AS x0, 28.0::DOUBLE AS w, -62.0::DOUBLE AS y0 FROM region WHERE r_regionkey = 0
+  UNION ALL SELECT 'road_block', r_regionkey, 86.0, 28.0, -62.0::DOUBLE + 4.0::DOUBLE*r_regionkey FROM region
+  UNION ALL SELECT 'lane', r_regionkey*4 + q, 86.0::DOUBLE + 7*q, 7.0, -62.0::DOUBLE + 4.0::DOUBLE*r_regionkey FROM region CROSS JOIN range(0, 4) t(q))
+CROSS JOIN (VALUES (0, 0.0::DOUBLE, -2.0::DOUBLE), (1, 1.0, -2.0), (2, 1.0, 2.0), (3, 0.0, 2.0)) o(i, a, b)""")
+register("road_on_point", """
+SELECT token, layer, min(record) AS record FROM frames JOIN (SELECT layer, record, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM road_vertices GROUP BY ALL)
+ON gx >= x0 AND gx < x1 AND gy >= y0 AND gy < y1 GROUP BY token, layer""")
+
+
+@query("d22_finest_roads", """
+SELECT b.token, b.layer, b.record, n.layer AS next_layer, n.record AS next_record
+FROM (SELECT token, layer, record FROM road_on_point QUALIFY row_number() OVER (PARTITION BY token ORDER BY CASE layer WHEN 'lane' THEN 0 WHEN 'road_block' THEN 1 ELSE 2 END) = 1) b
+CROSS JOIN (SELECT DISTINCT layer, record FROM road_vertices) n
+LEFT JOIN road_on_point u ON u.token = b.token AND u.layer = n.layer AND u.record = n.record
+JOIN (SELECT a.layer, a.record, c.layer AS other_layer, c.record AS other FROM (SELECT layer, record, list((x, y)) AS corners, list((x, y)) FILTER (WHERE ends) AS last FROM road_vertices GROUP BY ALL) a,
+    (SELECT layer, record, list((x, y)) AS corners FROM road_vertices GROUP BY ALL) c
+  WHERE CASE WHEN a.layer = 'road_segment' THEN list_has_any(c.corners, a.corners) ELSE list_has_all(c.corners, a.last) END) r
+  ON r.layer = b.layer AND r.record = b.record AND r.other_layer = n.layer AND r.other = n.record
+WHERE u.token IS NULL""")
+def d22_finest(v):
+    vs = roads(v)
+    nodes = vs.select("layer", "record", F.concat_ws(" ", F.round("x", 3), F.round("y", 3)).alias("node"), "end")
+    under = maps.layers_on_point(points(v), maps.assemble(vs.drop("end")))
+    return maps.finest_roads(under, nodes.drop("end"), nodes.filter("end").drop("end"), ROADS)
 
 
 def parts(v):

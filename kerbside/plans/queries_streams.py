@@ -11,6 +11,7 @@ from kerbside.plans.queries_tables import rounds
 from kerbside.plans.registry import query
 from kerbside.session import shared_folder
 from kerbside.streaming import jobs, tracker
+from kerbside.streaming.rounds import Rounds
 
 
 #: The derived frames count time from zero; streams need real event times.
@@ -38,6 +39,53 @@ def l1(v):
     return v.spark.read.parquet(table).select("token")
 
 
+class _Crash(Exception):
+    """A driver that is lost between two writes."""
+
+
+def versioned(v) -> Rounds:
+    """Three cumulative rounds; the second is lost before its pointer and run again, the third is run twice."""
+    class Lost(Rounds):
+        def _commit(self, number, parent):
+            raise _Crash
+
+    schema = "token string, scene_token string, frame_idx long"
+    parts = list(rounds(v).values())
+    root = f"{_work(v)}/rounds"
+    store = Rounds(v.spark, root, schema, version="v1.0-lot")
+    store.ingest(0, parts[0])
+    try:
+        Lost(v.spark, root, schema, version="v1.0-lot").ingest(1, parts[1].limit(5))
+    except _Crash:
+        pass
+    store.ingest(1, parts[1])
+    store.ingest(2, parts[2])
+    store.ingest(2, parts[2].limit(5))
+    return store
+
+
+_ROUND = "CASE frame_idx % 10 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END"
+
+
+@query("l1_versioned_rounds", f"SELECT token, frame_idx, {_ROUND}::INTEGER AS round, 'v1.0-lot' AS version FROM frames")
+def l1_versioned(v):
+    return versioned(v).read().select("token", "frame_idx", "round", "version")
+
+
+@query("l1_round_snapshots", f"""
+SELECT s.round::INTEGER AS round, count(*) AS rows, count(*) FILTER (WHERE {_ROUND} = s.round) AS added, count(*) FILTER (WHERE {_ROUND} = s.round) AS tokens
+FROM range(0, 3) s(round) JOIN frames ON {_ROUND} <= s.round GROUP BY s.round""")
+def l1_snapshots(v):
+    """Every snapshot with its rows, its new-only table and its token list."""
+    store, out = versioned(v), None
+    for p in store.pointers():
+        n = p["round"]
+        one = store.read(as_of=n).agg(F.count(F.lit(1)).alias("rows")).crossJoin(store.new(n).agg(F.count(F.lit(1)).alias("added"))).crossJoin(
+            store.tokens(n).agg(F.count(F.lit(1)).alias("tokens"))).select(F.lit(n).alias("round"), "rows", "added", "tokens")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("l2_gear_change_events", """
 SELECT token, reverse FROM (SELECT *, lag(reverse) OVER (PARTITION BY scene_token ORDER BY frame_idx) AS p
   FROM (SELECT token, scene_token, frame_idx, (frame_idx = 0) <> reverse AS reverse FROM frames)) WHERE p <> reverse""")
