@@ -113,6 +113,26 @@ def records_in_patch(patches: DataFrame, records: DataFrame) -> DataFrame:
         "token", "layer", "record", "intersects", "within")
 
 
+def patches_around(points: DataFrame, radius: float) -> DataFrame:
+    """The square patch (x0, y0, x1, y1) of side 2 x radius around each point (token, px, py)."""
+    return points.select("token", *[(F.col(c) + d).alias(n) for n, c, d in (
+        ("x0", "px", -radius), ("y0", "py", -radius), ("x1", "px", radius), ("y1", "py", radius))])
+
+
+def lines_in_patch(patches: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Lines with a node strictly inside a patch, and whether all of theirs are; a line without nodes is in none.
+
+    Nodes meet patches by tile; a node lies in one tile only, so nothing is met twice.
+    """
+    p = patches.withColumn("tx", F.explode(F.sequence(_tile(F.col("x0")), _tile(F.col("x1"))))).withColumn(
+        "ty", F.explode(F.sequence(_tile(F.col("y0")), _tile(F.col("y1")))))
+    nodes = vertices.withColumns({"tx": _tile(F.col("x")), "ty": _tile(F.col("y"))})
+    inside = (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))
+    some = p.join(nodes, ["tx", "ty"]).filter(inside).groupBy("token", "layer", "record").agg(F.count(F.lit(1)).alias("_in"))
+    sizes = vertices.groupBy("layer", "record").agg(F.count(F.lit(1)).alias("_all"))
+    return some.join(sizes, ["layer", "record"]).select("token", "layer", "record", F.lit(True).alias("intersects"), (F.col("_in") == F.col("_all")).alias("within"))
+
+
 def segments(vertices: DataFrame, closed: bool) -> DataFrame:
     """Consecutive vertex pairs of each record; rings get their closing edge."""
     w = Window.partitionBy("layer", "record").orderBy("vertex")

@@ -153,6 +153,29 @@ def padded_partition(frames: DataFrame, workers: int, batch: int = 1) -> DataFra
     return spread.withColumn("worker", F.floor(F.col("slot") / (full / workers)).cast("int"))
 
 
+def grouped_partition(frames: DataFrame, group: str, workers: int, batch: int, seed: int = 0, epoch: int = 0, key: str = "token") -> DataFrame:
+    """Rows of each group in a seeded order, repeated from its start up to a multiple of workers x batch; batches of one group each,
+    in a seeded order of their own, dealt to the workers in equal blocks.
+
+    Adds ``slot`` (place in the whole epoch) and ``worker``.  Orders are by hash, so a group of any size is numbered in pieces.
+    """
+    unit = workers * batch
+    named = frames.withColumns({"_g": F.coalesce(F.col(group).cast("string"), F.lit("")), "_h": _seeded(key, seed + epoch)})
+    placed = ordinal(named, ["_h", key], "_pos", group=["_g"], bucket=F.substring("_h", 1, 3))
+    sizes = named.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).withColumn("_full", F.ceil(F.col("_n") / unit) * unit)
+    both = placed.join(sizes, "_g")
+    copies = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_full") - 1 - F.col("_pos")) / F.col("_n")))
+    rows = both.withColumn("_copy", F.explode(copies)).withColumn("_at", F.col("_pos") + F.col("_copy") * F.col("_n"))
+    # one row for each batch; its place among all batches is that of its hash
+    batches = sizes.select("_g", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_full") / batch - 1).cast("long"))).alias("_b")).withColumn(
+        "_bh", F.md5(F.concat_ws(":", "_g", "_b", F.lit(str(seed + epoch)))))
+    batches = ordinal(batches, ["_bh", "_g", "_b"], "_place", bucket=F.substring("_bh", 1, 3)).drop("_bh")
+    total = sizes.agg(F.sum("_full").alias("_total"))
+    out = rows.withColumn("_b", F.floor(F.col("_at") / batch)).join(batches, ["_g", "_b"]).crossJoin(F.broadcast(total))
+    slot = F.col("_place") * batch + F.col("_at") % batch
+    return out.withColumns({"slot": slot, "worker": F.floor(slot / (F.col("_total") / workers)).cast("int")}).select(*frames.columns, "slot", "worker")
+
+
 def load_balance(assigned: DataFrame, worker: str = "worker") -> DataFrame:
     per = assigned.groupBy(worker).agg(F.count(F.lit(1)).alias("n"))
     return per.agg(

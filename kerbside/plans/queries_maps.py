@@ -90,6 +90,14 @@ def d20(v):
     return maps.records_in_patch(patches, polygons(v))
 
 
+@query("d20_lines_in_radius", """
+SELECT token, layer, record, true AS intersects, bool_and(inside) AS within FROM (
+  SELECT token, layer, record, x > gx - 15 AND x < gx + 15 AND y > gy - 15 AND y < gy + 15 AS inside FROM frames CROSS JOIN map_vertices WHERE layer = 'lanes')
+GROUP BY token, layer, record HAVING bool_or(inside)""")
+def d20_lines(v):
+    return maps.lines_in_patch(maps.patches_around(points(v), 15.0), vertices(v).filter("layer = 'lanes'"))
+
+
 register("lane_points", f"""
 SELECT lane, ax + (bx - ax)*((s - start)/len) AS x, ay + (yb - ay)*((s - start)/len) AS y FROM (
   SELECT lane, ax, ay, bx, yb, len, start, CASE WHEN i*0.5::DOUBLE < whole - 1e-9 THEN i*0.5::DOUBLE ELSE whole END AS s, last FROM (

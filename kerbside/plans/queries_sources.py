@@ -54,6 +54,18 @@ def a6(v):
     return back.withColumn("source_pos", F.col("source_pos").cast("long"))
 
 
+@query("a7_source_manifest", """
+SELECT conv_id, turn, role, conv_id % 4 AS source_pos FROM conversations WHERE conv_id % 4 < 3""")
+def a7(v):
+    """A base file and rounds 2 and 10, which come in the order of their numbers; a file of another name is none of them."""
+    path = _folder(v)
+    rows = v.table("conversations").select("conv_id", "turn", "role")
+    for i, name in enumerate(("talk.jsonl", "dagger_r2.jsonl", "dagger_r10.jsonl", "notes.jsonl")):
+        rows.filter(F.col("conv_id") % 4 == i).write.json(f"{path}/{name}")
+    back = eps.read_sources(v.spark, path, "talk.jsonl", "conv_id long, turn long, role string")
+    return back.withColumn("source_pos", F.col("source_pos").cast("long"))
+
+
 @query("a9_map_file", """
 SELECT CASE layer WHEN 'lanes' THEN 'aisle_lines' ELSE layer END AS layer, record::BIGINT AS record, vertex::BIGINT AS vertex, x, y FROM map_vertices""")
 def a9(v):

@@ -274,6 +274,22 @@ def n6(v):
     return sampling.padded_partition(_keys(v), 7).select("token", "slot", F.col("worker").cast("long").alias("worker"))
 
 
+_EPOCH = """(SELECT token, g, idx, idx // 3 AS b, n_full FROM (
+  SELECT token, g, pos + c*n AS idx, ceil(n/15.0)::BIGINT*15 AS n_full FROM (
+    SELECT token, split AS g, row_number() OVER (PARTITION BY split ORDER BY md5(token || ':6'), token) - 1 AS pos, count(*) OVER (PARTITION BY split) AS n FROM frames)
+  CROSS JOIN range(0, 15) t(c)) WHERE idx < n_full)"""
+
+
+@query("n6_grouped_partition", f"""
+SELECT token, place*3 + idx % 3 AS slot, (place*3 + idx % 3) // (total // 5) AS worker FROM {_EPOCH} e
+JOIN (SELECT g, b, row_number() OVER (ORDER BY md5(g || ':' || b || ':6'), g, b) - 1 AS place FROM (SELECT DISTINCT g, b FROM {_EPOCH})) USING (g, b)
+CROSS JOIN (SELECT count(*) AS total FROM {_EPOCH})""")
+def n6_grouped(v):
+    """Batches of three of one split each for five workers, epoch 2 of seed 4."""
+    f = v.frames.select("token", "split")
+    return sampling.grouped_partition(f, "split", 5, 3, seed=4, epoch=2).select("token", F.col("slot").cast("long").alias("slot"), F.col("worker").cast("long").alias("worker"))
+
+
 @query("n7_stride_and_even", f"""
 SELECT token, 'stride' AS part FROM {_POS} WHERE pos % 13 = 0
 UNION ALL SELECT token, 'even' FROM {_POS} WHERE pos IN (SELECT round_even(i*(SELECT count(*) - 1 FROM frames)/36.0::DOUBLE, 0)::BIGINT FROM range(0, 37) t(i))""")

@@ -99,17 +99,28 @@ def read_conversations(spark: SparkSession, spec: str | list[dict], schema: str)
 
 
 def source_manifest(spark: SparkSession, folder: str, base: str, pattern: str = r"dagger_r(\d+)") -> DataFrame:
-    """Base file first, then round files by number; fails when there is none."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(folder)
-             .select("path", "length", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")))
+    """Base file first, then round files by number (path, length, name, round); fails when there is none.
+
+    A source is one JSON file or a folder of such parts that has the name of one.  Only the listing is read, no content.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").option("recursiveFileLookup", "true").load(folder)
+             .select(F.regexp_replace("path", r"(\.jsonl?)/[^/]+$", "$1").alias("path"), "length"))
+    files = files.groupBy("path").agg(F.sum("length").alias("length")).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
     number = F.regexp_extract("name", pattern, 1)
     listed = files.filter((F.col("name") == base) | (number != "")).withColumn(
         "round", F.when(F.col("name") == base, -1).otherwise(number.try_cast("int")))
-    if listed.limit(1).count() == 0:
+    if listed.isEmpty():
         raise FileNotFoundError(f"no conversation files under {folder}")
     return listed.orderBy("round")
 
 
+def read_sources(spark: SparkSession, folder: str, base: str, schema: str, strategy: str = "all", seed: int = 0) -> DataFrame:
+    """Rows of the sources of a manifest, all sampled by one rule; ``source_pos`` is the place of a source in it."""
+    # one small row for each round
+    spec = [{"path": r.path, "strategy": strategy, "seed": seed} for r in source_manifest(spark, folder, base).collect()]
+    return read_conversations(spark, spec, schema)
+
+
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """Lot geometry -> (layer, record, vertex, x, y) rows."""
     point = "array<array<double>>"

@@ -78,3 +78,42 @@ def test_unknown_lane_is_an_error(spark):
     assert [(r.lane, r.way, r.other) for r in maps.connected_lanes(lanes, edges, known).collect()] == [(1, "outgoing", 2)]
     with pytest.raises(Exception, match="7 is not a known lane"):
         maps.connected_lanes(lanes.union(spark.createDataFrame([("u", 7)], lanes.schema)), edges, known).collect()
+
+
+def test_grouped_partition_pads_every_group_and_deals_whole_batches(spark):
+    from kerbside.operators import sampling
+
+    rows = [(f"a{i}", "a") for i in range(2)] + [(f"b{i}", "b") for i in range(13)] + [(f"n{i}", None) for i in range(6)]
+    out = sampling.grouped_partition(spark.createDataFrame(rows, "token string, split string"), "split", 2, 3, seed=1).collect()
+    assert len(out) == 6 + 18 + 6 and sorted(r.slot for r in out) == list(range(30))
+    for b in range(10):
+        assert len({r.split for r in out if r.slot // 3 == b}) == 1
+    assert all(sum(r.worker == w for r in out) == 15 for w in (0, 1)) and all(r.worker == r.slot // 15 for r in out)
+    times = {}
+    for r in out:
+        times[r.token] = times.get(r.token, 0) + 1
+    assert {t for k, t in times.items() if k[0] == "a"} == {3} and {t for k, t in times.items() if k[0] == "n"} == {1}
+    assert sorted(t for k, t in times.items() if k[0] == "b") == [1] * 8 + [2] * 5
+    again = sampling.grouped_partition(spark.createDataFrame(rows[::-1], "token string, split string").repartition(3), "split", 2, 3, seed=1).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_lines_need_a_node_strictly_inside(spark):
+    nodes = [("lanes", 1, 0, 0.0, 0.0), ("lanes", 1, 1, 20.0, 0.0), ("lanes", 2, 0, 5.0, 5.0), ("lanes", 2, 1, -4.0, 1.0), ("lanes", 3, 0, -9.0, 0.0), ("lanes", 3, 1, 9.0, 0.0), ("lanes", 4, 0, 6.0, 0.0)]
+    vs = spark.createDataFrame(nodes, "layer string, record long, vertex int, x double, y double")
+    points = spark.createDataFrame([("t", 0.0, 0.0)], "token string, px double, py double")
+    got = {(r.record, r.within) for r in maps.lines_in_patch(maps.patches_around(points, 6.0), vs).collect()}
+    # line 3 crosses the patch without a node in it, line 4 has one on its border
+    assert got == {(1, False), (2, True)}
+
+
+def test_sources_come_by_number_and_none_is_an_error(spark, tmp_path):
+    from kerbside.sources import episodes
+
+    for name in ("dagger_r10.json", "dagger_r2.json", "base.json", "other.json"):
+        (tmp_path / name).write_text('[{"a": "' + name + '"}]')
+    rows = episodes.read_sources(spark, str(tmp_path), "base.json", "a string").collect()
+    assert sorted((r.source_pos, r.a) for r in rows) == [(0, "base.json"), (1, "dagger_r2.json"), (2, "dagger_r10.json")]
+    assert [r["round"] for r in episodes.source_manifest(spark, str(tmp_path), "base.json").collect()] == [-1, 2, 10]
+    with pytest.raises(FileNotFoundError):
+        episodes.source_manifest(spark, str(tmp_path), "missing.json", r"round_(\d+)")
