@@ -76,9 +76,15 @@ def measure(data: bytes) -> tuple[int, int, int, int, int, np.ndarray]:
     return len(words), int(sums[:, 0].sum()), int(sums[:, 1].sum()), int(dup.sum()), repeat_words(words), np.c_[f, chars][full]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> Crf:
+#: Lines that the trainer takes from one document.
+TRAIN_LINES = 2_000
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES) -> Crf:
     """Train on the lines of at most ``most`` labelled documents of each quality, taken by the hash of their ids.
 
+    Of several rows of one id the text with the smallest hash is taken, and of a document of more than ``most_lines`` lines that
+    many in a row, from a place that its hash says; so what comes to the driver is bounded by the two numbers.
     A line is content if its document has quality 1; lines that documents of both kinds hold are left unknown.
     Without labels of both kinds nothing can be learnt, and the field calls every line content.
     """
@@ -86,13 +92,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     parts = [known.where(F.col("kb_q") == q).orderBy(F.xxhash64(id_col), id_col).limit(most) for q in (0, 1)]
     chosen = docs.select(F.col(f"`{id_col}`").alias(id_col), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("kb_t")).join(
         F.broadcast(parts[0].union(parts[1])), id_col)
+    chosen = chosen.groupBy(id_col).agg(F.first("kb_q").alias("kb_q"), F.min_by("kb_t", F.xxhash64("kb_t")).alias("kb_t"))
 
     def run(texts):
         rows = []
         for t in texts:
             data = t.encode()
             f = measure(data)[-1][:, :-1]
-            rows.append(([hash_line(x) for x in data.split(b"\n") if x.split()], f.astype(np.float32).tobytes()))
+            lines = [hash_line(x) for x in data.split(b"\n") if x.split()]
+            start = hash_line(data) % (len(lines) - most_lines + 1) if len(lines) > most_lines else 0
+            own = slice(start, start + most_lines)
+            rows.append((lines[own], f[own].astype(np.float32).tobytes()))
         return rows
 
     rows = map_rows(chosen, run, "kb_t", "lines array<long>, f binary", keep=["kb_q"]).collect()

@@ -1,0 +1,33 @@
+"""What the quality rules' trainer brings to the driver is bounded by documents and lines, not by rows."""
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from kerbside.llm import quality_rules
+
+
+def taken(monkeypatch, docs, labels, **how):
+    """Lines of each document that the trainer sees."""
+    seen = []
+    monkeypatch.setattr(quality_rules, "train", lambda x, lengths, marks: seen.append((len(x), sorted(lengths.tolist()))))
+    quality_rules.fit(docs, labels, **how)
+    return seen[0]
+
+
+def test_repeated_ids_and_many_lines_stay_within_the_bound(spark, monkeypatch):
+    good = "A plain sentence stands here, with words in it."
+    rows = [(1, f"{good} {i}\nsecond line of it {i}") for i in range(300)] + [(2, "buy | now | $$$")] * 500
+    rows += [(3, "\n".join(f"line number {i} of many." for i in range(900)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    n, lengths = taken(monkeypatch, docs, labels, most_lines=50)
+    assert (n, lengths) == (53, [1, 2, 50])
+    again = taken(monkeypatch, docs.repartition(7).orderBy(F.rand(3)), labels, most_lines=50)
+    assert again == (n, lengths)
+
+
+def test_a_unique_id_gives_all_its_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"first {i}.\nsecond {i}.\n\nthird {i}.") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    assert taken(monkeypatch, docs, labels) == (60, [3] * 20)
+    assert np.isfinite(quality_rules.TRAIN_LINES)
