@@ -63,5 +63,38 @@ def project(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return FOCAL * cx / cz + IMAGE_WIDTH / 2, FOCAL * cy / cz + IMAGE_HEIGHT / 2, cz
 
 
+def matrix(rows: list[list]) -> Column:
+    """array<array<double>> of columns and numbers."""
+    cell = lambda c: (c if isinstance(c, Column) else F.lit(float(c))).cast("double")
+    return F.array(*[F.array(*[cell(c) for c in row]) for row in rows])
+
+
+def matmul(a: Column, b: Column) -> Column:
+    """Product of two matrices."""
+    columns = F.transform(F.get(b, F.lit(0)), lambda _, j: F.transform(b, lambda row: F.get(row, j)))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda x, y: x * y), F.lit(0.0), lambda acc, p: acc + p)
+    return F.transform(a, lambda row: F.transform(columns, lambda column: dot(row, column)))
+
+
+def lidar_to_camera() -> Column:
+    """4 x 4 matrix from the ego frame, in which the lidar stands, to the camera of the row's extrinsic columns."""
+    axes = [[F.col(f"r{i}{k}") for i in range(3)] for k in range(3)]
+    turn = matrix([[*row, 0] for row in axes] + [[0, 0, 0, 1]])
+    shift = matrix([[1, 0, 0, -F.col("tx")], [0, 1, 0, -F.col("ty")], [0, 0, 1, -F.col("tz")], [0, 0, 0, 1]])
+    return matmul(turn, shift)
+
+
+def lidar_to_image() -> Column:
+    """4 x 4 matrix from the ego frame to pixels times depth: the intrinsics, padded to four rows, after the camera's pose."""
+    padded = matrix([[FOCAL, 0, IMAGE_WIDTH / 2, 0], [0, FOCAL, IMAGE_HEIGHT / 2, 0], [0, 0, 1, 0], [0, 0, 0, 1]])
+    return matmul(padded, lidar_to_camera())
+
+
+def lidar_to_global(gx: Column, gy: Column, gyaw: Column) -> tuple[Column, Column]:
+    """Rotation, transposed so that a row vector is multiplied from the left, and translation of the lidar in the world."""
+    c, s = F.cos(gyaw), F.sin(gyaw)
+    return matrix([[c, s, 0], [-s, c, 0], [0, 0, 1]]), F.array(gx, gy, F.lit(0.0))
+
+
 def in_image(u: Column, v: Column, depth: Column) -> Column:
     return (u > 0) & (u < IMAGE_WIDTH) & (v > 0) & (v < IMAGE_HEIGHT) & (depth > 1.0)

@@ -153,6 +153,23 @@ def b13(v):
         F.round("u", 3).alias("u"), F.round("v", 3).alias("v"))
 
 
+_F, _Z = f"{rig.FOCAL}::DOUBLE", "(c*tx + s*ty)"
+_M = {"p00": f"{_F}*s + 800*c", "p01": f"{_F}*(-c) + 800*s", "p02": "0.0::DOUBLE", "p03": f"-({_F}*(s*tx - c*ty) + 800*{_Z})",
+      "p10": "450*c", "p11": "450*s", "p12": f"-{_F}", "p13": f"{_F}*tz - 450*{_Z}", "p20": "c", "p21": "s", "p22": "0.0::DOUBLE", "p23": f"-{_Z}"}
+
+
+@query("b13_matrices", f"""
+SELECT token, camera, {", ".join(f"{s6(e)} AS {n}" for n, e in _M.items())}, {s6("cos(gyaw)")} AS l00, {s6("sin(gyaw)")} AS l01, {s6("-sin(gyaw)")} AS l10, {s6("cos(gyaw)")} AS l11,
+  {s6("gx")} AS lx, {s6("gy")} AS ly FROM frames CROSS JOIN rig""")
+def b13_matrices(v):
+    cams = F.broadcast(rig.extrinsics(rig.mounts(v.spark)).select("camera", rig.lidar_to_image().alias("p")))
+    turn, at = rig.lidar_to_global(F.col("gx"), F.col("gy"), F.col("gyaw"))
+    both = v.frames.select("token", turn.alias("l"), at.alias("t")).crossJoin(cams)
+    cell = lambda m, i, j, n: (F.round(F.col(m)[i][j], 6) + 0.0).alias(f"{n}{i}{j}")
+    return both.select("token", "camera", *[cell("p", i, j, "p") for i in range(3) for j in range(4)], *[cell("l", i, j, "l") for i in range(2) for j in range(2)],
+                       (F.round(F.col("t")[0], 6) + 0.0).alias("lx"), (F.round(F.col("t")[1], 6) + 0.0).alias("ly"))
+
+
 @query("b14_can_bus", f"""
 SELECT token, 18 AS n, gx AS c0, gy AS c1, {s6("cos(gyaw/2)")} AS c3, {s6("sin(gyaw/2)")} AS c6, speed_ms AS c13,
   {s6("radians(degrees(gyaw) - 360*floor(degrees(gyaw)/360))")} AS c16,

@@ -117,3 +117,18 @@ def test_sources_come_by_number_and_none_is_an_error(spark, tmp_path):
     assert [r["round"] for r in episodes.source_manifest(spark, str(tmp_path), "base.json").collect()] == [-1, 2, 10]
     with pytest.raises(FileNotFoundError):
         episodes.source_manifest(spark, str(tmp_path), "missing.json", r"round_(\d+)")
+
+
+def test_matrices_project_like_the_columns(spark):
+    from kerbside.functions import rig
+
+    u, v, depth = rig.project(F.lit(7.0), F.lit(-2.0), F.lit(0.5))
+    cams = rig.extrinsics(rig.mounts(spark)).select("camera", rig.lidar_to_image().alias("m"), u.alias("u"), v.alias("v"), depth.alias("d")).collect()
+    assert len(cams) == 6
+    for r in cams:
+        x, y, z, one = (sum(a * b for a, b in zip(row, (7.0, -2.0, 0.5, 1.0))) for row in r.m)
+        assert one == 1.0 and z == pytest.approx(r.d) and (x / z, y / z) == pytest.approx((r.u, r.v))
+    turn, at = rig.lidar_to_global(F.lit(3.0), F.lit(4.0), F.lit(math.pi / 2))
+    m, t = spark.range(1).select(turn, at).first()
+    world = [sum(p * m[i][j] for i, p in enumerate((1.0, 0.0, 2.0))) + t[j] for j in range(3)]
+    assert world == pytest.approx([3.0, 5.0, 2.0])
