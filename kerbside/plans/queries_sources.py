@@ -81,9 +81,13 @@ def a9(v):
     return eps.read_map(v.spark, path).select("layer", F.col("record").cast("long").alias("record"), F.col("vertex").cast("long").alias("vertex"), "x", "y")
 
 
-@query("a11_rank_files", "SELECT token, true AS known_rank FROM frames")
+@query("a11_rank_files", "SELECT token, frame_idx % 3 AS rank, frame_idx AS answer FROM frames")
 def a11(v):
+    """Ranks 0 and 2 write lines, rank 1 an array for each scene; rank 3 has written nothing."""
     path = _folder(v)
-    v.frames.select(F.col("token").alias("id")).repartition(4, "id").write.json(path)
-    back = src.read_rank_outputs(v.spark, path, r"part-(\d+)")
-    return back.select(F.get_json_object("value", "$.id").alias("token"), F.col("rank").between(0, 3).alias("known_rank"))
+    rows = v.frames.select("scene_token", "token", (F.col("frame_idx") % 3).alias("rank"), F.to_json(F.struct(F.col("token").alias("id"), F.col("frame_idx").alias("answer"))).alias("value"))
+    rows.filter("rank <> 1").select(F.concat(F.lit("out_rank"), "rank").alias("part"), "value").write.partitionBy("part").text(path)
+    arrays = rows.filter("rank = 1").groupBy("scene_token").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.text(f"{path}/out_rank1")
+    back = src.read_rank_outputs(v.spark, path)
+    return back.select(F.get_json_object("value", "$.id").alias("token"), F.col("rank").cast("long").alias("rank"), F.get_json_object("value", "$.answer").cast("long").alias("answer"))
