@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -189,6 +191,50 @@ def chat_text(system: str, turns: Column) -> Column:
     return F.concat(F.lit(head), F.array_join(body, ""))
 
 
+# what stands around turns in each style, fixed values: head, a said turn, an open last turn; separators may alternate
+CHAT_STYLES = {
+    "single": ("{system}{sep}", "{role}: {text}{sep}", "{role}:"),
+    "two": ("{system}{sep}", "{role}: {text}{alternate}", "{role}:"),
+    "mpt": ("{system}{sep}", "{role}{text}{sep}", "{role}"),
+    "gemma": ("", "{role}{text}{sep}", "{role}"),
+    "plain": ("{system}", "{text}{alternate}", ""),
+}
+INSTRUCTION = ("[INST] ", " [/INST]")
+SYSTEM_BLOCK = ("<<SYS>>\n", "\n<</SYS>>\n\n")
+
+
+def _filled(form: str, values: dict[str, Column]) -> Column:
+    """``form`` with a column for each name in braces."""
+    parts = [p for p in re.split(r"({\w+})", form) if p]
+    return F.concat(F.lit(""), *[values[p[1:-1]] if p.startswith("{") else F.lit(p) for p in parts])
+
+
+def styled_chat(style: str, system: str, turns: Column, sep: str, sep2: str = "") -> Column:
+    """Text of ordered (role, text) structs in one of ``CHAT_STYLES`` or ``llama_2``; a turn without text stays open.
+
+    With alternating separators turns 0, 2, .. end in ``sep`` and the others in ``sep2``.  ``llama_2`` puts the system text into the
+    first instruction; ``sep`` opens and ``sep2`` closes an exchange, but none opens the whole.
+    """
+    said = lambda t: F.coalesce(t["text"], F.lit("")) != ""
+    if style == "llama_2":
+        block = SYSTEM_BLOCK[0] + system + SYSTEM_BLOCK[1] if system else ""
+
+        def exchange(t: Column, i: Column) -> Column:
+            asked = F.concat(F.when(i > 0, sep).otherwise(""), F.lit(INSTRUCTION[0]), F.when(i == 0, block).otherwise(""), t["text"], F.lit(INSTRUCTION[1]))
+            return F.when(~said(t), "").when(i % 2 == 0, asked).otherwise(F.concat(F.lit(" "), t["text"], F.lit(" " + sep2)))
+
+        return F.array_join(F.transform(turns, exchange), "")
+    if style not in CHAT_STYLES:
+        raise ValueError(f"unknown chat style {style!r}")
+    head, full, left_open = CHAT_STYLES[style]
+
+    def turn(t: Column, i: Column) -> Column:
+        values = {"role": t["role"], "text": t["text"], "sep": F.lit(sep), "alternate": F.when(i % 2 == 0, sep).otherwise(sep2)}
+        return F.when(said(t), _filled(full, values)).otherwise(_filled(left_open, values))
+
+    return F.concat(F.lit(head.format(system=system, sep=sep)), F.array_join(F.transform(turns, turn), ""))
+
+
 # placeholder -> signed id, fixed values
 PLACEHOLDERS = {"<IMAGE>": -200, "<SCENE>": -201, "<TRACK>": -202, "<MAP>": -203, "<OBJECT>": -204}
 _PLACEHOLDER_RE = "<(?:IMAGE|SCENE|TRACK|MAP|OBJECT)>"

@@ -399,6 +399,31 @@ def t16(v):
     return per.select("conv_id", turns.chat_text("You are a helpful assistant.", F.col("turns")).alias("prompt"))
 
 
+_SYSTEM, _SEPS = "Be brief.", {"single": ("###", ""), "two": (" ", "</s>"), "mpt": ("<|im_end|>", ""), "gemma": ("<end>", ""), "plain": ("~", "^"), "llama_2": ("<s>", "</s>")}
+
+
+def _style_sql(style: str) -> str:
+    sep, sep2 = _SEPS[style]
+    alternate = f"CASE WHEN i % 2 = 0 THEN '{sep}' ELSE '{sep2}' END"
+    head, said, left = {
+        "single": (_SYSTEM + sep, f"r || ': ' || text || '{sep}'", "r || ':'"), "two": (_SYSTEM + sep, f"r || ': ' || text || {alternate}", "r || ':'"),
+        "mpt": (_SYSTEM + sep, f"r || text || '{sep}'", "r"), "gemma": ("", f"r || text || '{sep}'", "r"), "plain": (_SYSTEM, f"text || {alternate}", "''"),
+        "llama_2": ("", f"""CASE WHEN i = 0 THEN '[INST] <<SYS>>' || chr(10) || '{_SYSTEM}' || chr(10) || '<</SYS>>' || chr(10) || chr(10) || text || ' [/INST]'
+          WHEN i % 2 = 0 THEN '{sep}[INST] ' || text || ' [/INST]' ELSE ' ' || text || ' {sep2}' END""", "''")}[style]
+    return f"""SELECT conv_id, '{style}' AS style, '{head}' || string_agg(CASE WHEN coalesce(text, '') <> '' THEN {said} ELSE {left} END, '' ORDER BY i) AS prompt
+FROM (SELECT conv_id, upper(role) AS r, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id"""
+
+
+@query("t16_chat_styles", " UNION ALL ".join(_style_sql(s) for s in _SEPS))
+def t16_styles(v):
+    """Every conversation in each style; every fifth turn is left open."""
+    text = F.when(F.col("turn") % 5 == 4, "").otherwise(F.col("text"))
+    per = v.table("conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", F.upper("role").alias("role"), text.alias("text")))).alias("turns"))
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("style"), turns.styled_chat(s, _SYSTEM, F.col("turns"), *seps).alias("prompt")) for s, seps in _SEPS.items()]))
+    return per.select("conv_id", each.alias("p")).select("conv_id", "p.style", "p.prompt")
+
+
 @query("t17_placeholder_segments", r"""
 SELECT sample_id, count(*) FILTER (WHERE piece NOT IN ('<IMAGE>','<SCENE>','<TRACK>','<MAP>','<OBJECT>')) AS text_pieces,
   string_agg(CASE piece WHEN '<IMAGE>' THEN '-200' WHEN '<SCENE>' THEN '-201' WHEN '<TRACK>' THEN '-202' WHEN '<MAP>' THEN '-203' WHEN '<OBJECT>' THEN '-204' END, ',' ORDER BY i) AS markers

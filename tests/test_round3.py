@@ -132,3 +132,36 @@ def test_matrices_project_like_the_columns(spark):
     m, t = spark.range(1).select(turn, at).first()
     world = [sum(p * m[i][j] for i, p in enumerate((1.0, 0.0, 2.0))) + t[j] for j in range(3)]
     assert world == pytest.approx([3.0, 5.0, 2.0])
+
+
+def test_chat_styles(spark):
+    from kerbside.functions import turns
+
+    talk = spark.createDataFrame([([("U", "a"), ("B", "b"), ("U", "c"), ("B", None)],), ([],)], "t array<struct<role: string, text: string>>")
+    said = lambda style, *seps: [r[0] for r in talk.select(turns.styled_chat(style, "S", F.col("t"), *seps)).collect()]
+    assert said("single", "#") == ["S#U: a#B: b#U: c#B:", "S#"]
+    assert said("two", " ", "|") == ["S U: a B: b|U: c B:", "S "]
+    assert said("mpt", "#") == ["S#Ua#Bb#Uc#B", "S#"]
+    assert said("gemma", "#") == ["Ua#Bb#Uc#B", ""]
+    assert said("plain", "~", "^") == ["Sa~b^c~", "S"]
+    assert said("llama_2", "<s>", "</s>") == ["[INST] <<SYS>>\nS\n<</SYS>>\n\na [/INST] b </s><s>[INST] c [/INST]", ""]
+    with pytest.raises(ValueError):
+        turns.styled_chat("nonesuch", "S", F.col("t"), "#")
+
+
+def test_guard_of_boxes_stops_a_frame_that_is_too_full(spark):
+    from kerbside.operators import boxes
+
+    df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 0)], "token string, n int")
+    assert boxes.guard_max_boxes(df, 5).count() == 6
+    with pytest.raises(Exception, match="more than 4 boxes"):
+        boxes.guard_max_boxes(df, 4).collect()
+
+
+def test_rank_files_of_lines_and_arrays(spark, tmp_path):
+    from kerbside.sources import predictions
+
+    (tmp_path / "out_rank0.json").write_text('{"id": "a"}\n\n{"id": "b"}\n')
+    (tmp_path / "out_rank12.json").write_text('[{"id": "c"}, {"id": "d"}]\n')
+    rows = predictions.read_rank_outputs(spark, str(tmp_path)).orderBy("rank", "pos").collect()
+    assert [(r["rank"], r.value.replace(" ", "")) for r in rows] == [(0, '{"id":"a"}'), (0, '{"id":"b"}'), (12, '{"id":"c"}'), (12, '{"id":"d"}')]
