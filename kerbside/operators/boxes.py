@@ -171,6 +171,28 @@ def to_submission(detections: DataFrame, poses: DataFrame) -> DataFrame:
         "attribute", attribute(F.col("name"), geom.hypot(F.col("gvx"), F.col("gvy"))))
 
 
+def with_tracks(submission: DataFrame, speeds: list[float], steps: int = 12, period: float = 0.5) -> DataFrame:
+    """``submission`` with ``tracking_id`` and ``predicted``: one path in the dataset world for each of ``speeds``, as a share of the box's own."""
+    def path(share: float) -> Column:
+        ahead = F.sequence(F.lit(1), F.lit(steps))
+        return F.transform(ahead, lambda k: F.struct((F.col("cx") + F.col("gvx") * (share * period) * k).alias("x"),
+                                                     (F.col("cy") + F.col("gvy") * (share * period) * k).alias("y")))
+
+    return submission.withColumns({"tracking_id": F.col("det_pos").cast("string"), "predicted": F.array(*[path(s) for s in speeds])})
+
+
+def results_by_frame(submission: DataFrame, frames: DataFrame, fields: list[str], names: list[str] | None = None) -> DataFrame:
+    """(token, results): the boxes of every frame as structs of ``fields``, best score first; a frame without boxes has an empty list.
+
+    ``names`` keeps those classes only: the movable ones where tracks are given in, all for detection alone.
+    """
+    kept = submission if names is None else submission.filter(F.col("name").isin(names))
+    row = F.struct((-F.col("score")).alias("_order"), F.col("det_pos").alias("_pos"), F.struct(*fields).alias("box"))
+    per = kept.groupBy("token").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["box"]).alias("results"))
+    empty = F.array().cast(per.schema["results"].dataType)
+    return frames.select("token").join(per, "token", "left").select("token", F.coalesce("results", empty).alias("results"))
+
+
 # attribute used when speed decides nothing, fixed values
 DEFAULT_ATTRIBUTE = {
     "car": "vehicle.parked", "pedestrian": "pedestrian.moving", "trailer": "vehicle.parked",

@@ -489,3 +489,28 @@ def a12(v):
         "token", F.when(F.col("results").isNull(), 0).otherwise(F.size("results")).cast("long").alias("boxes"),
         r6(F.coalesce(F.aggregate("results", F.lit(0.0), lambda a, r: a + r["score"]), F.lit(0.0))).alias("score_sum"),
         F.coalesce(F.array_join(rows, ","), F.lit("")).alias("rows"))
+
+
+_SHARES = [0.5, 1.0, 1.5]
+
+
+@query("a12_tracked_results", f"""
+SELECT f.token, count(s.det_pos) AS boxes, coalesce(string_agg(s.det_pos::VARCHAR, ',' ORDER BY s.score DESC, s.det_pos), '') AS ids,
+  {s6("coalesce(sum(cx + gvx*9), 0)")} AS fast_x, {s6("coalesce(sum(cy + gvy*3), 0)")} AS slow_y FROM frames f LEFT JOIN submission s ON s.token = f.token GROUP BY f.token""")
+def a12_tracked(v):
+    """Movable classes with tracking ids and three predicted paths of six seconds."""
+    s = boxes.with_tracks(boxes.to_submission(v.detections, v.poses), _SHARES)
+    out = boxes.results_by_frame(s, v.frames, ["tracking_id", "name", "attribute", "score", "cx", "cy", "cz", "predicted"], boxes.TRACKED)
+    end = lambda mode, axis: F.aggregate(F.transform("results", lambda r: F.element_at(r["predicted"][mode], -1)[axis]), F.lit(0.0), lambda a, b: a + b)
+    return out.select("token", F.size("results").cast("long").alias("boxes"), F.array_join(F.transform("results", lambda r: r["tracking_id"]), ",").alias("ids"),
+                      r6(end(2, "x")).alias("fast_x"), r6(end(0, "y")).alias("slow_y"))
+
+
+@query("a12_detection_results", f"""
+SELECT f.token, count(s.det_pos) AS boxes, coalesce(string_agg(s.name || ':' || {ATTRIBUTE_SQL}, ',' ORDER BY s.score DESC, s.det_pos), '') AS rows
+FROM frames f LEFT JOIN submission s ON s.token = f.token GROUP BY f.token""")
+def a12_detection(v):
+    """The variant for detection alone: all classes, no tracks."""
+    out = boxes.results_by_frame(boxes.to_submission(v.detections, v.poses), v.frames, ["name", "attribute", "score", "cx", "cy", "cz", "w", "l", "h", "gvx", "gvy"])
+    return out.select("token", F.size("results").cast("long").alias("boxes"),
+                      F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["name"], r["attribute"])), ",").alias("rows"))
