@@ -132,8 +132,14 @@ def factor_strings(factors: Column) -> Column:
     return F.array_join(F.transform(factors, canonical), ";")
 
 
-def manifest(records: DataFrame, th: Thresholds, missing_features: DataFrame | None = None) -> DataFrame:
-    """One row: counts, fallbacks, first five fallback texts, histograms, rates, thresholds.
+def first_reasons(reasons: DataFrame, most: int = 5) -> Column:
+    """The reasons of the first frames that fell back, by scene and frame; only so many rows leave each task."""
+    first = reasons.orderBy("scene_token", "frame_idx").limit(most).select(F.struct("scene_token", "frame_idx", "reason").alias("r"))
+    return first.agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["reason"])).scalar()
+
+
+def manifest(records: DataFrame, th: Thresholds, missing_features: DataFrame | None = None, reasons: DataFrame | None = None) -> DataFrame:
+    """One row: counts, fallbacks, histograms, rates, thresholds; with ``reasons`` (scene_token, frame_idx, reason) the first five of them.
 
     Histograms are aggregated per value first, so the final row sees a few dozen rows.
     """
@@ -159,6 +165,8 @@ def manifest(records: DataFrame, th: Thresholds, missing_features: DataFrame | N
         "thresholds": F.create_map(*[
             x for k, val in vars(th).items() for x in (F.lit(k), F.lit(float(val)))]),
     })
+    if reasons is not None:
+        out = out.withColumn("fallback_examples", first_reasons(reasons))
     if missing_features is not None:
         out = out.withColumn("missing_features", missing_features.agg(F.count(F.lit(1))).scalar())
     return out

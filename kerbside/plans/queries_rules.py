@@ -269,6 +269,21 @@ def f3(v):
                     "missing_features")
 
 
+_LIMITS = ",".join(f"{k}={float(x)}" for k, x in sorted(vars(TH).items()))
+
+
+@query("f3_fallback_examples", f"""
+SELECT (SELECT count(*) FROM records) AS frames, '{_LIMITS}' AS thresholds,
+  (SELECT string_agg(reason, '|' ORDER BY scene_token, frame_idx) FROM (SELECT scene_token, frame_idx, token || ': no clean candidate' AS reason FROM frames
+    WHERE event_id % 97 = 3 ORDER BY scene_token, frame_idx LIMIT 5)) AS examples""")
+def f3_examples(v):
+    """The manifest with the first five frames whose teacher fell back."""
+    fell = v.frames.filter("event_id % 97 = 3").select("scene_token", "frame_idx", F.concat("token", F.lit(": no clean candidate")).alias("reason"))
+    m = traces.manifest(records(v), TH, reasons=fell)
+    limits = F.transform(F.array_sort(F.map_entries("thresholds")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return m.select("frames", F.array_join(limits, ",").alias("thresholds"), F.array_join("fallback_examples", "|").alias("examples"))
+
+
 # ---- text ---------------------------------------------------------------------
 
 @query("t1_format_trajectory", "SELECT token, traj_str FROM paths")
