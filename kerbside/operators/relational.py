@@ -221,10 +221,14 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def split_audit(frames: DataFrame) -> DataFrame:
-    """Frames, episodes and slots per split, and slots that occur in another split too."""
-    per = frames.groupBy("split", "slot_idx", "scene_token").agg(F.count(F.lit(1)).alias("n"))
-    slots = per.groupBy("slot_idx").agg(F.count_distinct("split").alias("splits"))
-    return per.join(slots, "slot_idx").groupBy("split").agg(
-        F.sum("n").alias("frames"), F.count_distinct("scene_token").alias("episodes"),
-        F.count_distinct("slot_idx").alias("slots"),
-        F.count_distinct(F.when(F.col("splits") > 1, F.col("slot_idx"))).alias("shared_slots"))
+    """Frames, episodes and slots per split, and slots that occur in another split too.
+
+    Scenes are counted by split and slots by (split, slot) pairs, so no row of a scene is joined on a slot number.
+    """
+    scenes = frames.groupBy("split", "scene_token").agg(F.count(F.lit(1)).alias("n"))
+    size = scenes.groupBy("split").agg(F.sum("n").alias("frames"), F.count(F.lit(1)).alias("episodes"))
+    pairs = frames.select("split", "slot_idx").distinct().filter(F.col("slot_idx").isNotNull())
+    splits = pairs.groupBy("slot_idx").agg(F.collect_set("split").alias("splits"))
+    slots = splits.select(F.explode("splits").alias("split"), (F.size("splits") > 1).alias("_shared")).groupBy("split").agg(
+        F.count(F.lit(1)).alias("slots"), F.count_if("_shared").alias("shared_slots"))
+    return size.join(slots, "split", "left").na.fill(0, ["slots", "shared_slots"])
