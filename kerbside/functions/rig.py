@@ -55,12 +55,13 @@ def rotation_quat(df: DataFrame) -> DataFrame:
 
 
 def project(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
-    """Ego point -> (u, v, depth) through the extrinsic columns of the row."""
+    """Ego point -> (u, v, depth) through the extrinsic columns of the row; beside the camera, at depth zero, it has no pixel (null)."""
     dx, dy, dz = x - F.col("tx"), y - F.col("ty"), z - F.col("tz")
     cx = F.col("r00") * dx + F.col("r10") * dy + F.col("r20") * dz
     cy = F.col("r01") * dx + F.col("r11") * dy + F.col("r21") * dz
     cz = F.col("r02") * dx + F.col("r12") * dy + F.col("r22") * dz
-    return FOCAL * cx / cz + IMAGE_WIDTH / 2, FOCAL * cy / cz + IMAGE_HEIGHT / 2, cz
+    ahead = F.nullif(cz, F.lit(0.0))
+    return FOCAL * cx / ahead + IMAGE_WIDTH / 2, FOCAL * cy / ahead + IMAGE_HEIGHT / 2, cz
 
 
 def matrix(rows: list[list]) -> Column:
