@@ -44,11 +44,15 @@ BROADCAST_ROWS = 100_000
 
 
 def map_side(records: DataFrame) -> DataFrame:
-    """Tiled records, broadcast only when a count shows they are few; a larger map is
-    joined by tile with a shuffle, where AQE splits the busy tiles."""
-    side = tiled(records)
+    """Tiled records, as ``small_side``."""
+    return small_side(tiled(records))
+
+
+def small_side(side: DataFrame) -> DataFrame:
+    """``side``, broadcast only when a count shows that its rows are few; a larger map is joined by tile with a shuffle, where AQE splits
+    the busy tiles.  Left to its estimates, Spark may send the frames around instead."""
     few = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(side) if few else side
+    return F.broadcast(side) if few else side.hint("merge")
 
 
 def edges(ring: Column) -> Column:
@@ -128,9 +132,9 @@ def lines_in_patch(patches: DataFrame, vertices: DataFrame) -> DataFrame:
         "ty", F.explode(F.sequence(_tile(F.col("y0")), _tile(F.col("y1")))))
     nodes = vertices.withColumns({"tx": _tile(F.col("x")), "ty": _tile(F.col("y"))})
     inside = (F.col("x") > F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") > F.col("y0")) & (F.col("y") < F.col("y1"))
-    some = p.join(nodes, ["tx", "ty"]).filter(inside).groupBy("token", "layer", "record").agg(F.count(F.lit(1)).alias("_in"))
+    some = p.join(small_side(nodes), ["tx", "ty"]).filter(inside).groupBy("token", "layer", "record").agg(F.count(F.lit(1)).alias("_in"))
     sizes = vertices.groupBy("layer", "record").agg(F.count(F.lit(1)).alias("_all"))
-    return some.join(sizes, ["layer", "record"]).select("token", "layer", "record", F.lit(True).alias("intersects"), (F.col("_in") == F.col("_all")).alias("within"))
+    return some.join(small_side(sizes), ["layer", "record"]).select("token", "layer", "record", F.lit(True).alias("intersects"), (F.col("_in") == F.col("_all")).alias("within"))
 
 
 def segments(vertices: DataFrame, closed: bool) -> DataFrame:
@@ -172,7 +176,7 @@ def closest_lane(points: DataFrame, lane_points: DataFrame, radius: float) -> Da
     q = q.withColumns({"tx": _tile(F.col("x")), "ty": _tile(F.col("y"))})
     span = lambda c: F.sequence(_tile(c - radius), _tile(c + radius))
     p = points.withColumn("tx", F.explode(span(F.col("px")))).withColumn("ty", F.explode(span(F.col("py"))))
-    near = p.join(q, ["tx", "ty"]).filter(
+    near = p.join(small_side(q), ["tx", "ty"]).filter(
         (F.abs(F.col("x") - F.col("px")) <= radius) & (F.abs(F.col("y") - F.col("py")) <= radius))
     d = geom.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
     # a lane has many points near a frame: reduce to one row per lane first
