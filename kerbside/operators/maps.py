@@ -23,20 +23,21 @@ def assemble(vertices: DataFrame) -> DataFrame:
         F.min("x").alias("min_x"), F.min("y").alias("min_y"), F.max("x").alias("max_x"), F.max("y").alias("max_y"))
 
 
-def _tile(c: Column) -> Column:
-    return F.floor(c / TILE)
+def _tile(c: Column, tile: float = TILE) -> Column:
+    return F.floor(c / tile)
 
 
-def tiled(records: DataFrame, margin: float = 0.0) -> DataFrame:
+def tiled(records: DataFrame, margin: float = 0.0, tile: float = TILE) -> DataFrame:
     """Each record once per tile its (widened) bounds touch; sx, sy name its first tile."""
-    records = records.withColumns({"sx": _tile(F.col("min_x") - margin), "sy": _tile(F.col("min_y") - margin)})
-    return records.withColumn("tx", F.explode(F.sequence(_tile(F.col("min_x") - margin), _tile(F.col("max_x") + margin)))).withColumn(
-        "ty", F.explode(F.sequence(_tile(F.col("min_y") - margin), _tile(F.col("max_y") + margin))))
+    at = lambda c: _tile(c, tile)
+    records = records.withColumns({"sx": at(F.col("min_x") - margin), "sy": at(F.col("min_y") - margin)})
+    return records.withColumn("tx", F.explode(F.sequence(at(F.col("min_x") - margin), at(F.col("max_x") + margin)))).withColumn(
+        "ty", F.explode(F.sequence(at(F.col("min_y") - margin), at(F.col("max_y") + margin))))
 
 
-def once(x0: Column, y0: Column) -> Column:
+def once(x0: Column, y0: Column, tile: float = TILE) -> Column:
     """True in exactly one of the tiles a pair shares, so no later dedup is needed."""
-    return (F.col("tx") == F.greatest(F.col("sx"), _tile(x0))) & (F.col("ty") == F.greatest(F.col("sy"), _tile(y0)))
+    return (F.col("tx") == F.greatest(F.col("sx"), _tile(x0, tile))) & (F.col("ty") == F.greatest(F.col("sy"), _tile(y0, tile)))
 
 
 # a tiled map side up to this many rows (tens of MB at most) is sent to every executor
@@ -253,9 +254,12 @@ def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: fl
     reach = half * 2 ** 0.5
     s = segs.withColumns({"min_x": F.least("ax", "bx"), "max_x": F.greatest("ax", "bx"),
                           "min_y": F.least("ay", "by"), "max_y": F.greatest("ay", "by")})
-    span = lambda c: F.sequence(_tile(c - reach), _tile(c + reach))
+    # tiles as wide as the patch's circle: a frame looks at four of them at most
+    wide = 2 * reach
+    span = lambda c: F.sequence(_tile(c - reach, wide), _tile(c + reach, wide))
     p = spread(poses.select("token", "gx", "gy", "gyaw"), "token").withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
-    pairs = p.join(map_side(s), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach))
+    meet = (F.col("min_x") <= F.col("gx") + reach) & (F.col("max_x") >= F.col("gx") - reach) & (F.col("min_y") <= F.col("gy") + reach) & (F.col("max_y") >= F.col("gy") - reach)
+    pairs = p.join(small_side(tiled(s, tile=wide)), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach, wide) & meet)
 
     def ego(x: str, y: str) -> Column:
         at = geom.to_ego_xy(F.col(x), F.col(y), F.col("gx"), F.col("gy"), F.col("gyaw"))
