@@ -171,14 +171,18 @@ def to_submission(detections: DataFrame, poses: DataFrame) -> DataFrame:
         "attribute", attribute(F.col("name"), geom.hypot(F.col("gvx"), F.col("gvy"))))
 
 
-def with_tracks(submission: DataFrame, speeds: list[float], steps: int = 12, period: float = 0.5) -> DataFrame:
-    """``submission`` with ``tracking_id`` and ``predicted``: one path in the dataset world for each of ``speeds``, as a share of the box's own."""
-    def path(share: float) -> Column:
-        ahead = F.sequence(F.lit(1), F.lit(steps))
-        return F.transform(ahead, lambda k: F.struct((F.col("cx") + F.col("gvx") * (share * period) * k).alias("x"),
-                                                     (F.col("cy") + F.col("gvy") * (share * period) * k).alias("y")))
-
-    return submission.withColumns({"tracking_id": F.col("det_pos").cast("string"), "predicted": F.array(*[path(s) for s in speeds])})
+def with_tracks(results: DataFrame, fields: list[str], speeds: list[float], steps: int = 12, period: float = 0.5) -> DataFrame:
+    """``results_by_frame`` rows whose boxes hold ``fields``, ``tracking_id`` and ``predicted``: one path in the dataset world for each of ``speeds``, as a share of the box's own.
+
+    Boxes come with det_pos, cx, cy, gvx and gvy; paths are many times wider and are made after the boxes have met their frame.
+    """
+    def path(box: Column, share: float) -> Column:
+        return F.array(*[F.struct((box["cx"] + box["gvx"] * (share * period) * k).alias("x"),
+                                  (box["cy"] + box["gvy"] * (share * period) * k).alias("y")) for k in range(1, steps + 1)])
+
+    return results.withColumn("results", F.transform("results", lambda box: F.struct(
+        box["det_pos"].cast("string").alias("tracking_id"), *[box[c].alias(c) for c in fields],
+        F.array(*[path(box, s) for s in speeds]).alias("predicted"))))
 
 
 def results_by_frame(submission: DataFrame, frames: DataFrame, fields: list[str], names: list[str] | None = None) -> DataFrame:

@@ -502,8 +502,9 @@ SELECT f.token, count(s.det_pos) AS boxes, coalesce(string_agg(s.det_pos::VARCHA
   {s6("coalesce(sum(cx + gvx*9), 0)")} AS fast_x, {s6("coalesce(sum(cy + gvy*3), 0)")} AS slow_y FROM frames f LEFT JOIN submission s ON s.token = f.token GROUP BY f.token""")
 def a12_tracked(v):
     """Movable classes with tracking ids and three predicted paths of six seconds."""
-    s = boxes.with_tracks(boxes.to_submission(v.detections, v.poses), _SHARES)
-    out = boxes.results_by_frame(s, v.frames, ["tracking_id", "name", "attribute", "score", "cx", "cy", "cz", "predicted"], boxes.TRACKED)
+    fields = ["name", "attribute", "score", "cx", "cy", "cz"]
+    held = boxes.results_by_frame(boxes.to_submission(v.detections, v.poses), v.frames, ["det_pos", *fields, "gvx", "gvy"], boxes.TRACKED)
+    out = boxes.with_tracks(held, fields, _SHARES)
     end = lambda mode, axis: F.aggregate(F.transform("results", lambda r: F.element_at(r["predicted"][mode], -1)[axis]), F.lit(0.0), lambda a, b: a + b)
     return out.select("token", F.size("results").cast("long").alias("boxes"), F.array_join(F.transform("results", lambda r: r["tracking_id"]), ",").alias("ids"),
                       r6(end(2, "x")).alias("fast_x"), r6(end(0, "y")).alias("slow_y"))
