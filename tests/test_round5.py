@@ -153,3 +153,15 @@ def test_footprints_meet_boxes_of_odd_steps(spark):
         for i, one in enumerate((True, flags[0], flags[1] and not flags[0], flags[2] and not flags[0])):
             row[i] += one
     assert {r.step: [r.frames, r.skipped, r.point_hits, r.body_hits] for r in found.collect()} == want
+
+
+def test_facts_move_only_what_rules_and_texts_read(spark):
+    v = views.Views(spark, "/no/such/folder", stored=False)
+    point = "array<struct<r: double, f: double, h: double>>"
+    rows = [(i, "s", f"s{i}", i, i == 1, 0.5, 0.1, 1.0, 6.0, 0.0, [(0.0, 1.0, 0.0)] * 6, 7.5) for i in range(3)]
+    v.futures = spark.createDataFrame(rows, "event_id long, scene_token string, token string, frame_idx long, reverse boolean, speed_ms double, steer double, "
+                                            f"slot_r double, slot_f double, slot_dh double, fut {point}, gx double")
+    v.objects = spark.createDataFrame([("s0", "car", 0.0, 3.0, 1)], "token string, cls string, right double, forward double, obj_pos long")
+    got = v.facts("gt")
+    assert "gx" not in plan_of(got).split("LogicalRDD")[0] and "gx" not in got.columns
+    assert [r.decision for r in got.sort("frame_idx").collect()] == ["approach", "shift_gear", "shift_gear"]
