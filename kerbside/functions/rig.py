@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,16 +55,29 @@ def rotation_quat(df: DataFrame) -> DataFrame:
     return df.withColumns({"qw": q.w * flip, "qx": q.x * flip, "qy": q.y * flip, "qz": q.z * flip})
 
 
+def _axes(x, y, z, cam):
+    """Right, down and ahead of the camera ``cam`` (name -> number) for an ego point, as columns or as arrays."""
+    dx, dy, dz = x - cam["tx"], y - cam["ty"], z - cam["tz"]
+    return tuple(cam[f"r0{k}"] * dx + cam[f"r1{k}"] * dy + cam[f"r2{k}"] * dz for k in range(3))
+
+
+EXTRINSICS = ["tx", "ty", "tz", *[f"r{i}{k}" for i in range(3) for k in range(3)]]
+
+
 def project(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     """Ego point -> (u, v, depth) through the extrinsic columns of the row; beside the camera, at depth zero, it has no pixel (null)."""
-    dx, dy, dz = x - F.col("tx"), y - F.col("ty"), z - F.col("tz")
-    cx = F.col("r00") * dx + F.col("r10") * dy + F.col("r20") * dz
-    cy = F.col("r01") * dx + F.col("r11") * dy + F.col("r21") * dz
-    cz = F.col("r02") * dx + F.col("r12") * dy + F.col("r22") * dz
+    cx, cy, cz = _axes(x, y, z, {n: F.col(n) for n in EXTRINSICS})
     ahead = F.nullif(cz, F.lit(0.0))
     return FOCAL * cx / ahead + IMAGE_WIDTH / 2, FOCAL * cy / ahead + IMAGE_HEIGHT / 2, cz
 
 
+def project_arrays(x: np.ndarray, y: np.ndarray, z: np.ndarray, cam: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``project`` for many points and one camera: the same numbers, NaN where a column is null."""
+    cx, cy, cz = _axes(x, y, z, cam)
+    ahead = np.where(cz == 0, np.nan, cz)
+    return FOCAL * cx / ahead + IMAGE_WIDTH / 2, FOCAL * cy / ahead + IMAGE_HEIGHT / 2, cz
+
+
 def matrix(rows: list[list]) -> Column:
     """array<array<double>> of columns and numbers."""
     cell = lambda c: (c if isinstance(c, Column) else F.lit(float(c))).cast("double")
@@ -98,4 +112,5 @@ def lidar_to_global(gx: Column, gy: Column, gyaw: Column) -> tuple[Column, Colum
 
 
 def in_image(u: Column, v: Column, depth: Column) -> Column:
+    """Whether a pixel lies in the image and ahead of the camera, for columns or arrays."""
     return (u > 0) & (u < IMAGE_WIDTH) & (v > 0) & (v < IMAGE_HEIGHT) & (depth > 1.0)

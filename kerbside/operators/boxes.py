@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.functions import geom
+from kerbside.functions import geom, rig
 
 # (length, width, height) by category, fixed values of the derived actor view
 SIZES = {"car": (4.5, 2.0, 1.6), "truck": (7.0, 2.5, 3.0), "pedestrian": (0.6, 0.6, 1.8)}
@@ -134,6 +138,34 @@ def corners_3d(df: DataFrame) -> DataFrame:
         *keys, "corner", "p.x", "p.y", "p.z")
 
 
+def corners_seen(df: DataFrame, cams: DataFrame) -> DataFrame:
+    """token, actor_id, camera and how many of the eight ``corners_3d`` of a box its image shows, if any.
+
+    ``cams`` has the few rows of ``rig.extrinsics``.  The corners of a batch of boxes are projected in numpy, so that
+    neither a row for each corner and camera is made nor one for a camera that sees nothing of the box.
+    """
+    rigged = [c.asDict() for c in cams.select("camera", *rig.EXTRINSICS).collect()]
+    flat = geom.box_corners(F.col("x"), F.col("y"), F.col("l"), F.col("w"), F.col("yaw"))
+    parts = {**{f"x{i}": c.x for i, c in enumerate(flat)}, **{f"y{i}": c.y for i, c in enumerate(flat)},
+             "z0": F.col("z") + F.col("h") * -0.5, "z1": F.col("z") + F.col("h") * 0.5}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            side = lambda axis, n: np.stack([b.column(f"{axis}{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(n)], axis=1)
+            x, y, z = side("x", 4)[:, :, None], side("y", 4)[:, :, None], side("z", 2)[:, None, :]
+            for cam in rigged:
+                with np.errstate(invalid="ignore", over="ignore"):
+                    seen = rig.in_image(*rig.project_arrays(x, y, z, cam)).sum(axis=(1, 2))
+                at = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("token").take(pa.array(at)), b.column("actor_id").take(pa.array(at)),
+                     pa.array([cam["camera"]] * len(at), pa.string()), pa.array(seen[at], pa.int64())],
+                    names=["token", "actor_id", "camera", "corners_in"])
+
+    return df.select("token", "actor_id", *[c.alias(n) for n, c in parts.items()]).mapInArrow(
+        run, "token string, actor_id long, camera string, corners_in long")
+
+
 # ---- submission form -------------------------------------------------------
 
 # detection classes in label order, fixed values

@@ -383,12 +383,9 @@ SELECT token, actor_id, camera, count(*) FILTER (WHERE {_INSIDE}) AS corners_in
 GROUP BY token, actor_id, camera
 HAVING count(*) FILTER (WHERE {_INSIDE}) BETWEEN 1 AND 7""")
 def c6(v):
-    cams = F.broadcast(rig.extrinsics(rig.mounts(v.spark)))
-    u, w, d = rig.project(F.col("x"), F.col("y"), F.col("z"))
-    hits = boxes.corners_3d(v.gt_boxes).crossJoin(cams).select(
-        "token", "actor_id", "camera", rig.in_image(u, w, d).cast("int").alias("hit"))
-    return hits.groupBy("token", "actor_id", "camera").agg(
-        F.sum("hit").alias("corners_in")).filter("corners_in BETWEEN 1 AND 7")
+    seen = boxes.corners_seen(v.gt_boxes, rig.extrinsics(rig.mounts(v.spark)))
+    return seen.groupBy("token", "actor_id", "camera").agg(
+        F.sum("corners_in").alias("corners_in")).filter("corners_in BETWEEN 1 AND 7")
 
 
 @query("c7_split_selection", """
