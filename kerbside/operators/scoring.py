@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,31 +87,73 @@ def faithfulness(student: DataFrame) -> DataFrame:
     ).withColumn("decision", F.coalesce("decision", F.lit("ALL")))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
-    """N-grams of a token array, built by zipping shifted copies: linear in its length.
+#: Odd factors for the places of an n-gram; what is added up are hashes, so sums of unequal n-grams agree by chance only.
+_PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-    ``tokens`` should be a stored column; an expression would be evaluated per copy.
+
+#: N-grams are dealt by the first bits of their key.
+_BUCKET_BITS = 12
+
+
+def gram_keys(offsets: np.ndarray, first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
+    """Keys of all n-grams of several texts as two rows of 64 bits.
+
+    Text i has the tokens from ``offsets[i]`` to ``offsets[i + 1]``, each given by two hashes.
     """
-    keep = F.greatest(F.lit(0), F.size(tokens) - (n - 1))
-    grams = F.slice(tokens, F.lit(1), keep)
-    for k in range(1, n):
-        grams = F.zip_with(grams, F.slice(tokens, F.lit(k + 1), keep), lambda g, t: F.concat(g, F.lit(" "), t))
-    return grams
+    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(offsets[0], offsets[-1])
+    at = np.flatnonzero(left >= n) + offsets[0]
+    return np.stack([sum((h[at + k] * _PLACES[k] for k in range(n)), np.zeros(len(at), np.uint64)) for h in (first, second)])
+
+
+def unequal(keys: np.ndarray) -> np.ndarray:
+    """Each key once, in order."""
+    keys = keys[:, np.lexsort(keys[::-1])]
+    return keys[:, np.concatenate([[True], (np.diff(keys) != 0).any(axis=0)])[:keys.shape[1]]]
 
 
-def distinct_n(texts: DataFrame, n: int, column: str = "text") -> DataFrame:
-    """Distinct n-grams over all n-grams.
+def distinct_n(texts: DataFrame, sizes: list[int], column: str = "text") -> DataFrame:
+    """Distinct n-grams over all n-grams, a row for each n of ``sizes``; no more than five words.
 
-    The grams are counted per value first, so repeats collapse before the shuffle and
-    a gram that fills a third of the rows becomes a few partial counts.
+    The texts are read and split once.  N-grams are keyed by 128 bits made of two hashes of each word.  A batch of texts
+    sends each of its keys once, as one row of bytes for each of 4096 buckets, and a task counts the keys of a bucket in
+    numpy: no row and no entry of a hash table is made for a single n-gram.
     """
-    tokens = texts.select(F.filter(F.split(column, r"\s+"), lambda t: t != "").alias("tokens"))
-    grams = tokens.select(F.explode(ngrams(F.col("tokens"), n)).alias("g"))
-    per = grams.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg(
-        F.lit(n).alias("n"), F.count(F.lit(1)).alias("distinct_grams"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("all_grams"),
-    ).withColumn("share", F.col("distinct_grams") / F.greatest(F.lit(1), F.col("all_grams")))
+    if max(sizes) > len(_PLACES) or min(sizes) < 1:
+        raise ValueError(f"n-grams have 1 to {len(_PLACES)} words")
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # long texts do not meet in one batch
+    tokens = F.filter(F.split(column, r"\s+"), lambda t: t != "")
+    words = texts.select(tokens.alias("tokens")).select(
+        F.transform("tokens", lambda t: F.xxhash64(t)).alias("a"), F.transform("tokens", lambda t: F.xxhash64(F.lit(1), t)).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).drop_null() for c in ("a", "b"))
+            offsets = a.offsets.to_numpy()
+            for n in sizes if len(a) else ():
+                found = gram_keys(offsets, *[v.values.to_numpy().view(np.uint64) for v in (a, b)], n)
+                keys = unequal(found)
+                bucket = (keys[0] >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+                starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+                ends = np.append(starts[1:], len(bucket))
+                # how many n-grams there are, repeats included, is told once a batch
+                grams = np.zeros(len(starts), np.int64)
+                grams[:1] = found.shape[1]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(starts), n, np.int32)), pa.array(bucket[starts]), pa.array(grams),
+                     pa.array([keys[:, i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], names=["n", "bucket", "grams", "keys"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(k.as_buffer(), np.uint64).reshape(2, -1) for k in table.column("keys")]
+        return pa.table({"n": table.column("n")[:1], "d": pa.array([unequal(np.concatenate(keys, axis=1)).shape[1]], pa.int64()),
+                         "grams": pa.array([sum(table.column("grams").to_pylist())], pa.int64())})
+
+    dealt = words.mapInArrow(run, "n int, bucket int, grams long, keys binary")
+    found = dealt.groupBy("n", "bucket").applyInArrow(count, "n int, d long, grams long").groupBy("n").agg(
+        F.sum("d").alias("distinct_grams"), F.sum("grams").alias("all_grams"))
+    wanted = texts.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("distinct_grams", "all_grams")]
+    return wanted.join(found, "n", "left").select("n", *counts).withColumn(
+        "share", F.col("distinct_grams") / F.greatest(F.lit(1), F.col("all_grams")))
 
 
 def unique_share(texts: DataFrame, column: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from kerbside.functions import rig
-from kerbside.operators import boxes
+from kerbside.operators import boxes, scoring
 
 BOX = "token string, actor_id long, x double, y double, z double, l double, w double, h double, yaw double"
 
@@ -31,3 +31,19 @@ def test_corners_seen_equal_the_exploded_corners_of_odd_boxes(spark):
 
 def test_no_box_gives_no_corners(spark):
     assert boxes.corners_seen(spark.createDataFrame([], BOX), rig.extrinsics(rig.mounts(spark))).count() == 0
+
+
+def test_distinct_ngrams_of_odd_texts_equal_a_plain_count(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "b", "aa", "b\u00e4", "1"]) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    texts += [None, "", " \t\n", "a", "a  b", "a b\tc", "a a a a", "aa a", "a aa", "x y " * 3000]
+    got = {r.n: r for r in scoring.distinct_n(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), [1, 2, 3]).collect()}
+    for n in (1, 2, 3):
+        words = [(t or "").split() for t in texts]
+        grams = [tuple(w[i:i + n]) for w in words for i in range(len(w) - n + 1)]
+        assert got[n][1:] == (len(set(grams)), len(grams), len(set(grams)) / len(grams))
+
+
+def test_without_texts_there_are_no_ngrams(spark):
+    for rows in ([], [(None,)], [("a",)]):
+        assert sorted(scoring.distinct_n(spark.createDataFrame(rows, "text string"), [2, 3]).collect()) == [(2, 0, 0, 0.0), (3, 0, 0, 0.0)]
