@@ -162,11 +162,12 @@ def l3_stream(v):
     work = _work(v)
     rows = tracker.with_sides(v.detections).withColumn("at", F.timestamp_micros(F.col("frame_idx") * 500_000 + START_US))
     half = v.frames.groupBy("scene_token").agg((F.max("frame_idx") / 2).alias("half"))
+    groups = half.count() // 64 + 1
     parts = rows.join(half, "scene_token").withColumn("part", (F.col("frame_idx") > F.col("half")).cast("int")).drop("half")
     for part in (0, 1):
         parts.where(F.col("part") == part).drop("part").write.parquet(f"{work}/in/{part}")
         stream = jobs.read_stream(v.spark, f"{work}/in", rows.schema)
-        tracker.run_tracker(v.spark, tracker.track_stream(stream, VETO), f"{work}/out", f"{work}/checkpoint")
+        tracker.run_tracker(v.spark, tracker.track_stream(stream, VETO, groups=groups), f"{work}/out", f"{work}/checkpoint")
     return v.spark.read.schema(tracker.OUT).parquet(f"{work}/out").where("not late").drop("late")
 
 

@@ -15,13 +15,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kerbside.functions.geom import PI
 
 BIRTH, WEAK, TOLERANCE = 0.5, 0.4, 5
 OUT = "scene_token string, slot long, frame_idx long, track_id long, misses long, late boolean"
-_STATE = "born long, last long, slots array<long>, ids array<long>, misses array<long>"
+RESULT = ["scene_token", "slot", "frame_idx", "track_id", "misses", "late"]
+#: Of a group of scenes: one entry of each array is a scene.
+_STATE = ("groups long, scenes array<string>, until array<long>, born array<long>, last array<long>, "
+          "slots array<array<long>>, ids array<array<long>>, misses array<array<long>>")
 
 
 def axis_sides(x: Column, y: Column, length: Column, width: Column, yaw: Column) -> list[Column]:
@@ -41,7 +44,10 @@ def with_sides(detections: DataFrame) -> DataFrame:
 
 def overlap(a, b) -> float:
     """IoU of two boxes given as x0, x1, y0, y1."""
-    inter = max(0.0, min(a[1], b[1]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[2], b[2]))
+    wide, high = min(a[1], b[1]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[2], b[2])
+    if not (wide > 0 and high > 0):
+        return 0.0
+    inter = wide * high
     whole = (a[1] - a[0]) * (a[3] - a[2]) + (b[1] - b[0]) * (b[3] - b[2]) - inter
     return inter / whole if whole > 0 else 0.0
 
@@ -67,12 +73,15 @@ class Tracks:
             yield from ((r[0], None, None, True) for r in rows)
             return
         self.last = number
-        rows = sorted(rows)
-        boxes = {r[0]: r[2:] for r in rows}
-        for slot, score, *box in rows:
+        rows, boxes = sorted(rows), None
+        for row in rows:
+            slot, score = row[:2]
             track = self.living.get(slot)
             if track is None:
-                if score < self.birth or self.vetoed(slot, box, boxes):
+                if score < self.birth:
+                    continue
+                boxes = boxes or {r[0]: r[2:] for r in rows}
+                if self.vetoed(slot, row[2:], boxes):
                     continue
                 track = self.living[slot] = [self.born, 0]
                 self.born += 1
@@ -87,7 +96,7 @@ class Tracks:
 
     def vetoed(self, slot: int, box, boxes: dict) -> bool:
         """Whether a living track that has a box in this frame overlaps by more than the limit."""
-        return self.limit is not None and any(s in boxes and s != slot and overlap(box, boxes[s]) > self.limit for s in self.living)
+        return self.limit is not None and any(s in self.living and s != slot and overlap(box, other) > self.limit for s, other in boxes.items())
 
 
 def _frames(rows: Iterable[tuple]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -133,55 +142,78 @@ def tracked(boxes: DataFrame, limit: float | None, **how) -> DataFrame:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     types = [pa.string(), *[pa.int64()] * 4, pa.bool_()]
-    names = ["scene_token", "slot", "frame_idx", "track_id", "misses", "late"]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=RESULT)
 
 
-class SceneTracker(StatefulProcessor):
-    """Keeps the living tracks of a scene between micro-batches and forgets a scene that has been silent."""
+class GroupTracker:
+    """Keeps the living tracks of a group of scenes between micro-batches and forgets scenes that have been silent.
 
-    def __init__(self, limit: float | None, silence_ms: int, how: dict):
-        self.limit, self.silence_ms, self.how = limit, silence_ms, how
+    Calling Python, frames of pandas and state cost about as much for one scene as for a hundred, so scenes share them.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("tracks", _STATE)
+    def __init__(self, limit: float | None, silence_ms: int, groups: int, how: dict):
+        self.limit, self.silence_ms, self.groups, self.how = limit, silence_ms, groups, how
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        given = pd.concat(list(rows), ignore_index=True).sort_values(["frame_idx", "slot"])
-        tracks = Tracks(self.limit, **self.how)
-        if self.state.exists():
-            born, last, slots, ids, misses = self.state.get()
-            tracks.born, tracks.last = born, last
-            tracks.living = {s: [i, m] for s, i, m in zip(slots, ids, misses)}
+    def __call__(self, key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = self.restored(state)
+        given = {} if state.hasTimedOut else self.by_scene(pieces)
+        now = state.getCurrentWatermarkMs()
+        # a scene that comes again in this micro-batch goes on, as its time was not up at the last one
+        kept = {scene: (until, tracks) for scene, (until, tracks) in kept.items() if until >= now or scene in given}
         out = []
-        for (name, number), held in _frames(zip(*[given[c].tolist() for c in COLUMNS])):
-            out += [(name, slot, number, track, misses, late) for slot, track, misses, late in tracks.frame(number, held)]
-        living = sorted(tracks.living.items())
-        self.state.update((tracks.born, tracks.last, [s for s, _ in living], [v[0] for _, v in living], [v[1] for _, v in living]))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(int(given["at"].max().timestamp() * 1000) + self.silence_ms)
-        yield pd.DataFrame(out, columns=["scene_token", "slot", "frame_idx", "track_id", "misses", "late"]).astype(
-            {"slot": "int64", "frame_idx": "int64", "track_id": "Int64", "misses": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter(())
-
-    def close(self) -> None:
-        pass
+        for scene, (at, rows) in given.items():
+            tracks = kept[scene][1] if scene in kept else Tracks(self.limit, **self.how)
+            for (name, number), held in _frames(sorted(rows)):
+                out += [(name, slot, number, track, misses, late) for slot, track, misses, late in tracks.frame(number, held)]
+            kept[scene] = int(at) + self.silence_ms, tracks
+        self.store(kept, state)
+        if out:
+            frame = dict(zip(RESULT, zip(*out)))
+            # a late row has no track
+            yield pd.DataFrame(frame | {c: pd.array(frame[c], "Int64") for c in ("track_id", "misses")})
+
+    def by_scene(self, pieces: Iterator[pd.DataFrame]) -> dict:
+        """scene -> [last event time in ms, rows]."""
+        scenes: dict = {}
+        for piece in pieces:
+            for row, at in zip(zip(*[piece[c].tolist() for c in COLUMNS]), piece["at_ms"].tolist()):
+                held = scenes.get(row[0]) or scenes.setdefault(row[0], [float("-inf"), []])
+                held[0] = max(held[0], at)
+                held[1].append(row)
+        return scenes
+
+    def restored(self, state: GroupState) -> dict:
+        """scene -> (time in ms when it is forgotten, its tracks)."""
+        if not state.exists:
+            return {}
+        groups, *scenes = state.get
+        if groups != self.groups:
+            raise ValueError(f"the checkpoint holds {groups} groups of scenes, not {self.groups}")
+        return {name: (until, Tracks(self.limit, **self.how, born=born, last=last, living={s: [i, m] for s, i, m in zip(slots, ids, misses)}))
+                for name, until, born, last, slots, ids, misses in zip(*scenes)}
+
+    def store(self, kept: dict, state: GroupState) -> None:
+        if not kept:
+            state.remove()
+            return
+        columns = zip(*[(name, until, t.born, t.last, list(t.living), [v[0] for v in t.living.values()], [v[1] for v in t.living.values()])
+                        for name, (until, t) in kept.items()])
+        state.update((self.groups, *map(list, columns)))
+        state.setTimeoutTimestamp(min(until for until, _ in kept.values()))
 
 
-def track_stream(stream: DataFrame, limit: float | None, late: str = "1 hour", silence_ms: int = 86_400_000, **how) -> DataFrame:
+def track_stream(stream: DataFrame, limit: float | None, late: str = "1 hour", silence_ms: int = 86_400_000, groups: int = 1024, **how) -> DataFrame:
     """The lifecycle over a stream of ``with_sides`` rows with their event time ``at``.
 
     A frame arrives whole and after the frames before it; one that does not is given back with ``late`` true and without a
     track.  A scene that is silent for ``silence_ms`` of event time is forgotten: the next frame starts it anew.
+    Scenes are dealt by hash to ``groups`` groups, which keep their tracks together: a task holds the new rows of one
+    group, so some 50 to 100 living scenes for each group are a good number.  It stays as it is for a checkpoint.
     """
-    spaced = stream.withWatermark("at", late)
-    return spaced.groupBy("scene_token").transformWithStateInPandas(
-        statefulProcessor=SceneTracker(limit, silence_ms, how), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    spaced = stream.withColumns({"at_ms": F.unix_millis("at"), "scenes": F.pmod(F.xxhash64("scene_token"), F.lit(groups))}).withWatermark("at", late)
+    step = GroupTracker(limit, silence_ms, groups, how)
+    return spaced.groupBy("scenes").applyInPandasWithState(
+        lambda key, pieces, state: step(key, pieces, state), OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_tracker(spark: SparkSession, stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from kerbside.streaming import jobs, tracker
@@ -94,3 +95,37 @@ def test_scene_is_forgotten_after_silence(spark, tmp_path):
     got = sorted((r.scene_token, r.slot, r.frame_idx, r.track_id, r.late) for r in spark.read.schema(tracker.OUT).parquet(f"{tmp_path}/out").collect())
     # the second frame 0 of s is no late one: the scene began anew
     assert got == [("s", 1, 0, 0, False), ("s", 2, 0, 0, False), ("t", 1, 0, 0, False), ("t", 1, 1, 0, False)]
+
+
+def start(spark, tmp_path, schema, **how):
+    stream = tracker.track_stream(jobs.read_stream(spark, f"{tmp_path}/in", schema), 0.2, **how)
+    tracker.run_tracker(spark, stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+
+
+def test_scenes_share_calls_and_state_of_their_group(spark, tmp_path):
+    rows = [(f"{name}-{n}", *row) for n in range(8) for name, *row in given(20 + n, frames=12)]
+    boxes = spark.createDataFrame(rows, SCHEMA).withColumn("at", F.timestamp_seconds(1_700_000_000 + F.col("frame_idx")))
+    for n, part in enumerate(["frame_idx < 5", "frame_idx between 5 and 8 and scene_token < 's2'", "frame_idx >= 5 and (scene_token >= 's2' or frame_idx > 8)"]):
+        boxes.where(part).write.parquet(f"{tmp_path}/in/{n}")
+        start(spark, tmp_path, boxes.schema, groups=3)
+    got = spark.read.schema(tracker.OUT).parquet(f"{tmp_path}/out")
+    assert sorted((r.scene_token, r.slot, r.frame_idx, r.track_id, r.misses) for r in got.where("not late").collect()) == plain(rows, 0.2)
+    assert got.where("late").isEmpty()
+    # 32 scenes, of which some had no new rows in a micro-batch, are three entries of state
+    assert spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() <= 3
+    boxes.where("frame_idx = 11").withColumn("frame_idx", F.lit(12)).write.parquet(f"{tmp_path}/in/last")
+    with pytest.raises(StreamingQueryException):  # scenes would not meet their tracks
+        start(spark, tmp_path, boxes.schema, groups=4)
+
+
+def test_silent_scene_of_a_living_group_is_forgotten(spark, tmp_path):
+    day, box = 86_400, (0.9, 0.0, 1.0, 0.0, 1.0)
+    # t comes every half day, so the group itself is never silent; u comes again in time
+    times = [("s", 0, 0.0), ("u", 0, 0.0), *[("t", n, n / 2) for n in range(6)], ("u", 1, 0.9), ("s", 0, 3.0), ("u", 0, 3.0)]
+    df = spark.createDataFrame([(s, f, 1, *box, int(d * day)) for s, f, d in times], SCHEMA + ", s long").withColumn(
+        "at", F.timestamp_seconds(1_700_000_000 + F.col("s")))
+    for n, when in enumerate(sorted({int(d * day) for *_, d in times})):
+        df.where(F.col("s") == when).drop("s").write.parquet(f"{tmp_path}/in/{n}")
+        start(spark, tmp_path, df.drop("s").schema, groups=1)
+    got = sorted((r.scene_token, r.frame_idx, r.track_id, r.late) for r in spark.read.schema(tracker.OUT).parquet(f"{tmp_path}/out").collect())
+    assert got == sorted([("s", 0, 0, False), ("s", 0, 0, False), ("u", 0, 0, False), ("u", 1, 0, False), ("u", 0, 0, False), *[("t", n, 0, False) for n in range(6)]])
