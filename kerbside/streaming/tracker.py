@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -157,27 +159,28 @@ class GroupTracker:
     def __call__(self, key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept = self.restored(state)
         given = {} if state.hasTimedOut else self.by_scene(pieces)
-        now = state.getCurrentWatermarkMs()
-        # a scene that comes again in this micro-batch goes on, as its time was not up at the last one
-        kept = {scene: (until, tracks) for scene, (until, tracks) in kept.items() if until >= now or scene in given}
         out = []
         for scene, (at, rows) in given.items():
             tracks = kept[scene][1] if scene in kept else Tracks(self.limit, **self.how)
-            for (name, number), held in _frames(sorted(rows)):
-                out += [(name, slot, number, track, misses, late) for slot, track, misses, late in tracks.frame(number, held)]
+            for number, held in groupby(sorted(rows), itemgetter(0)):
+                out += [(scene, slot, number, track, misses, late) for slot, track, misses, late in tracks.frame(number, [r[1:] for r in held])]
             kept[scene] = int(at) + self.silence_ms, tracks
-        self.store(kept, state)
+        # only now: a scene that comes again goes on, as its time was not up at the last micro-batch
+        now = state.getCurrentWatermarkMs()
+        self.store({scene: v for scene, v in kept.items() if v[0] >= now}, state)
         if out:
-            frame = dict(zip(RESULT, zip(*out)))
-            # a late row has no track
-            yield pd.DataFrame(frame | {c: pd.array(frame[c], "Int64") for c in ("track_id", "misses")})
+            columns = dict(zip(RESULT, zip(*out)))
+            if any(columns["late"]):  # such a row has no track
+                columns |= {c: pd.array(columns[c], "Int64") for c in ("track_id", "misses")}
+            yield pd.DataFrame(columns)
 
     def by_scene(self, pieces: Iterator[pd.DataFrame]) -> dict:
-        """scene -> [last event time in ms, rows]."""
+        """scene -> [last event time in ms, rows (frame_idx, slot, score, sides)]."""
         scenes: dict = {}
         for piece in pieces:
-            for row, at in zip(zip(*[piece[c].tolist() for c in COLUMNS]), piece["at_ms"].tolist()):
-                held = scenes.get(row[0]) or scenes.setdefault(row[0], [float("-inf"), []])
+            rows = zip(*[piece[c].tolist() for c in COLUMNS[1:]])
+            for scene, at, row in zip(piece["scene_token"].tolist(), piece["at_ms"].tolist(), rows):
+                held = scenes.get(scene) or scenes.setdefault(scene, [float("-inf"), []])
                 held[0] = max(held[0], at)
                 held[1].append(row)
         return scenes

@@ -129,3 +129,15 @@ def test_silent_scene_of_a_living_group_is_forgotten(spark, tmp_path):
         start(spark, tmp_path, df.drop("s").schema, groups=1)
     got = sorted((r.scene_token, r.frame_idx, r.track_id, r.late) for r in spark.read.schema(tracker.OUT).parquet(f"{tmp_path}/out").collect())
     assert got == sorted([("s", 0, 0, False), ("s", 0, 0, False), ("u", 0, 0, False), ("u", 1, 0, False), ("u", 0, 0, False), *[("t", n, 0, False) for n in range(6)]])
+
+
+def test_scene_whose_time_is_up_when_it_comes_is_tracked_and_forgotten(spark, tmp_path):
+    df = spark.createDataFrame([(s, 0, 1, 0.9, 0.0, 1.0, 0.0, 1.0, d) for s, d in (("t", 10), ("s", 3), ("t", 11))], SCHEMA + ", d long").withColumn(
+        "at", F.timestamp_seconds(1_700_000_000 + 86_400 * F.col("d")))
+    for n, d in enumerate((10, 3, 11)):
+        df.where(F.col("d") == d).drop("d").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = tracker.track_stream(jobs.read_stream(spark, f"{tmp_path}/in", df.drop("d").schema, files_per_batch=1), 0.2, silence_ms=43_200_000, groups=1)
+    tracker.run_tracker(spark, stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = spark.read.schema(tracker.OUT).parquet(f"{tmp_path}/out").collect()
+    assert ("s", 0, False) in {(r.scene_token, r.track_id, r.late) for r in got}
+    assert all(r.scenes == ["t"] for r in spark.read.format("statestore").load(f"{tmp_path}/checkpoint").select("value.groupState.scenes").collect())
