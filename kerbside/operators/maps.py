@@ -6,11 +6,19 @@ join on a coarse tile key, so a point only meets records whose box touches its t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.functions import geom
+from kerbside.operators import raster
 from kerbside.operators.ordered import spread
+from kerbside.operators.raster import codes as _codes, distinct
 
 TILE = 8.0
 
@@ -244,48 +252,168 @@ def element_class(layer: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), layer)
 
 
-def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: float = 0.5) -> DataFrame:
+#: One piece of a clipped line, in the ego frame.
+PIECE = "struct<seg: {seg}, p: struct<x: double, y: double>, q: struct<x: double, y: double>, len: double>"
+
+
+def clip_to_patch(poses: DataFrame, segs: DataFrame, half: float, min_length: float = 0.5, pieces: bool = True) -> DataFrame:
     """Map lines in the ego frame, clipped to the patch and cut into connected parts.
 
     One row per kept part: (token, layer, record, part, length, pieces, line), lines counted
-    from 0 in each frame by layer, record and part.  Parts start
+    from 0 in each frame by layer, record and part; ``pieces`` may be left out.  Parts start
     anew where a clipped piece does not continue the one before it.
+
+    Frames go by token to tasks that clip the lines of many of them at once in numpy, and the rows of a token follow one another.
+    A map of few segments is sent to the tasks; a larger one meets the frames by tile first.
     """
     reach = half * 2 ** 0.5
     s = segs.withColumns({"min_x": F.least("ax", "bx"), "max_x": F.greatest("ax", "bx"),
                           "min_y": F.least("ay", "by"), "max_y": F.greatest("ay", "by")})
     # tiles as wide as the patch's circle: a frame looks at four of them at most
     wide = 2 * reach
+    ends, bounds = ["ax", "ay", "bx", "by"], ["min_x", "max_x", "min_y", "max_y"]
+    side = tiled(s.filter(" AND ".join(f"{c} IS NOT NULL" for c in ends)), tile=wide).select("layer", "record", "seg", *ends, *bounds, "tx", "ty", "sx", "sy")
+    # sine and cosine as Spark has them
+    p = spread(poses.select("token", "gx", "gy", F.cos("gyaw").alias("cos"), F.sin("gyaw").alias("sin")), "token").filter(
+        "gx IS NOT NULL AND gy IS NOT NULL AND cos IS NOT NULL")
+    pose = ["gx", "gy", "cos", "sin"]
+    kind = segs.schema["seg"].dataType.simpleString()
+    numbers = T.StructType.fromDDL("part bigint, length double" + f", pieces array<{PIECE.format(seg=kind)}>" * pieces + ", line int").fields
+    out = [segs.schema["layer"], segs.schema["record"], *numbers]
+
+    def clipped(grid, line, seg, a, b, gx, gy, cos, sin):
+        return _clip_lines(grid, line, seg, [_to_ego(*c, gx, gy, cos, sin) for c in (a, b)], half, min_length)
+
+    def made(found, seg, *names):
+        at, first, part, length, number, cut = found
+        own = [_pieces(seg, *cut, kind)] if pieces else []
+        return at, *[n.take(pa.array(first)) for n in names], part, length, *own, number
+
+    few = side.limit(BROADCAST_ROWS + 1).toArrow()
+    if few.num_rows <= BROADCAST_ROWS:
+        few = few.take(pc.sort_indices(few, sort_keys=[(c, "ascending") for c in ("layer", "record", "seg")], null_placement="at_start")).combine_chunks()
+        layer, record = (_codes(few.column(c)) for c in ("layer", "record"))
+        names = {c: distinct(few.column(c)) for c in ("layer", "record")}
+        lines = raster.change(layer, record)
+        near = near_rows(few, wide, reach)
+        seg, (ax, ay, bx, by) = raster.values(few, "seg"), (raster.values(few, c) for c in ends)
+
+        def found(grid, gx, gy, cos, sin):
+            of, to = near(gx, gy)
+            # the order of the map, which is that of its lines, inside a token
+            order = np.lexsort((to, grid[of]))
+            of, to = of[order], to[order]
+            return to, clipped(grid[of], lines[to], seg[to], (ax[to], ay[to]), (bx[to], by[to]), gx[of], gy[of], cos[of], sin[of])
+
+        def kernel(*given):
+            to, got = found(*given)
+            return made(got, seg[to], *[names[c].take(pa.array(code[to])) for c, code in (("layer", layer), ("record", record))])
+
+        def arrays(*given):
+            to, (at, first, part, length, number, (_, sizes, points, each)) = found(*given)
+            return at, {"layer": layer[to][first], "record": record[to][first], "part": part, "length": length, "line": number, "sizes": sizes, "points": points, "len": each}
+
+        return raster.kept(raster.per_grid(p, ["token"], pose, out, kernel), [raster.Steps(p, ["token"], pose, arrays, names)])
+
     span = lambda c: F.sequence(_tile(c - reach, wide), _tile(c + reach, wide))
-    p = spread(poses.select("token", "gx", "gy", "gyaw"), "token").withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
+    p = p.withColumn("tx", F.explode(span(F.col("gx")))).withColumn("ty", F.explode(span(F.col("gy"))))
     meet = (F.col("min_x") <= F.col("gx") + reach) & (F.col("max_x") >= F.col("gx") - reach) & (F.col("min_y") <= F.col("gy") + reach) & (F.col("max_y") >= F.col("gy") - reach)
-    pairs = p.join(small_side(tiled(s, tile=wide)), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach, wide) & meet)
-
-    def ego(x: str, y: str) -> Column:
-        at = geom.to_ego_xy(F.col(x), F.col(y), F.col("gx"), F.col("gy"), F.col("gyaw"))
-        return F.struct(at.x.alias("x"), at.y.alias("y"))
-
-    local = pairs.select("token", "layer", "record", "seg", ego("ax", "ay").alias("a"), ego("bx", "by").alias("b"))
-    lo, hi = F.lit(-half), F.lit(half)
-    t0, t1 = clip_span(F.col("a"), F.col("b"), lo, lo, hi, hi)
-    cut = local.withColumns({"t0": t0, "t1": t1}).filter("t0 < t1")
-    full = geom.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))
-    at = lambda t: F.struct((F.col("a.x") + (F.col("b.x") - F.col("a.x")) * F.col(t)).alias("x"),
-                            (F.col("a.y") + (F.col("b.y") - F.col("a.y")) * F.col(t)).alias("y"))
-    pieces = cut.withColumns({"p": at("t0"), "q": at("t1"), "len": full * (F.col("t1") - F.col("t0"))})
-    w = Window.partitionBy("token", "layer", "record").orderBy("seg")
-    joins = (F.lag("seg").over(w) == F.col("seg") - 1) & (F.lag("t1").over(w) == 1.0) & (F.col("t0") == 0.0)
-    marked = pieces.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    parts = marked.withColumn("part", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy("token", "layer", "record", "part").agg(
-        F.sum("len").alias("length"),
-        F.sort_array(F.collect_list(F.struct("seg", "p", "q", "len"))).alias("pieces"),
-    ).filter(F.col("length") >= min_length).withColumn(
-        "line", F.row_number().over(Window.partitionBy("token").orderBy("layer", "record", "part")) - 1)
+    pairs = p.join(side.hint("merge"), ["tx", "ty"]).filter(once(F.col("gx") - reach, F.col("gy") - reach, wide) & meet)
+
+    types = [raster.arrow(f) for f in out[:2]]
+
+    def joined(grid, layer, record, seg, ax, ay, bx, by, gx, gy, cos, sin):
+        layer, record = (pa.array(c) if isinstance(c, np.ndarray) else c for c in (layer, record))
+        line = raster.change(*[_codes(c) for c in (layer, record)])
+        return made(clipped(grid, line, seg, (ax, ay), (bx, by), gx, gy, cos, sin), seg, layer.cast(types[0]), record.cast(types[1]))
+
+    return raster.per_grid(pairs, ["token"], ["layer", "record", "seg", *ends, *pose], out, joined, in_order=True)
+
+
+def near_rows(tiles: pa.Table, wide: float, reach: float) -> Callable:
+    """For frames (gx, gy): the pairs of a frame and a row of the tiled map whose bounds come near it, each once."""
+    value = {c: raster.values(tiles, c) for c in ("min_x", "max_x", "min_y", "max_y", "tx", "ty", "sx", "sy")}
+    tx, ty = value["tx"], value["ty"]
+    left, low = (int(t.min()) if len(t) else 0 for t in (tx, ty))
+    high = (int(ty.max()) if len(ty) else 0) - low + 1
+    right = int(tx.max()) - left if len(tx) else -1
+    code = (tx - left) * high + ty - low
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    tile = lambda c: np.floor(c / wide).astype(np.int64)
+
+    def near(gx: np.ndarray, gy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x0, y0 = tile(gx - reach), tile(gy - reach)
+        of, i = raster.counted(tile(gx + reach) - x0 + 1)
+        row, j = raster.counted((tile(gy + reach) - y0 + 1)[of])
+        of = of[row]
+        x, y = x0[of] + i[row] - left, y0[of] + j - low
+        there = np.flatnonzero((x >= 0) & (x <= right) & (y >= 0) & (y < high))
+        of, at = of[there], x[there] * high + y[there]
+        start = np.searchsorted(code, at)
+        pair, step = raster.counted(np.searchsorted(code, at, side="right") - start)
+        of, to = of[pair], order[start[pair] + step]
+        c = {n: v[to] for n, v in value.items()}
+        kept = (c["tx"] == np.maximum(c["sx"], x0[of])) & (c["ty"] == np.maximum(c["sy"], y0[of]))
+        kept &= (c["min_x"] <= gx[of] + reach) & (c["max_x"] >= gx[of] - reach) & (c["min_y"] <= gy[of] + reach) & (c["max_y"] >= gy[of] - reach)
+        return of[kept], to[kept]
+
+    return near
+
+
+def _to_ego(x, y, gx, gy, cos, sin) -> tuple[np.ndarray, np.ndarray]:
+    """``geom.to_ego_xy`` of arrays."""
+    dx, dy = x - gx, y - gy
+    return dx * cos + dy * sin, -(dx * sin - dy * cos)
+
+
+def _clip_lines(grid, line, seg, ends, half: float, min_length: float) -> tuple:
+    """Parts of the segments of frames that are longer than ``min_length``: (grid, first, part, length, line, cut).
+
+    Segments come by grid, line and seg; ``first`` is an index of a segment of the part, ``cut`` says for ``_pieces`` what is left of which segments.
+    """
+    (ax, ay), (bx, by) = ends
+    dx, dy = bx - ax, by - ay
+    t0, t1, out = np.zeros(len(dx)), np.ones(len(dx)), np.zeros(len(dx), bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for p, q in ((-dx, ax + half), (dx, half - ax), (-dy, ay + half), (dy, half - ay)):
+            r = q / p
+            np.maximum(t0, r, out=t0, where=p < 0)
+            np.minimum(t1, r, out=t1, where=p > 0)
+            out |= (p == 0) & (q < 0)
+    kept = np.flatnonzero((t0 < t1) & ~out)
+    grid, line, seg, t0, t1, dx, dy, ax, ay = (c[kept] for c in (grid, line, seg, t0, t1, dx, dy, ax, ay))
+    length = np.sqrt(dx * dx + dy * dy) * (t1 - t0)
+    fresh = np.r_[True, (grid[1:] != grid[:-1]) | (line[1:] != line[:-1])][:len(grid)]
+    new = fresh.copy()
+    new[1:] |= (seg[:-1] != seg[1:] - 1) | (t1[:-1] != 1.0) | (t0[1:] != 0.0)
+    part = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    # parts are counted from 1 in each line
+    number = part[starts] - part[np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))[starts]] + 1
+    whole = np.bincount(part, weights=length, minlength=len(starts))
+    long = whole >= min_length
+    at = grid[starts[long]]
+    order = np.arange(len(at)) - np.searchsorted(at, at)
+    held = long[part]
+    sizes = np.bincount(part[held], minlength=len(starts))[long]
+    points = [(c[held], d[held], t[held]) for c, d, t in ((ax, dx, t0), (ay, dy, t0), (ax, dx, t1), (ay, dy, t1))]
+    return at, kept[starts[long]], number[long], whole[long], order, (kept[held], sizes, [c + d * t for c, d, t in points], length[held])
+
+
+def _pieces(seg, of, sizes, points, length, kind: str) -> pa.Array:
+    pair = lambda x, y: pa.StructArray.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+    px, py, qx, qy = points
+    each = pa.StructArray.from_arrays([pa.array(seg[of], type={"int": pa.int32(), "bigint": pa.int64()}[kind]), pair(px, py), pair(qx, qy), pa.array(length)],
+                                      names=["seg", "p", "q", "len"])
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], type=pa.int32()), each)
 
 
 def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
     """Points about every ``spacing`` metres along each part, both ends included: one more than whole spacings, two at least."""
+    if raster.steps_of(parts):
+        fields = [parts.schema["layer"], parts.schema["record"], *T.StructType.fromDDL("part bigint, line int, length double, i int, x double, y double").fields]
+        return raster.stacked([s.then(lambda grid, c: _samples(grid, c, spacing)) for s in raster.steps_of(parts)], fields)
     # rounded first: a whole length that its sum left a little short still counts
     n = F.greatest(F.lit(1), F.floor(F.round("length", 6) / spacing).cast("int"))
     cum = F.transform("pieces", lambda x, i: F.struct(
@@ -302,6 +430,31 @@ def resample(parts: DataFrame, spacing: float = 1.0) -> DataFrame:
                     (F.col("c.x.p.y") + (F.col("c.x.q.y") - F.col("c.x.p.y")) * t).alias("y"))
 
 
+def _samples(grid, c: dict, spacing: float) -> tuple[np.ndarray, dict]:
+    """``resample`` of the arrays of ``clip_to_patch``."""
+    whole, sizes, each = c["length"], c["sizes"], c["len"]
+    n = np.maximum(1, np.floor(np.round(whole, 6) / spacing).astype(np.int64))
+    part, i = raster.counted(n + 1)
+    s = whole[part] * i / n[part]
+    # where a piece starts in its part, added up piece by piece
+    first = np.cumsum(sizes) - sizes
+    of, step = raster.counted(sizes)
+    start = np.zeros(len(each))
+    for k in range(1, int(sizes.max(initial=0))):
+        at = np.flatnonzero(step == k)
+        start[at] = start[at - 1] + each[at - 1]
+    # the last piece that starts at or before s
+    piece = first[part]
+    for k in range(1, int(sizes.max(initial=0))):
+        at = np.flatnonzero(sizes[part] > k)
+        at = at[start[first[part[at]] + k] <= s[at]]
+        piece[at] = first[part[at]] + k
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = np.minimum(1.0, (s - start[piece]) / each[piece])
+    px, py, qx, qy = (v[piece] for v in c["points"])
+    return grid[part], {**{k: c[k][part] for k in ("layer", "record", "part", "line", "length")}, "i": i, "x": px + (qx - px) * t, "y": py + (qy - py) * t}
+
+
 def line_raster(samples: DataFrame, cell: float, half: float, thickness: int = 1) -> DataFrame:
     """Cells touched by line samples widened to ``thickness`` cells, with class and id.
 
