@@ -148,3 +148,42 @@ def test_frames_without_a_map_near_them(spark, rows):
     for df in (parts, drawn, spans.uncovered(drawn, ["line"]), maps.resample(parts), masks, spans.shifted_sides(masks),
                raster.grouped(spans.measured(drawn), ["token", "cls"], cells=("sum", "n"), lines=("distinct", "line"), low=("min", "cy"))):
         assert df.count() == 0
+
+
+def some_boxes(spark, n=160):
+    rng = random.Random(9)
+    rows = [(f"r{i % 5}" if i % 40 else None, rng.randrange(4), i % 9 if i % 31 else None, i % 2, rng.uniform(-52, -38), rng.uniform(-52, -38), rng.uniform(-3.2, 3.2), rng.uniform(0.3, 3), rng.uniform(0.3, 7))
+            for i in range(n)]
+    return spark.createDataFrame(rows, "ref string, k int, id long, side int, x double, y double, yaw double, w double, l double")
+
+
+def test_steps_of_a_frame_are_painted_and_followed_in_one_task(spark):
+    df = some_boxes(spark)
+    fast = spans.painted_boxes(df, ["ref", "k"], "id")
+    slow = without_steps(fast)
+    plain = spans.painted(spans.box_spans(df, ["ref", "k"], "id"), ["ref", "k"], "id")
+    cells = lambda d: sorted((str(r.ref), r.k, str(r.id), r.cy, x) for r in d.collect() for x in range(r.x0, r.x1 + 1))
+    assert cells(fast) == cells(plain)
+    r9 = lambda d: sorted(str(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in d.collect())
+    assert r9(spans.summary(fast, ["ref", "k"], "id")) == r9(spans.summary(slow, ["ref", "k"], "id"))
+    c = ["ref", "k", "id", "cells", "mx", "my", "flow_x", "flow_y", "from_x", "from_y"]
+    got, want = (spans.centroids(s, "ref", "k", "id") for s in (fast, slow))
+    assert plan_of(got).count("MapInArrow") == 1 and "Window" not in plan_of(got)
+    assert r9(got.select(c)) == r9(want.select(c))
+    assert r9(spans.centre_totals(got, "ref", "k")) == r9(spans.centre_totals(without_steps(want), "ref", "k"))
+    got, want = (spans.centroids(s, "ref", "k", "id", carry=True) for s in (fast, slow))
+    for step in (spans.offsets, spans.backward_flow):
+        a, b = (step(d, "ref", "k", "id") for d in (got, want))
+        assert "Window" not in plan_of(a)
+        cells = lambda d: sorted((str(r.ref), r.k, r.id, r.cy, x, round(r.back_x, 9), round(r.back_y, 9)) for r in d.collect() for x in range(r.x0, r.x1 + 1))
+        assert (r9(a.select(b.columns)) == r9(b)) if step is spans.offsets else (cells(a) == cells(b))
+
+
+def test_segments_are_matched_where_the_grids_are(spark):
+    from kerbside.operators import grid
+
+    pieces = grid.overlaid(some_boxes(spark), ["ref", "k"], "id")
+    got = grid.panoptic(pieces, "ref", "k")
+    assert "Window" not in plan_of(got)
+    want = grid.panoptic(without_steps(pieces), "ref", "k").first()
+    assert [round(v, 9) for v in got.first()] == [round(v, 9) for v in want] and want.tp > 0 and want.switches >= 0
